@@ -6,21 +6,50 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import url_filters as urls
+from . import warc
+from .mixing import mix
 from .quality_rules import quality_rules
 from .sketches import sketch_with_next
-from .store import table
+from .store import Scratch, table
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+URL_RULES = [
+    urls.Rule("allow", "com", "/"),
+    urls.Rule("block", "example.com", "/en/"),
+    urls.Rule("allow", "www.example.com", "/en/"),
+    urls.Rule("block", "net", "/es/"),
+    urls.Rule("block", "net", "/fr/"),
+]
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.url_filters(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "warc")
+    index = warc.write(table(spark, sf_dir, "pages"), scratch)
+    return warc.read(index, scratch).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch_with_next(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
+    "op5_url_filters": op5_url_filters,
+    "op6_warc": op6_warc,
+    "op7_mixing": op7_mixing,
     "op8_fingerprints": op8_fingerprints,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_url_filters": urls.oracle(URL_RULES), "op6_warc": warc.ORACLE}
