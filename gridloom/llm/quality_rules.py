@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_texts
+from .store import Scratch
 from .words import Words, chunks
 
 STATISTICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long"
@@ -119,14 +120,17 @@ def learn_cutoffs(counts: dict[tuple[str, int], tuple[int, list[int]]], p: RuleP
     return found
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, p: RuleParams = RuleParams(), id_col: str = "doc_id") -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, p: RuleParams = RuleParams(), id_col: str = "doc_id", scratch: Scratch | None = None) -> DataFrame:
     """id, the statistics, base_failed, kept and the first rule that rejects (null: none).
 
-    labels: id_col and quality (1: good). Counting is one aggregation over all labelled texts, of a few rows' size.
+    labels: id_col and quality (1: good). The texts are read once; their counts, a narrow table, are written, and only
+    these meet the labels. Counting is one aggregation over all labelled texts, of a few rows' size.
     """
     ratios = _ratios()
+    scratch = scratch or Scratch(docs.sparkSession, "rules")
+    counted = scratch.save(statistics(docs, [id_col]), "statistics")
     good = labels.where("quality = 1").select(F.col(id_col).alias("__id")).where("__id is not null")
-    holdout = statistics(docs.join(good, docs[id_col] == good["__id"], "left_semi"), [])
+    holdout = counted.join(good, counted[id_col] == good["__id"], "left_semi")
     holdout = holdout.where(~base_failed(p)).select(*[c.alias(n) for n, c in ratios.items()])
     over = [F.sum((F.col(r) > c).cast("long")).alias(f"{r}_{i}") for r, grid in GRIDS.items() for i, c in enumerate(grid)]
     counts = {}
@@ -140,5 +144,5 @@ def quality_rules(docs: DataFrame, labels: DataFrame, p: RuleParams = RuleParams
         if any(r == rule for r, _ in cutoffs)
     ]
     rule = F.coalesce(*[F.when(f, F.lit(r)) for r, f in fails], F.lit(None).cast("string"))
-    out = statistics(docs, [id_col]).withColumn("base_failed", base_failed(p))
+    out = counted.withColumn("base_failed", base_failed(p))
     return out.withColumn("failed_rule", rule).withColumn("kept", ~F.col("base_failed") & F.col("failed_rule").isNull())
