@@ -9,9 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from . import url_filters as urls
 from . import warc
 from .mixing import mix
+from .quality_model import score_quality
 from .quality_rules import quality_rules
 from .sketches import sketch_with_next
 from .store import Scratch, table
+from .toxicity import score_toxicity
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,11 +51,17 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch_with_next(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_classifier": op2_quality_classifier,
     "op4_quality_rules": op4_quality_rules,
     "op5_url_filters": op5_url_filters,
     "op6_warc": op6_warc,
     "op7_mixing": op7_mixing,
     "op8_fingerprints": op8_fingerprints,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {"op5_url_filters": urls.oracle(URL_RULES), "op6_warc": warc.ORACLE}
