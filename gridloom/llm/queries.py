@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import url_filters as urls
 from . import warc
+from .jaccard_join import ORACLE as JACCARD_SQL
+from .jaccard_join import jaccard_components
 from .mixing import mix
 from .quality_model import score_quality
 from .quality_rules import quality_rules
@@ -20,6 +22,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -57,6 +63,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_quality_rules": op4_quality_rules,
     "op5_url_filters": op5_url_filters,
     "op6_warc": op6_warc,
@@ -64,4 +71,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE_SQL: dict[str, str] = {"op5_url_filters": urls.oracle(URL_RULES), "op6_warc": warc.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_jaccard_join": JACCARD_SQL, "op5_url_filters": urls.oracle(URL_RULES), "op6_warc": warc.ORACLE}
