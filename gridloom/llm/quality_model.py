@@ -175,13 +175,13 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, p: QualityParams) -> tuple
     return model, prior
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, p: QualityParams = QualityParams(), id_col: str = "doc_id", scratch: Scratch | None = None) -> DataFrame:
-    """id, held_out, score and predicted of every row of docs; labels: id_col and quality (1: good).
+def score_quality(docs: DataFrame, labels: DataFrame, p: QualityParams = QualityParams(), id_col: str = "doc_id", keep: list[str] | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """The columns keep (else the id), held_out, score and predicted of every row of docs; labels: id_col and quality (1: good).
 
-    The texts are read once. Their features, a narrow table, are written; the sample and the scores come from that.
+    The texts are read once. Their features, a narrow table, are written; the sample and the scores come from that. With
+    `keep`, rows are scored from their texts in a second reading instead, so that wide columns need no join.
     """
     scratch = scratch or Scratch(docs.sparkSession, "quality")
-    out_type = docs.schema[id_col]
     rows = scratch.save(map_texts(docs, [id_col], "text", "features array<float>", _features), "features")
     good = labels.where("quality = 1").select(F.col(id_col).alias("__id")).where("__id is not null").where(~held_out(F.col("__id"), p.folds)).distinct()
     n_good, n_rows = good.count(), rows.count()
@@ -191,13 +191,17 @@ def score_quality(docs: DataFrame, labels: DataFrame, p: QualityParams = Quality
     matrix = lambda df: np.array([r[0] for r in df.select("features").toLocalIterator()], float).reshape(-1, len(FEATURES))
     positive, unlabelled = matrix(picked), matrix(others)
     model = fit(positive, unlabelled, p)[0] if len(positive) and len(unlabelled) else None
-    schema = T.StructType([out_type, T.StructField("score", T.DoubleType())])
+
+    def score(x: np.ndarray) -> pa.Array:
+        return pa.array(_sigmoid(model.logit(model.cells(x.astype(np.float32).astype(float)))) if model else np.full(len(x), 0.5))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = b.column("features").flatten().to_numpy().astype(float).reshape(-1, len(FEATURES))
-            s = _sigmoid(model.logit(model.cells(x))) if model else np.full(len(x), 0.5)
-            yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(s)], names=[id_col, "score"])
-
-    scored = rows.select(id_col, "features").mapInArrow(run, schema)
-    return scored.select(id_col, held_out(F.col(id_col), p.folds).alias("held_out"), "score", (F.col("score") >= p.threshold).cast("int").alias("predicted"))
+            x = b.column("features").flatten().to_numpy().reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([b.column(id_col), score(x)], names=[id_col, "score"])
+
+    if keep:
+        scored = map_texts(docs, keep, "text", "score double", lambda texts: {"score": score(text_features(texts))})
+    else:
+        scored = rows.select(id_col, "features").mapInArrow(run, T.StructType([docs.schema[id_col], T.StructField("score", T.DoubleType())]))
+    return scored.select(*(keep or [id_col]), held_out(F.col(id_col), p.folds).alias("held_out"), "score", (F.col("score") >= p.threshold).cast("int").alias("predicted"))

@@ -10,7 +10,9 @@ from . import url_filters as urls
 from . import warc
 from .jaccard_join import ORACLE as JACCARD_SQL
 from .jaccard_join import jaccard_components
+from .licenses import scan
 from .mixing import mix
+from .pieces import encode_texts, load
 from .quality_model import score_quality
 from .quality_rules import quality_rules
 from .sketches import sketch_with_next
@@ -18,6 +20,10 @@ from .store import Scratch, table
 from .toxicity import score_toxicity
 
 
+def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -57,11 +63,16 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch_with_next(table(spark, sf_dir, "documents"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(table(spark, sf_dir, "documents"), load(), ["doc_id"])
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scans": op1_license_scans,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_quality_rules": op4_quality_rules,
@@ -69,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_warc": op6_warc,
     "op7_mixing": op7_mixing,
     "op8_fingerprints": op8_fingerprints,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {"op3_jaccard_join": JACCARD_SQL, "op5_url_filters": urls.oracle(URL_RULES), "op6_warc": warc.ORACLE}

@@ -253,8 +253,8 @@ def learn_weights(x: np.ndarray, y: np.ndarray, p: ToxicParams) -> tuple[np.ndar
     return theta[:-1], float(theta[-1])
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, p: ToxicParams = ToxicParams(), id_col: str = "doc_id", scratch: Scratch | None = None) -> DataFrame:
-    """id, held_out, score and predicted of every row of docs; labels: id_col and toxic (1: toxic).
+def score_toxicity(docs: DataFrame, labels: DataFrame, p: ToxicParams = ToxicParams(), id_col: str = "doc_id", keep: list[str] | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """The columns keep (else the id), held_out, score and predicted of every row of docs; labels: id_col and toxic (1: toxic).
 
     The labelled sample is bounded, so its ids are broadcast and its texts written; all texts are then read once.
     """
@@ -272,5 +272,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, p: ToxicParams = ToxicPar
         found = np.array([matches(t, lexicon) for t in texts]).reshape(-1, len(KINDS))
         return {"score": pa.array(1 / (1 + np.exp(-np.clip(found @ weights + bias, -60, 60))))}
 
-    scored = map_texts(docs, [id_col], "text", "score double", score)
-    return scored.select(id_col, held_out(F.col(id_col), p.folds).alias("held_out"), "score", (F.col("score") >= p.threshold).cast("int").alias("predicted"))
+    keep = keep or [id_col]
+    scored = map_texts(docs, keep, "text", "score double", score)
+    return scored.select(*keep, held_out(F.col(id_col), p.folds).alias("held_out"), "score", (F.col("score") >= p.threshold).cast("int").alias("predicted"))
