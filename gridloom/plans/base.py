@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.scores import Q975
 from gridloom.operators import aggregates, joins
+from gridloom.session import cut
 from gridloom.sources.tables import read_table
 
 NX, NY, Y0 = 90, 50, 1
@@ -25,7 +26,11 @@ def lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ix, iy, cell_id, truth, n, val (truth, null where masked)."""
     li = read_table(spark, sf_dir, "lineitem")
     ix = F.floor(F.datediff(F.col("l_shipdate").cast("date"), F.lit("1995-01-01").cast("date")) / 28).cast("int")
-    cells = li.groupBy(ix.alias("ix"), F.col("l_quantity").cast("int").alias("iy")).agg(F.round(F.avg("l_extendedprice"), 4).alias("truth"), F.count("*").alias("n"))
+    cells = li.groupBy(ix.alias("ix"), F.col("l_quantity").cast("int").alias("iy")).agg(
+        # Whole cents sum exactly, so the mean is the same whatever the order.
+        (F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")) / (F.count("*") * 100)).alias("truth"),
+        F.count("*").alias("n"),
+    )
     return _with_mask(cells)
 
 
@@ -43,7 +48,7 @@ def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
 G = f"""g AS (SELECT ix, iy, (iy - {Y0}) * {NX} + ix AS cell_id, truth, n,
   CASE WHEN (ix * 31 + iy * 17) % 100 < 20 OR (ix BETWEEN 30 AND 44 AND iy BETWEEN 20 AND 34) THEN NULL ELSE truth END AS val
   FROM (SELECT CAST(FLOOR(datediff('day', DATE '1995-01-01', l_shipdate::DATE) / 28) AS INT) AS ix, CAST(l_quantity AS INT) AS iy,
-        ROUND(AVG(l_extendedprice), 4) AS truth, COUNT(*) AS n FROM lineitem GROUP BY 1, 2))"""
+        SUM(ROUND(l_extendedprice * 100)::BIGINT)::DOUBLE / (COUNT(*) * 100) AS truth, COUNT(*) AS n FROM lineitem GROUP BY 1, 2))"""
 S = (
     G
     + """,
@@ -60,23 +65,26 @@ def points(df: DataFrame) -> DataFrame:
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """method, cell_id, mean, sd and truth of six simple predictors at the masked cells of the signal lattice."""
-    s = signal(spark, sf_dir)
+    s = cut(signal(spark, sf_dir))
     seen, gone = s.where("val is not null"), s.where("val is null")
-    total = seen.agg(F.avg("val").alias("gm"), F.stddev_samp("val").alias("gs"))
+    # Values have six decimals: means are taken of whole millionths, which sum exactly.
+    mean = F.sum(F.round(F.col("val") * 1000000).cast("long")) / (F.count("val") * 1000000)
+    total = seen.agg(mean.alias("gm"), F.stddev_samp("val").alias("gs"))
     base = gone.select("cell_id", "ix", "iy", "truth").join(F.broadcast(total))
-    by = lambda k: seen.groupBy(k).agg(F.avg("val").alias("mean"), F.stddev_samp("val").alias("sd"))
+    by = lambda k: seen.groupBy(k).agg(mean.alias("mean"), F.stddev_samp("val").alias("sd"))
     plane = aggregates.ols_plane(seen, "ix", "iy", "val")
     near = joins.nearest(points(gone), points(seen), 1, 2.0, DIAMETER).select(F.col("i").alias("cell_id"), "j")
     near = near.join(seen.select(F.col("cell_id").alias("j"), F.col("val").alias("mean")), "j")
     around = joins.radius_join(points(gone), points(seen), 4.0).join(seen.select(F.col("cell_id").alias("j"), "val"), "j")
     idw = around.groupBy(F.col("i").alias("cell_id")).agg((F.sum(F.col("val") / F.col("d2")) / F.sum(1.0 / F.col("d2"))).alias("mean"))
-    pick = lambda df, name, mean, sd: df.select(F.lit(name).alias("method"), "cell_id", F.round(mean, 6).alias("mean"), F.round(sd, 6).alias("sd"), "truth")
+    six = lambda c: F.round(c, 6)
+    pick = lambda df, name, mean, sd: df.select(F.lit(name).alias("method"), "cell_id", mean.alias("mean"), F.round(sd, 6).alias("sd"), "truth")
     parts = [
         pick(base, "global", F.col("gm"), F.col("gs")),
         pick(base.join(by("ix"), "ix"), "colmean", F.col("mean"), F.col("sd")),
         pick(base.join(by("iy"), "iy"), "rowmean", F.col("mean"), F.col("sd")),
-        pick(base.join(F.broadcast(plane)), "trend", F.col("b0") + F.col("b1") * F.col("ix") + F.col("b2") * F.col("iy"), F.col("gs")),
-        pick(base.join(idw, "cell_id"), "idw", F.col("mean"), F.col("gs")),
+        pick(base.join(F.broadcast(plane)), "trend", six(F.col("b0") + F.col("b1") * F.col("ix") + F.col("b2") * F.col("iy")), F.col("gs")),
+        pick(base.join(idw, "cell_id"), "idw", six(F.col("mean")), F.col("gs")),
         pick(base.join(near, "cell_id"), "nn", F.col("mean"), F.col("gs")),
     ]
     out = parts[0]
@@ -96,15 +104,15 @@ P = (
     + OLS
     + """,
 seen AS MATERIALIZED (SELECT * FROM s WHERE val IS NOT NULL), gone AS MATERIALIZED (SELECT * FROM s WHERE val IS NULL),
-tot AS (SELECT avg(val) AS gm, stddev_samp(val) AS gs FROM seen),
+tot AS (SELECT sum(round(val * 1000000)::BIGINT)::DOUBLE / (count(val) * 1000000) AS gm, stddev_samp(val) AS gs FROM seen),
 pairs AS MATERIALIZED (SELECT a.cell_id AS i, b.cell_id AS j, b.val, ((a.ix-b.ix)*(a.ix-b.ix) + (a.iy-b.iy)*(a.iy-b.iy))::DOUBLE AS d2 FROM gone a, seen b),
 p0 AS (SELECT 'global' AS method, cell_id, gm AS mean, gs AS sd, truth FROM gone, tot
-  UNION ALL SELECT 'colmean', cell_id, mean, sd, truth FROM gone JOIN (SELECT ix, avg(val) AS mean, stddev_samp(val) AS sd FROM seen GROUP BY ix) USING (ix)
-  UNION ALL SELECT 'rowmean', cell_id, mean, sd, truth FROM gone JOIN (SELECT iy, avg(val) AS mean, stddev_samp(val) AS sd FROM seen GROUP BY iy) USING (iy)
-  UNION ALL SELECT 'trend', cell_id, b0 + b1*ix + b2*iy, gs, truth FROM gone, ols, tot
-  UNION ALL SELECT 'idw', cell_id, mean, gs, truth FROM gone JOIN (SELECT i AS cell_id, sum(val/d2) / sum(1.0/d2) AS mean FROM pairs WHERE d2 <= 16 GROUP BY i) USING (cell_id), tot
+  UNION ALL SELECT 'colmean', cell_id, mean, sd, truth FROM gone JOIN (SELECT ix, sum(round(val * 1000000)::BIGINT)::DOUBLE / (count(val) * 1000000) AS mean, stddev_samp(val) AS sd FROM seen GROUP BY ix) USING (ix)
+  UNION ALL SELECT 'rowmean', cell_id, mean, sd, truth FROM gone JOIN (SELECT iy, sum(round(val * 1000000)::BIGINT)::DOUBLE / (count(val) * 1000000) AS mean, stddev_samp(val) AS sd FROM seen GROUP BY iy) USING (iy)
+  UNION ALL SELECT 'trend', cell_id, round(b0 + b1*ix + b2*iy, 6), gs, truth FROM gone, ols, tot
+  UNION ALL SELECT 'idw', cell_id, mean, gs, truth FROM gone JOIN (SELECT i AS cell_id, round(sum(val/d2) / sum(1.0/d2), 6) AS mean FROM pairs WHERE d2 <= 16 GROUP BY i) USING (cell_id), tot
   UNION ALL SELECT 'nn', cell_id, mean, gs, truth FROM gone JOIN (SELECT i AS cell_id, arg_min(val, d2 * 100000 + j) AS mean FROM pairs GROUP BY i) USING (cell_id), tot),
-p AS MATERIALIZED (SELECT method, cell_id, round(mean, 6) AS mean, round(sd, 6) AS sd, truth FROM p0)"""
+p AS MATERIALIZED (SELECT method, cell_id, mean, round(sd, 6) AS sd, truth FROM p0)"""
 )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import scores as S_
 from gridloom.operators import aggregates as A
 from gridloom.operators import joins
+from gridloom.session import cut
 
 from .base import DIAMETER, METHODS, QUANTILE, RUN, SCORE_COLUMNS, P, points, predictions, signal
 
@@ -92,14 +93,14 @@ def t_interval(spark, sf):
     return predictions(spark, sf).select("method", "cell_id", r(low).alias("low"), r(high).alias("high"))
 
 
-@query("combine_stages", f"WITH {P} SELECT a.cell_id, round(a.mean + (b.mean - a.mean) * 0.5::DOUBLE, 6) AS mean, round(a.sd * a.sd + b.sd * b.sd, 6) AS var FROM p a JOIN p b USING (cell_id) WHERE a.method = 'trend' AND b.method = 'idw'")
+@query("combine_stages", f"WITH {P} SELECT a.cell_id, round(a.mean + (b.mean - a.mean) * 0.5::DOUBLE, 9) AS mean, round(a.sd * a.sd + b.sd * b.sd, 6) AS var FROM p a JOIN p b USING (cell_id) WHERE a.method = 'trend' AND b.method = 'idw'")
 def combine_stages(spark, sf):
     m, s, y = _parts()
     p = predictions(spark, sf)
     one = p.where("method = 'trend'").select("cell_id", m.alias("m1"), s.alias("s1"))
     two = p.where("method = 'idw'").select("cell_id", m.alias("m2"), s.alias("s2"))
     mean, var = S_.combine_stages(F.col("m1"), F.col("s1") * F.col("s1"), (F.col("m2") - F.col("m1")) * 0.5, F.col("s2") * F.col("s2"))
-    return one.join(two, "cell_id").select("cell_id", r(mean).alias("mean"), r(var).alias("var"))
+    return one.join(two, "cell_id").select("cell_id", r(mean, 9).alias("mean"), r(var).alias("var"))
 
 
 _WIDE = ", ".join(f"max(CASE WHEN method = '{m}' THEN mean END) AS {m}" for m in METHODS)
@@ -149,7 +150,7 @@ c AS (SELECT cell_id, d, greatest(1, least(5, ceil((d - lo) / ((hi - lo) / 5))))
 
 
 def _bins(spark, sf):
-    s = signal(spark, sf)
+    s = cut(signal(spark, sf))
     near = joins.nearest(points(s.where("val is null")), points(s.where("val is not null")), 1, 2.0, DIAMETER)
     near = near.select(F.col("i").alias("cell_id"), F.sqrt("d2").alias("d"))
     ends = near.agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
@@ -207,11 +208,11 @@ def thin_draws(spark, sf):
     return _draws(spark).where("draw > 9 and (draw - 10) % 10 = 0").groupBy("subset", "draw").agg(F.count("*").alias("cells"))
 
 
-@query("logit_transform", f"WITH {P} SELECT method, cell_id, round(ln((mean - 0) / (100 - mean)), 6) AS x, round(100.0::DOUBLE - 100.0::DOUBLE / (exp(ln(mean / (100 - mean))) + 1), 5) AS back FROM p")
+@query("logit_transform", f"WITH {P} SELECT method, cell_id, round(ln((mean - 0) / (100 - mean)), 6) AS x, round(100.0::DOUBLE - 100.0::DOUBLE / (exp(ln(mean / (100 - mean))) + 1), 6) AS back FROM p")
 def logit_transform(spark, sf):
     m, s, y = _parts()
     x = S_.logit(m, 0.0, 100.0)
-    return predictions(spark, sf).select("method", "cell_id", r(x).alias("x"), r(S_.inverse_logit(x, 0.0, 100.0), 5).alias("back"))
+    return predictions(spark, sf).select("method", "cell_id", r(x).alias("x"), r(S_.inverse_logit(x, 0.0, 100.0), 6).alias("back"))
 
 
 @query("cumulative_coverage", f"WITH {P}, o AS (SELECT method, cell_id, {_COV} AS c FROM p) SELECT method, cell_id, sum(c) OVER (PARTITION BY method ORDER BY cell_id)::BIGINT AS total FROM o")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import covariance as C
 from gridloom.operators import aggregates as A
 from gridloom.operators import joins as J
+from gridloom.session import cut
 from gridloom.sources import sinks
 
 from .base import DIAMETER, NX, NY, OLS, S, Y0, points, signal
@@ -85,7 +86,7 @@ def _ordered(spark, sf):
     """The observed cells of the first thirty columns, numbered in cell order."""
     seen = _seen(spark, sf).where("ix < 30")
     number = F.row_number().over(Window.orderBy("cell_id")) - 1  # a small part of the lattice
-    return seen.select(number.cast("long").alias("id"), F.col("ix").alias("x"), F.col("iy").alias("y"), "val")
+    return cut(seen.select(number.cast("long").alias("id"), F.col("ix").alias("x"), F.col("iy").alias("y"), "val"))
 
 
 def _neighbours(spark, sf, m=5):
