@@ -1 +1,21 @@
+"""Queries that fit a model to the signal lattice and predict its masked cells; SQL cannot express them."""
+
+from __future__ import annotations
+
+from gridloom.models import fields
+from gridloom.session import cut
+
+from .base import NX, NY, signal
+
 QUERIES: dict = {}
+
+
+def _model(model):
+    return lambda spark, sf: model(cut(signal(spark, sf)), NX, NY)
+
+
+for _name, _f in fields.MODELS.items():
+    QUERIES[_name] = (_model(_f), None)
+QUERIES["grid_mle"] = (lambda spark, sf: fields.grid_likelihood(cut(signal(spark, sf)), NX, NY, fields.GRID[:6]), None)
+QUERIES["circulant_sim"] = (lambda spark, sf: fields.simulate(spark, 60, 40), None)
+QUERIES["gradient_clusters"] = (lambda spark, sf: fields.agglomerate(signal(spark, sf), 8), None)
