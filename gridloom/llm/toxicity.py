@@ -176,26 +176,28 @@ Counts = dict[tuple[str, int], tuple[int, int]]
 
 
 def _count(df: DataFrame, wanted: set[str] | None) -> DataFrame:
-    """entry, half, docs, contexts of the texts of df (half, text), first summed within each task."""
+    """entry, half, docs, contexts of the texts of df (half, text), first summed within each task.
+
+    Contexts are counted as the bits that the hashes of left neighbours set, of 63: enough to tell few from many.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, near = Counter(), defaultdict(set)
+        docs, near = Counter(), defaultdict(int)
         for part in by_bytes(batches, "text"):
             for half, text in zip(part.column("half").to_pylist(), part.column("text").to_pylist(), strict=True):
                 found = entries(text)
                 for e in found if wanted is None else found.keys() & wanted:
                     docs[e, half] += 1
-                    if wanted is None and len(near[e, half]) < 50:
-                        near[e, half].add(found[e])
+                    if wanted is None:
+                        near[e, half] |= 1 << found[e] % 63
         keys = list(docs)
-        contexts = [list(near[k]) if wanted is None else [] for k in keys]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([docs[k] for k in keys], pa.int64()), pa.array(contexts, pa.list_(pa.int64()))],
+            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([docs[k] for k in keys], pa.int64()), pa.array([near[k] for k in keys], pa.int64())],
             names=["entry", "half", "docs", "near"],
         )
 
-    rows = df.select("half", "text").mapInArrow(run, "entry string, half int, docs long, near array<long>")
-    return rows.groupBy("entry", "half").agg(F.sum("docs").alias("docs"), F.size(F.array_distinct(F.flatten(F.collect_list("near")))).alias("contexts"))
+    rows = df.select("half", "text").mapInArrow(run, "entry string, half int, docs long, near long")
+    return rows.groupBy("entry", "half").agg(F.sum("docs").alias("docs"), F.bit_count(F.bit_or("near")).alias("contexts"))
 
 
 def choose(toxic: Counts, clean: Counts, n: dict[tuple[int, int], int], halves: tuple[int, ...], p: ToxicParams) -> Lexicon:
@@ -207,7 +209,7 @@ def choose(toxic: Counts, clean: Counts, n: dict[tuple[int, int], int], halves:
         docs, contexts = (sum(toxic.get((e, h), (0, 0))[i] for h in halves) for i in (0, 1))
         bad, good = docs + 0.5, sum(clean.get((e, h), (0, 0))[0] for h in halves) + 0.5
         ratio = (bad / (n_toxic + 1)) / (good / (n_clean + 1))
-        if docs >= least and contexts >= max(least, min(50, docs) * 0.3) and ratio >= p.min_ratio:
+        if docs >= least and contexts >= max(least, min(40, docs) * 0.3) and ratio >= p.min_ratio:
             chosen[e] = math.log(ratio)
     return Lexicon({e: w for e, w in chosen.items() if e[-1] != "*"}, {e[:-1]: w for e, w in chosen.items() if e[-1] == "*"})
 
