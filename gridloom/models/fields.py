@@ -41,8 +41,8 @@ def _xy(f: pd.DataFrame) -> np.ndarray:
     return f[["ix", "iy"]].to_numpy(float)
 
 
-def fit_blocks(df: DataFrame, block: Column, grid: list[tuple[float, float]] = GRID) -> Fit:
-    """Maximum profile likelihood over a grid, with parameters shared by independent blocks.
+def block_fits(df: DataFrame, block: Column, grid: list[tuple[float, float]] = GRID) -> list[Fit]:
+    """The profile likelihood at each point of a grid, with parameters shared by independent blocks.
 
     Each block sends its sufficient statistics for every grid point; they are summed in Spark, the few sums decide.
     """
@@ -63,7 +63,12 @@ def fit_blocks(df: DataFrame, block: Column, grid: list[tuple[float, float]] = G
     for s in sums:
         beta, variance, ll = K.profile(np.array(s["xx"]).reshape(3, 3), np.array(s["xy"]), s["yy"], s["logdet"], s["n"])
         fits.append(Fit(beta, variance, s["range"], s["share"], ll))
-    return max(fits, key=lambda f: (f.loglik, -f.range))
+    return fits
+
+
+def fit_blocks(df: DataFrame, block: Column, grid: list[tuple[float, float]] = GRID) -> Fit:
+    """The grid point of greatest likelihood."""
+    return max(block_fits(df, block, grid), key=lambda f: (f.loglik, -f.range))
 
 
 def predict_blocks(df: DataFrame, block: Column, fit: Fit) -> DataFrame:
@@ -90,8 +95,7 @@ def partition_gp(df: DataFrame, nx: int, ny: int, per_tile: int = 400) -> DataFr
 
 def grid_likelihood(df: DataFrame, nx: int, ny: int, grid: list[tuple[float, float]] = GRID) -> DataFrame:
     """range, share, variance and log likelihood of every grid point, blocks as in the partition model."""
-    sums_of = lambda g: fit_blocks(df, tile_column(nx, ny), [g])
-    rows = [(f.range, f.share, f.variance, f.loglik) for f in map(sums_of, grid)]
+    rows = [(f.range, f.share, f.variance, f.loglik) for f in block_fits(df, tile_column(nx, ny), grid)]
     return df.sparkSession.createDataFrame(rows, "range double, share double, variance double, loglik double")
 
 

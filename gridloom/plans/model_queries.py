@@ -16,6 +16,6 @@ def _model(model):
 
 for _name, _f in fields.MODELS.items():
     QUERIES[_name] = (_model(_f), None)
-QUERIES["grid_mle"] = (lambda spark, sf: fields.grid_likelihood(cut(signal(spark, sf)), NX, NY, fields.GRID[:6]), None)
+QUERIES["grid_mle"] = (lambda spark, sf: fields.grid_likelihood(cut(signal(spark, sf)), NX, NY), None)
 QUERIES["circulant_sim"] = (lambda spark, sf: fields.simulate(spark, 60, 40), None)
 QUERIES["gradient_clusters"] = (lambda spark, sf: fields.agglomerate(signal(spark, sf), 8), None)
