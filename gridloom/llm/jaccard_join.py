@@ -6,10 +6,11 @@ sets form a class and go on as one. Shingles have one global order, rare ones fi
 longer prefix costs postings but asks for more matches before a pair is verified, so l grows with the estimated number of
 candidates. A pair needs the lesser of its two l.
 
-Postings are counted exactly. Lists of at most `light` classes give pairs, which are counted by pair and verified on their
-full sets. Longer lists (groups of near copies, passages that many share) give no pairs: the classes that they connect
-are laid out in cells of bounded size by length, cells whose lengths allow a link meet two at a time in a task, and the task
-returns only a spanning forest of the links it finds. No list is cut, so no link between different texts is lost.
+Postings are counted exactly. Lists of at most `light` classes give pairs, which are counted by pair; those with enough
+matches are candidates. Longer lists (groups of near copies, passages that many share) give no pairs: each only ties its
+classes together. What candidates and long lists connect is a group; its classes meet in cells of bounded size, in one
+task for a small group, else two cells at a time where sizes allow a link. There every pair is verified on the full sets,
+and the task returns only a spanning forest of the links. No list is cut, so no link between different texts is lost.
 
 How often a shingle occurs is kept in a count sketch of fixed size over all documents; it only sets the order and l, so its
 errors cost time, never links.
@@ -45,7 +46,8 @@ class JaccardParams:
     shingle_words: int = 3
     percent: int = 90
     sketch_bits: int = 24
-    longest: int = 6
+    longest: int = 8
+    accident: float = 0.1
     verify_cost: float = 20.0
     light: int = 64
     cell_shingles: int = 500_000
@@ -64,13 +66,13 @@ def signatures(docs: DataFrame, p: JaccardParams, id_col: str, text: str) -> Dat
     kind = pa.int64()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << bits, np.uint32)
+        sketch = np.zeros(1 << bits, np.uint8)
         names = ["id", "n", "key", "block", "counts"]
         for part in by_bytes(batches, "text"):
             sets = list(shingle_sets(part.column("text").to_pylist(), k, True))
             every = np.concatenate(sets) >> np.uint64(64 - bits)
             place, times = np.unique(every, return_counts=True)
-            sketch[place] += times.astype(np.uint32)
+            sketch[place] = np.minimum(sketch[place] + times, 255)  # only orders shingles; sums over tasks go on
             n = len(sets)
             yield pa.RecordBatch.from_arrays(
                 [part.column("id"), pa.array([len(s) for s in sets], kind), pa.array([_key(s) for s in sets], kind), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names
@@ -94,7 +96,7 @@ def merge_sketch(rows: DataFrame, p: JaccardParams) -> np.ndarray:
     def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         total = np.zeros(1 << min(_BLOCK, p.sketch_bits), np.int64)
         for x in table.column("counts").to_pylist():
-            total += np.frombuffer(zlib.decompress(x), np.uint32)
+            total += np.frombuffer(zlib.decompress(x), np.uint8)
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "load": pa.array([int(total.sum())], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +124,8 @@ def prefix(s: np.ndarray, classes: np.ndarray, p: JaccardParams) -> tuple[int, n
     order = np.argsort((cls.astype(np.uint64) << np.uint64(58)) | (s >> np.uint64(6)), kind="stable")
     overlap = least_overlap(len(s), p)
     base, most = len(s) - overlap + 1, min(p.longest, overlap)
-    found = np.exp2(cls[order[: base + most - 1]].astype(float)) - 1
+    # What a shingle adds: how many others are estimated to have it, and the chance that one more does by accident.
+    found = np.exp2(cls[order[: base + most - 1]].astype(float)) - 1 + p.accident
     postings = np.cumsum(found)[base - 1 :]
     cost = postings + p.verify_cost * postings / np.arange(1, most + 1) + np.arange(most)
     ell = int(np.argmin(cost)) + 1
@@ -150,20 +153,6 @@ def prefixes(docs: DataFrame, classes: np.ndarray, p: JaccardParams, text: str)
     return docs.select(docs[text].alias("text")).mapInArrow(run, "key long, n long, ell int, prefix array<long>")
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, p: JaccardParams, id_col: str, text: str) -> DataFrame:
-    """key, n and shingles of the classes in wanted (key, id: a document of the class)."""
-    ids = wanted.select(F.col("id").alias("__id")).distinct()
-    ids = F.broadcast(ids) if ids.count() <= p.broadcast_ids else ids
-    chosen = docs.select(docs[id_col].alias("__id"), docs[text].alias("text")).join(ids, "__id", "left_semi").select("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in by_bytes(batches, "text"):
-            sets = list(shingle_sets(part.column("text").to_pylist(), p.shingle_words, True))
-            yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _longs(sets)], names=["key", "n", "shingles"])
-
-    return chosen.mapInArrow(run, "key long, n long, shingles array<long>").dropDuplicates(["key"])
-
-
 def linked(overlap, a, b, p: JaccardParams):
     """Whether sets of sizes a and b with this overlap link (numbers, arrays or columns)."""
     return 100 * overlap >= p.percent * (a + b - overlap)
@@ -206,33 +195,63 @@ def cell_links(keys: np.ndarray, sizes: np.ndarray, side: np.ndarray, sets: list
     return forest
 
 
-def _heavy_links(heavy: DataFrame, sets: DataFrame, p: JaccardParams, scratch: Scratch) -> DataFrame:
-    """Links among classes (key, n) that long posting lists (token, key) connect."""
-    first = heavy.groupBy("token").agg(F.min("key").alias("b"))
-    joined = components(heavy.join(first, "token").select(F.col("key").alias("a"), "b"), scratch, "heavy")
+def _placed(edges: DataFrame, classes: DataFrame, p: JaccardParams, scratch: Scratch) -> DataFrame:
+    """Where the classes of each connected group of candidates meet: key, id, work, grp, one, two, side.
+
+    A group that fits a cell meets whole; small groups share a unit of work. A larger one is laid out in bands of size, such
+    that sets can link only within a band or with the next one, and each band in cells; cells meet two at a time.
+    """
+    joined = components(edges, scratch, "candidates")
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     band = F.floor(F.log("n") / F.log(F.lit(100.0 / p.percent)) + 1e-9).cast("int")
-    members = heavy.select("key", "n").distinct().join(joined, F.col("key") == F.col("node"), "left")
-    members = scratch.save(members.select("key", "n", F.coalesce("root", "key").alias("group"), band.alias("band")), "heavy-members")
-    cells = members.groupBy("group", "band").agg(F.greatest(F.ceil(F.sum("n") / p.cell_shingles), F.ceil(F.count("*") / p.cell_classes)).cast("int").alias("cells"))
-    cells = scratch.save(cells, "heavy-cells")
-    near = cells.select("group", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), F.col("band").alias("other"), F.col("cells").alias("others"))
-    near = near.groupBy("group", "band").agg(F.collect_list(F.struct("other", "others")).alias("around"))  # three at most
-    cells = cells.join(near, ["group", "band"])
-    placed = members.join(cells, ["group", "band"]).withColumn("cell", F.pmod(F.xxhash64("key"), F.col("cells")).cast("int"))
-    own = F.struct(F.col("band").alias("b"), F.col("cell").alias("c"))
-    other = F.expr("flatten(transform(around, x -> transform(sequence(0, x.others - 1), c -> struct(x.other as b, c as c))))")
-    meet = placed.withColumn("own", own).withColumn("met", F.explode(other))
-    meet = meet.select("key", "group", F.least("own", "met").alias("one"), F.greatest("own", "met").alias("two"), (F.col("own") > F.col("met")).cast("int").alias("side"))
-    work = meet.join(sets, "key").select("group", "one", "two", "side", "key", "n", "shingles")
+    members = nodes.join(joined, F.col("key") == F.col("node"), "left").select("key", F.coalesce("root", "key").alias("grp"))
+    members = scratch.save(members.join(classes, "key").select("key", "id", "n", "grp", band.alias("band")), "members")
+    fit = F.greatest(F.ceil(F.sum("n") / p.cell_shingles), F.ceil(F.count("*") / p.cell_classes)).cast("int")
+    groups = scratch.save(members.groupBy("grp").agg(fit.alias("size"), F.sum("n").alias("total")), "groups")
+    units = F.lit(1 + (groups.where("size = 1").agg(F.sum("total")).first()[0] or 0) // p.cell_shingles)
+    none = F.struct(F.lit(0).alias("b"), F.lit(0).alias("c"))
+    whole = members.join(groups.where("size = 1").select("grp"), "grp")
+    whole = whole.select("key", "id", F.pmod(F.xxhash64("grp"), units).alias("work"), "grp", none.alias("one"), none.alias("two"), F.lit(0).alias("side"))
+    large = members.join(groups.where("size > 1").select("grp"), "grp")
+    cells = scratch.save(large.groupBy("grp", "band").agg(fit.alias("cells")), "cells")
+    near = cells.select("grp", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), F.col("band").alias("other"), F.col("cells").alias("others"))
+    near = near.groupBy("grp", "band").agg(F.collect_list(F.struct("other", "others")).alias("around"))  # three at most
+    spread = large.join(cells.join(near, ["grp", "band"]), ["grp", "band"]).withColumn("cell", F.pmod(F.xxhash64("key"), F.col("cells")).cast("int"))
+    met = F.expr("flatten(transform(around, x -> transform(sequence(0, x.others - 1), c -> struct(x.other as b, c as c))))")
+    spread = spread.withColumn("own", F.struct(F.col("band").alias("b"), F.col("cell").alias("c"))).withColumn("met", F.explode(met))
+    one, two = F.least("own", "met"), F.greatest("own", "met")
+    spread = spread.select("key", "id", F.xxhash64("grp", one, two).alias("work"), "grp", one.alias("one"), two.alias("two"), (F.col("own") > F.col("met")).cast("int").alias("side"))
+    return scratch.save(whole.unionByName(spread), "placed")
+
+
+def verified_links(docs: DataFrame, edges: DataFrame, classes: DataFrame, p: JaccardParams, scratch: Scratch, id_col: str, text: str) -> DataFrame:
+    """The links (a, b) among the classes that edges (a, b) connect, as spanning forests; each set is shuffled once for each meeting."""
+    placed = _placed(edges, classes, p, scratch)
+    placed = placed.withColumnRenamed("id", "__id")
+    placed = F.broadcast(placed) if placed.count() <= p.broadcast_ids else placed
+    rows = docs.select(docs[id_col].alias("__id"), docs[text].alias("text")).join(placed, "__id").select("key", "work", "grp", F.hash("one", "two").alias("cells"), "side", "text")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in by_bytes(batches, "text"):
+            own = list(shingle_sets(part.column("text").to_pylist(), p.shingle_words, True))
+            is_class = pa.array([_key(s) == k for s, k in zip(own, part.column("key").to_pylist(), strict=True)])  # ids may repeat
+            kept = ["key", "work", "grp", "cells", "side"]
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], _longs(own)], names=[*kept, "shingles"]).filter(is_class)
 
     def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("grp", "ascending"), ("cells", "ascending")])
+        grp, cells, keys, side = (table.column(c).to_numpy() for c in ("grp", "cells", "key", "side"))
         lists = table.column("shingles").combine_chunks()
         flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
         each = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
-        found = cell_links(table.column("key").to_numpy(), table.column("n").to_numpy(), table.column("side").to_numpy(), each, p)
+        cut = np.flatnonzero(np.concatenate(([True], (grp[1:] != grp[:-1]) | (cells[1:] != cells[:-1]), [True])))
+        found = []
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            found += cell_links(keys[a:b], np.diff(ends)[a:b].astype(np.int64), side[a:b], each[a:b], p)
         return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
-    return work.groupBy("group", "one", "two").applyInArrow(compare, "a long, b long")
+    made = rows.mapInArrow(sets, "key long, work long, grp long, cells int, side int, shingles array<long>")
+    return made.groupBy("work").applyInArrow(compare, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, p: JaccardParams = JaccardParams(), id_col: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
@@ -259,16 +278,12 @@ def jaccard_components(docs: DataFrame, p: JaccardParams = JaccardParams(), id_c
     by = [weights.select(F.col("key").alias(k), F.col("heavy").alias(h)) for k, h in (("key", "h1"), ("key2", "h2"))]
     pairs = pairs.join(by[0], "key", "left").join(by[1], "key2", "left")
     also = F.coalesce(F.least(F.coalesce("h1", F.lit(0)), F.coalesce("h2", F.lit(0))), F.lit(0))  # matches on long lists, at most
-    pairs = scratch.save(pairs.where(F.col("met") + also >= F.col("ell")).select("key", "key2"), "pairs")
-
-    needed = pairs.select("key").union(pairs.select(F.col("key2"))).union(heavy.select("key")).distinct()
-    sets = scratch.save(full_sets(docs, classes.join(needed, "key", "left_semi"), p, id_col, text), "sets")
-    two = sets.select(F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("shingles").alias("shingles2"))
-    checked = pairs.join(sets, "key").join(two, "key2").withColumn("overlap", F.size(F.array_intersect("shingles", "shingles2")))
-    links = checked.where(linked(F.col("overlap"), F.col("n"), F.col("n2"), p)).select(F.col("key").alias("a"), F.col("key2").alias("b"))
-    links = scratch.save(links.union(_heavy_links(heavy.select("token", "key", "n"), sets, p, scratch)), "links")
-    scratch.drop("sets")
+    pairs = pairs.where(F.col("met") + also >= F.col("ell")).select(F.col("key").alias("a"), F.col("key2").alias("b"))
+    first = heavy.groupBy("token").agg(F.min("key").alias("b"))
+    stars = heavy.join(first, "token").select(F.col("key").alias("a"), "b")
+    edges = scratch.save(pairs.union(stars).distinct(), "edges")
     scratch.drop("postings")
+    links = scratch.save(verified_links(docs, edges, classes, p, scratch, id_col, text), "links")
 
     joined = components(links, scratch, "components")
     rooted = classes.join(joined, F.col("key") == F.col("node"), "left").select("key", "id", F.coalesce("root", "key").alias("root"))
