@@ -48,9 +48,9 @@ def sentinel_recode(spark, sf):
     return lattice(spark, sf).select("cell_id", L.recode_sentinel(F.col("iy") % 10, 0).alias("v"))
 
 
-@query("unit_rescale", f"WITH {G} SELECT cell_id, round(truth * 0.02::DOUBLE - 273.15::DOUBLE, 6) AS v FROM g")
+@query("unit_rescale", f"WITH {G} SELECT cell_id, round(truth * 0.02::DOUBLE - 273.15::DOUBLE, 9) AS v FROM g")
 def unit_rescale(spark, sf):
-    return lattice(spark, sf).select("cell_id", r(L.rescale(F.col("truth"))).alias("v"))
+    return lattice(spark, sf).select("cell_id", r(L.rescale(F.col("truth")), 9).alias("v"))
 
 
 @query("axis_generate", "SELECT i::INT AS i, round(-95.0::DOUBLE + i * ((4.0::DOUBLE) / 1199), 6) AS lon, round(37.0::DOUBLE - i * ((3.0::DOUBLE) / 1199), 6) AS lat FROM range(1200) t(i)")
