@@ -1,11 +1,13 @@
 """Quality rules whose cutoffs carry a statistical guarantee (operator 4).
 
-Each rule rejects a text when one statistic exceeds a cutoff. The cutoff of a rule in a stratum (texts of like length)
-is chosen on labelled holdouts: starting at the loosest of a fixed grid, cutoffs are tightened for as long as the exact
-binomial (Clopper-Pearson) upper bound on the share of good texts that the rule would reject stays within the rule's part
-of the budget. The grid is tested in a fixed order and testing ends at the first failure, so the steps need no
-correction among themselves; rules and strata are corrected by Bonferroni. With probability 1 - `delta` at least, the
-rules together reject no more than `max_false_rejection` of the good texts of any stratum.
+Each rule rejects a text when one statistic exceeds a cutoff. In each stratum (texts of like length) the cutoffs of all
+rules are tightened along one path, a cutoff of one rule at a step, so the texts that any rule rejects only become more.
+The path is followed for as long as the exact binomial (Clopper-Pearson) upper bound on the share of labelled good texts
+that the rules together would reject stays within the budget. The path is laid by texts that are not labelled good, so it
+does not depend on those that test it; testing ends at the first failure, so the steps need no correction among
+themselves, and strata are corrected by Bonferroni. With probability 1 - `delta` at least, the rules together reject no
+more than `max_false_rejection` of the good texts of any stratum. At the default budget a stratum is judged from 217
+labelled good texts on; in one with fewer no rule rejects.
 
 Rows: a null text counts as empty. Extra columns are ignored. Repeated rows give repeated results, an empty table none.
 Labels for ids that occur more than once count once each row. Without labels no rule rejects (no cutoff can be certified).
@@ -40,6 +42,10 @@ GRIDS: dict[str, tuple[float, ...]] = {
 }
 
 
+#: How many cutoffs of each rule hold, in the order of GRIDS.
+State = tuple[int, ...]
+
+
 @dataclass(frozen=True)
 class RuleParams:
     min_words: int = 50
@@ -104,40 +110,84 @@ def binomial_cdf(k: int, n: int, q: float) -> float:
     return float(min(1.0, np.exp(lg + x * math.log(q) + (n - x) * math.log1p(-q)).sum()))
 
 
-def learn_cutoffs(counts: dict[tuple[str, int], tuple[int, list[int]]], p: RuleParams) -> dict[tuple[str, int], float]:
-    """The strictest certified cutoff of each rule and stratum.
+def learn_cutoffs(counts: dict[tuple[str, int], tuple[int, list[int]]], p: RuleParams, paths: dict[str, tuple] = GRIDS) -> dict[tuple[str, int], float | State]:
+    """The strictest certified cutoff of each path and stratum; the paths share the budget.
 
-    counts: the number of good holdout texts, and how many of them each cutoff of the grid would reject. A cutoff is
-    certified when more than its count would be unlikely (below delta / tests) were the true share over the rule's part.
+    counts: the number of good holdout texts, and how many of them each cutoff of the path would reject. A cutoff is
+    certified when no more than its count would be unlikely (below delta / tests) were the true share over the path's part.
     """
-    tests, share = len(GRIDS) * (len(STRATA) + 1), p.max_false_rejection / len(GRIDS)
+    tests, share = len(paths) * (len(STRATA) + 1), p.max_false_rejection / len(paths)
     found = {}
     for (rule, stratum), (n, rejected) in counts.items():
-        for cutoff, k in zip(GRIDS[rule], rejected, strict=True):
+        for cutoff, k in zip(paths[rule], rejected, strict=True):
             if n == 0 or binomial_cdf(k, n, share) > p.delta / tests:
                 break
             found[rule, stratum] = cutoff
     return found
 
 
+def lay_path(need: np.ndarray, bad: np.ndarray, other: np.ndarray) -> tuple[State, ...]:
+    """States of the rules, each with one cutoff more than the one before, up to all cutoffs of all rules.
+
+    need: for each kind of text and rule, from how many of the rule's cutoffs on it is rejected; bad and other: how many
+    labelled bad and unlabelled texts are of that kind. First come cutoffs that reject nothing more, then those with the
+    most bad texts for the others that they reject, then those that reject the fewest others.
+    """
+    ends = [len(g) for g in GRIDS.values()]
+    state, path, left = [0] * len(ends), [], np.ones(len(need), dtype=bool)
+    while state != ends:
+        best = None
+        for r, end in enumerate(ends):
+            for to in range(state[r] + 1, end + 1):
+                more = left & (need[:, r] <= to)
+                gain, cost = int(bad[more].sum()), int(other[more].sum())
+                key = (0, 0.0) if gain == cost == 0 else (1, -gain / (cost + 1)) if gain else (2, float(cost))
+                if best is None or key < best[0]:
+                    best = key, r, to
+        _, r, to = best
+        while state[r] < to:
+            state[r] += 1
+            path.append(tuple(state))
+        left &= need[:, r] > to
+    return tuple(path)
+
+
+def certify(rows: list[tuple[tuple[int, ...], int, int, int]], p: RuleParams) -> State | None:
+    """How many cutoffs of each rule hold in a stratum. rows: (need, texts labelled good, labelled bad, unlabelled)."""
+    need = np.array([r[0] for r in rows]).reshape(-1, len(GRIDS))
+    good, bad, other = (np.array([r[k] for r in rows], dtype=np.int64) for k in (1, 2, 3))
+    path = lay_path(need, bad, other)
+    rejected = [int(good[(need <= state).any(axis=1)].sum()) for state in path]
+    return learn_cutoffs({("all", 0): (int(good.sum()), rejected)}, p, {"all": path}).get(("all", 0))
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, p: RuleParams = RuleParams(), id_col: str = "doc_id", scratch: Scratch | None = None) -> DataFrame:
     """id, the statistics, base_failed, kept and the first rule that rejects (null: none).
 
     labels: id_col and quality (1: good). The texts are read once; their counts, a narrow table, are written, and only
-    these meet the labels. Counting is one aggregation over all labelled texts, of a few rows' size.
+    these meet the labels. Counting is one aggregation over all texts, by the cutoffs that reject them: a few numbers of
+    steps a row, so its size is bounded by the grids.
     """
     ratios = _ratios()
     scratch = scratch or Scratch(docs.sparkSession, "rules")
     counted = scratch.save(statistics(docs, [id_col]), "statistics")
-    good = labels.where("quality = 1").select(F.col(id_col).alias("__id")).where("__id is not null")
-    holdout = counted.join(good, counted[id_col] == good["__id"], "left_semi")
-    holdout = holdout.where(~base_failed(p)).select(*[c.alias(n) for n, c in ratios.items()])
-    over = [F.sum((F.col(r) > c).cast("long")).alias(f"{r}_{i}") for r, grid in GRIDS.items() for i, c in enumerate(grid)]
-    counts = {}
-    for row in holdout.groupBy("stratum").agg(F.count("*").alias("n"), *over).collect():  # a row for each stratum
-        for r, grid in GRIDS.items():
-            counts[r, row["stratum"]] = row["n"], [row[f"{r}_{i}"] for i in range(len(grid))]
-    cutoffs = learn_cutoffs(counts, p)
+    known = labels.where("quality in (0, 1)").where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max("quality").alias("quality"))
+    judged = counted.where(~base_failed(p))
+    needs = [(F.lit(1) + sum((ratios[r] <= c).cast("int") for c in grid)).alias(r) for r, grid in GRIDS.items()]
+    kinds = [ratios["stratum"].alias("stratum"), *needs]
+    named = judged.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), *kinds).join(known, "__id", "left")
+    kinds = named.drop("__id").unionByName(judged.where(F.col(id_col).isNull()).select(*kinds, F.lit(None).cast("int").alias("quality")))
+    number = lambda c: F.count(F.when(c, 1))
+    quality = F.col("quality")
+    kinds = kinds.groupBy("stratum", *GRIDS).agg(number(quality == 1).alias("good"), number(quality == 0).alias("bad"), number(quality.isNull()).alias("other"))
+    found: dict[int, list] = {}
+    for row in kinds.orderBy("stratum", *GRIDS).collect():
+        found.setdefault(row["stratum"], []).append((tuple(row[r] for r in GRIDS), row["good"], row["bad"], row["other"]))
+    cutoffs = {}
+    for stratum, rows in found.items():
+        for (rule, grid), steps in zip(GRIDS.items(), certify(rows, p) or (), strict=False):
+            if steps:
+                cutoffs[rule, stratum] = grid[steps - 1]
     fails = [
         (rule, F.coalesce(*[F.when(ratios["stratum"] == s, ratios[rule] > c) for (r, s), c in cutoffs.items() if r == rule], F.lit(False)))
         for rule in GRIDS

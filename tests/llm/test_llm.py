@@ -136,6 +136,28 @@ def test_certified_cutoffs():
     assert abs(quality_rules.binomial_cdf(3, 10, 0.3) - sum(math.comb(10, k) * 0.3**k * 0.7 ** (10 - k) for k in range(4))) < 1e-12
 
 
+def test_rules_are_certified_together_at_the_bench_size(spark):
+    sf = "/root/testdata/sf0.1"
+    label = {r.doc_id: r.quality for r in store.table(spark, sf, "labels").collect()}
+    rows = [(r, label.get(r.doc_id)) for r in queries.op4_quality_rules(spark, sf).where("not base_failed").collect()]
+    bad = [r.kept for r, y in rows if y == 0]
+    assert sum(bad) < 0.05 * len(bad)
+    for low, high in zip((0, *quality_rules.STRATA), (*quality_rules.STRATA, math.inf)):
+        good = [r.kept for r, y in rows if y == 1 and low < r.n_words <= high]
+        assert len(good) >= 217 and good.count(False) <= 0.02 * len(good)
+
+
+def test_path_of_rules_is_nested_and_spares_good_texts():
+    none = [len(g) + 1 for g in quality_rules.GRIDS.values()]
+    junk, fine = [6, *none[1:]], [none[0], 4, *none[2:]]
+    path = quality_rules.lay_path(np.array([none, junk, fine]), np.array([0, 9, 0]), np.array([500, 20, 8]))
+    assert all(sum(b) - sum(a) == 1 and all(x <= y for x, y in zip(a, b)) for a, b in zip(path, path[1:]))
+    rows = [(tuple(none), 217, 0, 500), (tuple(junk), 0, 9, 20), (tuple(fine), 2, 0, 8)]
+    state = quality_rules.certify(rows, quality_rules.RuleParams())
+    assert state[0] >= 6 and state[1] < 4
+    assert quality_rules.certify([(tuple(none), 216, 9, 0)], quality_rules.RuleParams()) is None
+
+
 def test_mix_reaches_targets_and_repeats(spark):
     docs = store.table(spark, SF, "documents")
     p = MixParams(block_words=3000, shard_words=10_000)
