@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -47,12 +47,13 @@ FIXED = {w: s for s, words in (("T", THREATS), ("G", TARGETS), ("N", NEGATIONS),
 KINDS = {"I": 1.0, "J": 1.3, "n": 0.3, "q": 0.4, "T": 0.0, "U": 1.0}
 REACH = 3
 PREFIXES = (4, 5, 6)
+#: Entries that a task counts before it hands on their sums.
+HELD_ENTRIES = 500_000
 
 
 @dataclass(frozen=True)
 class ToxicParams:
     sample: int = 6000
-    max_candidates: int = 20_000
     min_ratio: float = 20.0
     min_docs: int = 5
     threshold: float = 0.5
@@ -172,46 +173,64 @@ def hash_word(word: str) -> int:
     return h & 0x7FFFFFFF
 
 
-Counts = dict[tuple[str, int], tuple[int, int]]
-
-
-def _count(df: DataFrame, wanted: set[str] | None) -> DataFrame:
-    """entry, half, docs, contexts of the texts of df (half, text), first summed within each task.
+def _count(sample: DataFrame) -> DataFrame:
+    """A row for each entry of the sample (toxic, half, text): clean_h and toxic_h, its texts of each label in half h, and
+    near_h, its contexts in the toxic ones of that half. Counts are first summed within each task,
+    of HELD_ENTRIES or a little more at a time.
 
     Contexts are counted as the bits that the hashes of left neighbours set, of 63: enough to tell few from many.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, near = Counter(), defaultdict(int)
+        docs, near = [Counter() for _ in range(4)], [Counter() for _ in range(2)]
+
+        def summed() -> pa.RecordBatch:
+            keys = list(set().union(*docs))
+            columns = [pa.array(keys, pa.string())] + [pa.array([x[k] for k in keys], pa.int64()) for x in docs + near]
+            for x in docs + near:
+                x.clear()
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
         for part in by_bytes(batches, "text"):
-            for half, text in zip(part.column("half").to_pylist(), part.column("text").to_pylist(), strict=True):
+            for toxic, half, text in zip(*(part.column(c).to_pylist() for c in ("toxic", "half", "text")), strict=True):
                 found = entries(text)
-                for e in found if wanted is None else found.keys() & wanted:
-                    docs[e, half] += 1
-                    if wanted is None:
-                        near[e, half] |= 1 << found[e] % 63
-        keys = list(docs)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([docs[k] for k in keys], pa.int64()), pa.array([near[k] for k in keys], pa.int64())],
-            names=["entry", "half", "docs", "near"],
-        )
-
-    rows = df.select("half", "text").mapInArrow(run, "entry string, half int, docs long, near long")
-    return rows.groupBy("entry", "half").agg(F.sum("docs").alias("docs"), F.bit_count(F.bit_or("near")).alias("contexts"))
-
-
-def choose(toxic: Counts, clean: Counts, n: dict[tuple[int, int], int], halves: tuple[int, ...], p: ToxicParams) -> Lexicon:
-    """What is frequent in the toxic texts of `halves`, in many contexts, and rare in their other texts."""
+                docs[2 * toxic + half].update(found.keys())
+                if toxic:
+                    for e, left in found.items():
+                        near[half][e] |= 1 << left % 63
+                if sum(map(len, docs)) > HELD_ENTRIES:
+                    yield summed()
+        yield summed()
+
+    names = ["entry", "clean_0", "clean_1", "toxic_0", "toxic_1", "near_0", "near_1"]
+    rows = sample.select("toxic", "half", "text").mapInArrow(run, "entry string, " + ", ".join(f"{c} long" for c in names[1:]))
+    return rows.groupBy("entry").agg(*[F.sum(c).alias(c) for c in names[1:5]], *[F.bit_count(F.bit_or(c)).alias(c) for c in names[5:]])
+
+
+def _ratio(n: dict[tuple[int, int], int], halves: tuple[int, ...], p: ToxicParams) -> F.Column:
+    """How much more frequent an entry of _count is in the toxic texts of `halves` than in their other texts; null where it
+    is not frequent there, stands in few contexts or is not rare in the others. n: the texts by label and half.
+
+    A half's toxic texts count from the second on, in two contexts: a single one may be chance, whatever the sample's size.
+    """
     n_toxic, n_clean = (sum(n.get((y, h), 0) for h in halves) for y in (1, 0))
     least = max(p.min_docs if n_toxic > 100 else 3 if n_toxic > 12 else 2, n_toxic // 400)
-    chosen: dict[str, float] = {}
-    for e in {e for e, _ in toxic}:
-        docs, contexts = (sum(toxic.get((e, h), (0, 0))[i] for h in halves) for i in (0, 1))
-        bad, good = docs + 0.5, sum(clean.get((e, h), (0, 0))[0] for h in halves) + 0.5
-        ratio = (bad / (n_toxic + 1)) / (good / (n_clean + 1))
-        if docs >= least and contexts >= max(least, min(40, docs) * 0.3) and ratio >= p.min_ratio:
-            chosen[e] = math.log(ratio)
-    return Lexicon({e: w for e, w in chosen.items() if e[-1] != "*"}, {e[:-1]: w for e, w in chosen.items() if e[-1] == "*"})
+    twice = lambda c, h: F.when((F.col(f"toxic_{h}") >= 2) & (F.col(f"near_{h}") >= 2), F.col(f"{c}_{h}")).otherwise(0)
+    docs, contexts = (sum(twice(c, h) for h in halves) for c in ("toxic", "near"))
+    clean = sum(F.col(f"clean_{h}") for h in halves)
+    ratio = ((docs + F.lit(0.5)) / (n_toxic + 1)) / ((clean + F.lit(0.5)) / (n_clean + 1))
+    return F.when((docs >= least) & (contexts >= F.greatest(F.lit(float(least)), F.least(F.lit(40), docs) * F.lit(0.3))) & (ratio >= p.min_ratio), ratio)
+
+
+def choose(counts: DataFrame, n: dict[tuple[int, int], int], p: ToxicParams) -> tuple[Lexicon, Lexicon, Lexicon]:
+    """The lexicons of half 0, of half 1 and of both. All entries are judged in Spark; only what one takes is collected."""
+    each = counts.select("entry", *[_ratio(n, h, p).alias(f"r{k}") for k, h in enumerate([(0,), (1,), (0, 1)])])
+    out = Lexicon(), Lexicon(), Lexicon()
+    for row in each.where("r0 is not null or r1 is not null or r2 is not null").toLocalIterator():
+        for lexicon, ratio in zip(out, row[1:], strict=True):
+            if ratio is not None:
+                (lexicon.starts if row["entry"][-1] == "*" else lexicon.weights)[row["entry"].rstrip("*")] = math.log(ratio)
+    return out
 
 
 def learn(sample: DataFrame, p: ToxicParams) -> tuple[Lexicon, np.ndarray, float]:
@@ -223,16 +242,12 @@ def learn(sample: DataFrame, p: ToxicParams) -> tuple[Lexicon, np.ndarray, float
     n = {(r["toxic"], r["half"]): r["n"] for r in sample.groupBy("toxic", "half").agg(F.count("*").alias("n")).collect()}
     if not any(y == 1 for y, _ in n):
         return Lexicon(), np.array([*KINDS.values()]), p.bias
-    frequent = _count(sample.where("toxic = 1"), None).where("docs >= 2 and contexts >= 2")
-    as_counts = lambda df: {(r["entry"], r["half"]): (r["docs"], r["contexts"]) for r in df.toLocalIterator()}
-    toxic = as_counts(frequent.orderBy(F.desc("docs"), "entry").limit(p.max_candidates))
-    clean = as_counts(_count(sample.where("toxic = 0"), {e for e, _ in toxic}))
-    across = [choose(toxic, clean, n, (1 - h,), p) for h in (0, 1)]
-    rows = map_texts(sample.where("half = 0"), ["toxic"], "text", "found array<double>", _found(across[0]))
-    rows = rows.union(map_texts(sample.where("half = 1"), ["toxic"], "text", "found array<double>", _found(across[1])))
+    first, second, both = choose(_count(sample), n, p)
+    rows = map_texts(sample.where("half = 0"), ["toxic"], "text", "found array<double>", _found(second))
+    rows = rows.union(map_texts(sample.where("half = 1"), ["toxic"], "text", "found array<double>", _found(first)))
     seen = [(r["found"], r["toxic"]) for r in rows.toLocalIterator()]
     weights, bias = learn_weights(np.array([r[0] for r in seen]), np.array([r[1] for r in seen], float), p)
-    return choose(toxic, clean, n, (0, 1), p), weights, bias
+    return both, weights, bias
 
 
 def _found(lexicon: Lexicon):

@@ -294,6 +294,20 @@ def test_clause_grammar():
         assert one.then(two).run(s) == two.run(one.run(s))
 
 
+def test_rare_insult_is_learned_beside_many_common_words(spark):
+    rng = np.random.default_rng(9)
+    words = ["".join(w) for w in rng.choice(list("abcdefghijklmnopqrstuvwxy"), (3000, 7))]
+    rows = []
+    for i in range(80):
+        text = rng.permutation(words).tolist()
+        if i < 10:
+            text.insert(1 + 7 * i, "zorgon")
+        rows.append((int(i < 40), i % 2, " ".join(text)))
+    sample = spark.createDataFrame(rows, "toxic int, half int, text string")
+    lexicon, _, _ = toxicity.learn(sample, toxicity.ToxicParams())
+    assert set(lexicon.weights) == {"zorgon"} and math.isclose(lexicon.weights["zorgon"], math.log(21))
+
+
 @pytest.mark.parametrize("name, label, least", [("op2_quality_classifier", "quality", 0.9), ("op10_toxicity", "toxic", 0.93)])
 def test_held_out_accuracy(spark, name, label, least):
     sf = "/root/testdata/sf0.01"
