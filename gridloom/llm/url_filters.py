@@ -52,10 +52,15 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
+def _longest_first(rules: list[Rule]) -> list[Rule]:
+    """Of rules of one length the first by name goes first."""
+    return sorted(rules, key=lambda r: (-len(r.name), r.name))
+
+
 def _decide(rules: list[Rule], host: Column, path: Column, value: str) -> Column:
     """The name or verdict of the longest fitting rule, else null."""
     result = F.lit(None).cast("string")
-    for r in sorted(rules, key=lambda r: (len(r.name), r.name)):
+    for r in _longest_first(rules)[::-1]:
         fits = ((host == r.host) | F.endswith(host, F.lit("." + r.host))) & F.startswith(path, F.lit(r.path))
         result = F.when(fits, F.lit(getattr(r, value))).otherwise(result)
     return result
@@ -72,7 +77,8 @@ def host_links(pages: DataFrame) -> DataFrame:
 def spread(hosts: DataFrame, links: DataFrame, p: UrlParams, scratch: Scratch) -> DataFrame:
     """hosts (host, trust, distrust: seed weights) with relative trust and distrust after propagation.
 
-    Every step is a join of the masses with the links and a sum by host; each fourth step is written, to cut lineage.
+    Every step is a join of the masses with the links and a sum by host; each fourth step is written, to cut lineage. The
+    steps end early where four of them have moved no mass at all.
     """
     seeds = hosts.select("host", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("seed")) for k in ("trust", "distrust")])).alias("x"))
     seeds = scratch.save(seeds.select("host", "x.kind", "x.seed"), "seeds")
@@ -82,7 +88,7 @@ def spread(hosts: DataFrame, links: DataFrame, p: UrlParams, scratch: Scratch) -
     back = links.join(into, "dst").select(F.lit("distrust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"), (F.col("n") / F.col("total")).alias("w"))
     edges = scratch.save(ahead.unionByName(back), "edges")
     rest = 1 - p.damping
-    masses = seeds.select("host", "kind", (F.col("seed") * rest).alias("x"), F.lit(rest).alias("base"))
+    masses = last = seeds.select("host", "kind", (F.col("seed") * rest).alias("x"), F.lit(rest).alias("base"))
     for i in range(p.iterations):
         moved = masses.join(edges, ["kind", "host"]).groupBy("kind", "to").agg(F.sum(F.col("x") * F.col("w")).alias("x"), F.sum(F.col("base") * F.col("w")).alias("base"))
         moved = moved.select("kind", F.col("to").alias("host"), F.col("x").alias("dx"), F.col("base").alias("db"))
@@ -91,6 +97,10 @@ def spread(hosts: DataFrame, links: DataFrame, p: UrlParams, scratch: Scratch) -
         )
         if i % p.write_every == p.write_every - 1:
             masses = scratch.save(masses, f"masses{i}")
+            was = last.select("kind", "host", F.col("x").alias("x0"), F.col("base").alias("b0"))
+            if masses.join(was, ["kind", "host"]).where("x <> x0 or base <> b0").isEmpty():
+                break
+            last = masses
     share = lambda k: F.sum(F.when(F.col("kind") == k, F.col("x") / F.col("base"))).alias(k)
     return masses.groupBy("host").agg(share("trust"), share("distrust"))
 
@@ -108,12 +118,9 @@ def url_filters(pages: DataFrame, rules: list[Rule], p: UrlParams = UrlParams(),
     part = lambda v: (F.sum(F.when(F.col("ruled") == v, 1.0).otherwise(0.0)) / F.count("*"))
     own = judged.groupBy("host").agg(part("allow").alias("trust"), part("block").alias("distrust"))
     links = scratch.save(host_links(pages), "links")
-    if links.isEmpty():
-        scores = own
-    else:
-        ends = links.select(F.explode(F.array("src", "dst")).alias("host")).distinct()
-        hosts = own.join(ends, "host", "full").fillna(0.0, ["trust", "distrust"])
-        scores = spread(hosts, links, p, scratch)
+    ends = links.select(F.explode(F.array("src", "dst")).alias("host")).distinct()
+    hosts = own.join(ends, "host", "full").fillna(0.0, ["trust", "distrust"])
+    scores = spread(hosts, links, p, scratch)
     blocked = scores.where((F.col("distrust") >= p.threshold) & (F.col("distrust") > F.col("trust"))).select("host", F.lit("block").alias("spread"))
     blocked = scratch.save(blocked, "blocked")
     blocked = F.broadcast(blocked) if blocked.count() <= p.broadcast_hosts else blocked
@@ -123,7 +130,7 @@ def url_filters(pages: DataFrame, rules: list[Rule], p: UrlParams = UrlParams(),
 def oracle(rules: list[Rule], p: UrlParams = UrlParams()) -> str:
     """DuckDB SQL for url_filters() over the view pages, the propagation unrolled."""
     fits = lambda r: f"((host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}'))"
-    longest = sorted(rules, key=lambda r: (-len(r.name), r.name))
+    longest = _longest_first(rules)
     case = lambda v: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{getattr(r, v)}'" for r in longest) + " END"
     low = f"translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}')"
     link = LINK.replace("'", "''")

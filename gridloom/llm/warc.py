@@ -4,7 +4,7 @@ Writing gives one archive for each partition, a gzip member for each record, and
 offset, length), URL and digest of every record. An archive has a name of its own for each attempt of its task; only the
 attempt whose index rows Spark commits is ever read, so retries and lost executors leave unused files, no wrong ones.
 Reading takes the index rows of the records that are wanted, sorts them by place, joins ranges whose gap is small and
-fetches each joined range with one read.
+fetches each joined range with one read, in as many tasks as the wanted bytes ask for.
 
 Records with equal payloads of at least `min_payload` bytes: that with the largest id is the response, the others are
 revisits that refer to it. A null payload is an empty one. A null URL has no WARC-Target-URI; control characters and
@@ -42,6 +42,7 @@ class WarcParams:
     gzip_level: int = 1
     max_gap: int = 64 << 10
     range_bytes: int = 8 << 20
+    task_bytes: int = 64 << 20
 
 
 def digest(payload: bytes) -> str:
@@ -135,13 +136,16 @@ def coalesce(places: list[tuple[int, int]], max_gap: int) -> list[tuple[int, int
 def read(index: DataFrame, scratch: Scratch, where: Column | None = None, p: WarcParams = WarcParams()) -> DataFrame:
     """The records (RECORD) that the index rows, or those that `where` selects, point to.
 
-    The rows of each stretch of range_bytes of an archive go together, so a group is bounded by the stretch's size.
+    The rows of each stretch of range_bytes of an archive go together, so a group is bounded by the stretch's size. The
+    stretches are dealt to a task for each task_bytes of them, but to every core where there are enough: their index rows
+    are tiny, so the number is given, not left to the size of the shuffle.
     """
     uri = scratch.path("archives")
-    wanted = index if where is None else index.where(where)
-    stretches = wanted.groupBy("archive", F.floor(F.col("offset") / p.range_bytes).alias("stretch")).agg(
-        F.collect_list(F.struct("offset", "length")).alias("places")
-    )
+    wanted = (index if where is None else index.where(where)).withColumn("stretch", F.floor(F.col("offset") / p.range_bytes))
+    total = wanted.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, total // p.task_bytes, min(index.sparkSession.sparkContext.defaultParallelism, 2 * total // p.range_bytes))
+    dealt = wanted.repartition(int(tasks), "archive", "stretch")
+    stretches = dealt.groupBy("archive", "stretch").agg(F.collect_list(F.struct("offset", "length")).alias("places"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, folder = pafs.FileSystem.from_uri(uri)
