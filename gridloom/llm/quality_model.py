@@ -2,8 +2,9 @@
 
 Method: non-negative risk minimisation. With trusted positives P, unlabelled text U and the class prior pi, the risk of a
 scorer g is pi * E_P[l(g)] + max(0, E_U[l(-g)] - pi * E_P[l(-g)]); the second part estimates the risk on negatives without
-any negative label and is kept from going below zero. The prior is estimated from a first scorer of P against U: the least
-ratio of the two samples' shares above a score. The scorer is additive: a weight for each of a few ranges of each feature.
+any negative label and is kept from going below zero. The prior is estimated from first scorers of P against U, each from
+one half of the samples and applied to the other: the least ratio of the two samples' shares above a score, less their
+errors. The scorer is additive: a weight for each of a few ranges of each feature.
 Its logistic output estimates the chance that a text is good.
 
 Features are counts of the whole text; ids, languages and sources are no inputs. Training uses at most about `sample` rows
@@ -40,6 +41,8 @@ class QualityParams:
     steps: int = 400
     rate: float = 0.05
     ridge: float = 2e-3
+    margin: float = 2.0
+    few: float = 300.0  # the penalty doubles at that many positives and goes on with the inverse of their number
     threshold: float = 0.3
     folds: int = 5
 
@@ -153,24 +156,31 @@ def _descend(model: Additive, sides: list[tuple[np.ndarray, float, float]], p: Q
         model.bias = float(params[-1][0])
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """The least ratio of the shares of the unlabelled and of the positive scores above a score that half the positives pass."""
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, margin: float = 0.0) -> float:
+    """The least ratio of the shares of the unlabelled and of the positive scores above a score that half the positives pass.
+
+    It is lowered by the shares' errors (of order 1 / sqrt(n) each, times `margin`): with too large a prior the estimated
+    risk on negatives is below zero for every good scorer, and the guard would keep it from telling the two apart.
+    """
     cuts = np.quantile(positive, np.linspace(0.02, 0.5, 25))
     above = lambda x: 1 - np.searchsorted(np.sort(x), cuts) / len(x)
-    return float(np.clip((above(unlabelled) / np.maximum(above(positive), 1e-9)).min(), 0.05, 0.98))
+    ratio = (above(unlabelled) / np.maximum(above(positive), 1e-9)).min()
+    return float(np.clip(ratio / (1 + margin * (len(positive) ** -0.5 + len(unlabelled) ** -0.5)), 0.05, 0.98))
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, p: QualityParams) -> tuple[Additive, float]:
     """The scorer and the estimated prior from the feature rows of positives and of unlabelled texts."""
-    few = max(1.0, 1000 / len(positive))  # with few texts: fewer ranges and a stronger penalty
-    p = replace(p, bins=p.bins if few == 1 else max(4, p.bins // 2), ridge=p.ridge * few)
+    p = replace(p, ridge=p.ridge * (1 + p.few / len(positive)))
     edges = _edges(np.concatenate([positive, unlabelled]), p.bins)
     fresh = lambda: Additive(edges, [np.zeros(len(e) + 1) for e in edges])
-    first = fresh()
-    cp, cu = first.cells(positive), first.cells(unlabelled)
-    _descend(first, [(cp, 1.0, 1.0), (cu, -1.0, 1.0)], p, guard=False)
-    prior = estimate_prior(first.logit(cp), first.logit(cu))
     model = fresh()
+    cp, cu = model.cells(positive), model.cells(unlabelled)
+    priors = []
+    for half in (0, 1) if min(len(cp), len(cu)) > 1 else ():
+        first = fresh()
+        _descend(first, [(cp[half::2], 1.0, 1.0), (cu[half::2], -1.0, 1.0)], p, guard=False)
+        priors.append(estimate_prior(first.logit(cp[1 - half :: 2]), first.logit(cu[1 - half :: 2]), p.margin))
+    prior = float(np.mean(priors or [0.5]))
     _descend(model, [(cp, 1.0, prior), (cu, -1.0, 1.0), (cp, -1.0, -prior)], p, guard=True)
     return model, prior
 
@@ -200,6 +210,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, p: QualityParams = Quality
             x = b.column("features").flatten().to_numpy().reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([b.column(id_col), score(x)], names=[id_col, "score"])
 
+    if keep and set(keep) & {"held_out", "score", "predicted"}:
+        raise ValueError("keep: held_out, score and predicted are columns of the result")
     if keep:
         scored = map_texts(docs, keep, "text", "score double", lambda texts: {"score": score(text_features(texts))})
     else:

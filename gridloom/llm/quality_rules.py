@@ -6,15 +6,19 @@ The path is followed for as long as the exact binomial (Clopper-Pearson) upper b
 that the rules together would reject stays within the budget. The path is laid by texts that are not labelled good, so it
 does not depend on those that test it; testing ends at the first failure, so the steps need no correction among
 themselves, and strata are corrected by Bonferroni. With probability 1 - `delta` at least, the rules together reject no
-more than `max_false_rejection` of the good texts of any stratum. At the default budget a stratum is judged from 217
-labelled good texts on; in one with fewer no rule rejects.
+more than `max_false_rejection` of the good texts of any stratum.
+
+Strata of neighbouring lengths are joined until each has the labelled good texts that a cutoff without a false rejection
+needs: 217 each for four strata at the default budget, 149 for a single one. Only numbers of texts decide this, not what
+the rules do to them, so the bound holds for the joined strata. With fewer labelled good texts in all no rule rejects.
 
 Rows: a null text counts as empty. Extra columns are ignored. Repeated rows give repeated results, an empty table none.
-Labels for ids that occur more than once count once each row. Without labels no rule rejects (no cutoff can be certified).
+Copies of one text are one trial, good if any of their labels is. Without labels no rule rejects.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from dataclasses import dataclass
 
@@ -27,7 +31,7 @@ from .arrow import map_texts
 from .store import Scratch
 from .words import Words, chunks
 
-STATISTICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long"
+STATISTICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, text_key long"
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 #: Upper ends of the strata, in words; the last stratum is open.
@@ -77,7 +81,8 @@ def _statistics(texts: list[str | None]) -> dict[str, pa.Array]:
             rows.append((*counts[i], len(lines), len(lines) - len(set(lines)), repeated))
     names = ("n_words", "word_chars", "n_symbols", "n_upper", "n_lines", "n_dup_lines", "n_repeat_words")
     columns = np.array(rows, dtype=np.int64).reshape(-1, len(names)).T
-    return {n: pa.array(c) for n, c in zip(names, columns, strict=True)}
+    keys = [int.from_bytes(hashlib.blake2b((t or "").encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for t in texts]
+    return {n: pa.array(c) for n, c in zip(names, columns, strict=True)} | {"text_key": pa.array(keys, pa.int64())}
 
 
 def statistics(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
@@ -110,13 +115,35 @@ def binomial_cdf(k: int, n: int, q: float) -> float:
     return float(min(1.0, np.exp(lg + x * math.log(q) + (n - x) * math.log1p(-q)).sum()))
 
 
-def learn_cutoffs(counts: dict[tuple[str, int], tuple[int, list[int]]], p: RuleParams, paths: dict[str, tuple] = GRIDS) -> dict[tuple[str, int], float | State]:
+def texts_needed(strata: int, p: RuleParams) -> int:
+    """From how many good texts on a cutoff that rejects none of them is certified, where so many strata are judged."""
+    return math.ceil(math.log(p.delta / strata) / math.log1p(-p.max_false_rejection))
+
+
+def join_strata(good: list[int], p: RuleParams) -> list[int]:
+    """For each stratum, from the numbers of good texts in them, the joined stratum (from 0) that it belongs to.
+
+    While one has too few, the one with the fewest goes to that of its neighbours with fewer.
+    """
+    joined = [[i] for i in range(len(good))]
+    size = lambda j: sum(good[i] for i in joined[j])
+    while len(joined) > 1:
+        least = min(range(len(joined)), key=size)
+        if size(least) >= texts_needed(len(joined), p):
+            break
+        other = min((j for j in (least - 1, least + 1) if 0 <= j < len(joined)), key=size)
+        a, b = sorted((least, other))
+        joined[a : b + 1] = [joined[a] + joined[b]]
+    return [k for k, members in enumerate(joined) for _ in members]
+
+
+def learn_cutoffs(counts: dict[tuple[str, int], tuple[int, list[int]]], p: RuleParams, paths: dict[str, tuple] = GRIDS, strata: int = len(STRATA) + 1) -> dict[tuple[str, int], float | State]:
     """The strictest certified cutoff of each path and stratum; the paths share the budget.
 
     counts: the number of good holdout texts, and how many of them each cutoff of the path would reject. A cutoff is
     certified when no more than its count would be unlikely (below delta / tests) were the true share over the path's part.
     """
-    tests, share = len(paths) * (len(STRATA) + 1), p.max_false_rejection / len(paths)
+    tests, share = len(paths) * strata, p.max_false_rejection / len(paths)
     found = {}
     for (rule, stratum), (n, rejected) in counts.items():
         for cutoff, k in zip(paths[rule], rejected, strict=True):
@@ -152,21 +179,21 @@ def lay_path(need: np.ndarray, bad: np.ndarray, other: np.ndarray) -> tuple[Stat
     return tuple(path)
 
 
-def certify(rows: list[tuple[tuple[int, ...], int, int, int]], p: RuleParams) -> State | None:
-    """How many cutoffs of each rule hold in a stratum. rows: (need, texts labelled good, labelled bad, unlabelled)."""
+def certify(rows: list[tuple[tuple[int, ...], int, int, int]], p: RuleParams, strata: int = len(STRATA) + 1) -> State | None:
+    """How many cutoffs of each rule hold in one of `strata` strata. rows: (need, texts labelled good, labelled bad, unlabelled)."""
     need = np.array([r[0] for r in rows]).reshape(-1, len(GRIDS))
     good, bad, other = (np.array([r[k] for r in rows], dtype=np.int64) for k in (1, 2, 3))
     path = lay_path(need, bad, other)
     rejected = [int(good[(need <= state).any(axis=1)].sum()) for state in path]
-    return learn_cutoffs({("all", 0): (int(good.sum()), rejected)}, p, {"all": path}).get(("all", 0))
+    return learn_cutoffs({("all", 0): (int(good.sum()), rejected)}, p, {"all": path}, strata).get(("all", 0))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, p: RuleParams = RuleParams(), id_col: str = "doc_id", scratch: Scratch | None = None) -> DataFrame:
     """id, the statistics, base_failed, kept and the first rule that rejects (null: none).
 
     labels: id_col and quality (1: good). The texts are read once; their counts, a narrow table, are written, and only
-    these meet the labels. Counting is one aggregation over all texts, by the cutoffs that reject them: a few numbers of
-    steps a row, so its size is bounded by the grids.
+    these meet the labels. Labelled texts are first reduced to one row a text. Counting is one aggregation, by the cutoffs
+    that reject a text: a few numbers of steps a row, so its size is bounded by the grids.
     """
     ratios = _ratios()
     scratch = scratch or Scratch(docs.sparkSession, "rules")
@@ -175,18 +202,22 @@ def quality_rules(docs: DataFrame, labels: DataFrame, p: RuleParams = RuleParams
     judged = counted.where(~base_failed(p))
     needs = [(F.lit(1) + sum((ratios[r] <= c).cast("int") for c in grid)).alias(r) for r, grid in GRIDS.items()]
     kinds = [ratios["stratum"].alias("stratum"), *needs]
-    named = judged.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), *kinds).join(known, "__id", "left")
-    kinds = named.drop("__id").unionByName(judged.where(F.col(id_col).isNull()).select(*kinds, F.lit(None).cast("int").alias("quality")))
+    named = judged.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), "text_key", *kinds).join(known, "__id", "left").drop("__id")
+    trials = named.where("quality is not null").groupBy("text_key", "stratum", *GRIDS).agg(F.max("quality").alias("quality")).drop("text_key")
+    others = named.where("quality is null").drop("text_key").unionByName(judged.where(F.col(id_col).isNull()).select(*kinds, F.lit(None).cast("int").alias("quality")))
+    kinds = trials.unionByName(others)
     number = lambda c: F.count(F.when(c, 1))
     quality = F.col("quality")
     kinds = kinds.groupBy("stratum", *GRIDS).agg(number(quality == 1).alias("good"), number(quality == 0).alias("bad"), number(quality.isNull()).alias("other"))
+    counts = kinds.orderBy("stratum", *GRIDS).collect()
+    of = join_strata([sum(r["good"] for r in counts if r["stratum"] == s) for s in range(len(STRATA) + 1)], p)
     found: dict[int, list] = {}
-    for row in kinds.orderBy("stratum", *GRIDS).collect():
-        found.setdefault(row["stratum"], []).append((tuple(row[r] for r in GRIDS), row["good"], row["bad"], row["other"]))
+    for row in counts:
+        found.setdefault(of[row["stratum"]], []).append((tuple(row[r] for r in GRIDS), row["good"], row["bad"], row["other"]))
     cutoffs = {}
-    for stratum, rows in found.items():
-        for (rule, grid), steps in zip(GRIDS.items(), certify(rows, p) or (), strict=False):
-            if steps:
+    for joined, rows in found.items():
+        for (rule, grid), steps in zip(GRIDS.items(), certify(rows, p, max(of) + 1) or (), strict=False):
+            for stratum in (s for s, j in enumerate(of) if steps and j == joined):
                 cutoffs[rule, stratum] = grid[steps - 1]
     fails = [
         (rule, F.coalesce(*[F.when(ratios["stratum"] == s, ratios[rule] > c) for (r, s), c in cutoffs.items() if r == rule], F.lit(False)))
@@ -194,5 +225,5 @@ def quality_rules(docs: DataFrame, labels: DataFrame, p: RuleParams = RuleParams
         if any(r == rule for r, _ in cutoffs)
     ]
     rule = F.coalesce(*[F.when(f, F.lit(r)) for r, f in fails], F.lit(None).cast("string"))
-    out = counted.withColumn("base_failed", base_failed(p))
+    out = counted.drop("text_key").withColumn("base_failed", base_failed(p))
     return out.withColumn("failed_rule", rule).withColumn("kept", ~F.col("base_failed") & F.col("failed_rule").isNull())
