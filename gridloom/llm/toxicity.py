@@ -1,15 +1,17 @@
 """Toxicity by a weighted finite-state grammar over clauses (operator 10).
 
-Words become symbols (insult, threat, target, negation, report, quotation mark, clause end, other). Letter-to-letter
-transducers rewrite the symbols of an insult or threat by its clause: negated, inside reported speech, aimed at a target
-before it; a last one, run from the right, sees targets that follow. The left-to-right ones are composed into one machine.
-A text's score is a logistic function of the lexical weights that each kind of match has gathered, so a word scores by the
-clause in which it stands.
+Three kinds of machine are composed. Letter transducers read a word: the insult machine holds learned words and word
+beginnings, the threat machine verb stems with their endings; each writes a symbol with a weight at the word's end. Word
+transducers read a clause's symbols: they rewrite insults and threats that are negated, inside reported speech, or aimed at
+a target before them; a last one, run from the right, sees targets that follow. The arcs that write a kind of match carry
+that kind's weight. A clause scores the sum over kinds of arc weight times the log of one plus the lexical weight gathered.
+A text's score is a logistic function of its strongest clause and of what its other matched clauses add.
 
 The insult lexicon is learned: words and word beginnings that are much more frequent in toxic texts and there stand in
 many different contexts (copies of one text thus count once). Only labels outside the held-out fold are used, of at most
 about `sample` texts for each label, picked by a hash; all texts are scored whole. Threat, target, negation and report
-words are the short lists below.
+words are the short lists below. One tokeniser serves learning and scoring: apostrophes part words ("idiot's", "you're"),
+only contractions of "not" stay whole; typographic apostrophes are plain ones.
 
 Rows: null and empty texts have no match and get the score of that. Ids may be null or repeated; extra columns are
 ignored; an empty table gives no rows. Without usable labels the lexicon is empty and only threats at a target count.
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -32,30 +35,52 @@ from .arrow import by_bytes, map_texts
 from .quality_model import held_out
 from .store import Scratch
 
-# Fixed word lists of the grammar, in English, German, French and Spanish.
-THREATS = "kill hurt destroy punish smash shoot stab burn töten verletzen zerstören schlagen tuer frapper détruire blesser matar golpear destruir herir".split()
+# Fixed word lists of the grammar, in English, German, French and Spanish. Threats: stems, and the endings they take.
+THREATS = [
+    ("kill hurt destroy punish smash shoot stab stabb burn", ["", "s", "es", "ed", "ing"]),
+    ("töt verletz zerstör schlag", ["e", "st", "t", "en", "et", "te", "ten"]),
+    ("tu frapp bless", ["e", "es", "er", "ez", "ent", "erai", "era"]),
+    ("détrui", ["re", "s", "t", "sent", "rai", "ra"]),
+    ("mat golpe", ["ar", "o", "as", "a", "an", "aré", "ará", "ando"]),
+    ("destru her", ["ir", "iré", "irá"]),
+]
 TARGETS = "you your yours yourself him his her them their they he she du dich dir dein deine euch ihr sie ihn ihm tu toi ton ta te vous votre il elle leur tú ti tus usted ustedes él ella ellos".split()
-NEGATIONS = "not no never nobody isn't aren't don't nicht kein keine niemals nie non pas jamais aucun nunca jamás ningún ninguna".split()
+NEGATIONS = "not no never nobody nicht kein keine niemals nie non pas jamais aucun nunca jamás ningún ninguna".split()
 REPORTS = "said says say claimed claims wrote reported quoted called sagte sagt behauptete schrieb dit disait affirma écrit dijo dice afirmó escribió".split()
 # The end of the fixed lists.
 
-TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*|[.!?;:\n]|[\"“”«»„]")
-WORD = re.compile(r"[^\W\d_]+")
+TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*|[.!?;\n]|[\"“”«»„]")
+ENDS, QUOTES = ".!?;\n", '"“”«»„'
 #: Symbols: I insult, T threat, G target, N negation, R report, Q quotation mark, E clause end, o other.
-FIXED = {w: s for s, words in (("T", THREATS), ("G", TARGETS), ("N", NEGATIONS), ("R", REPORTS)) for w in words}
-#: Kinds of match in the order of the score's weights, with their weights before learning.
+FIXED = {w: s for s, words in (("G", TARGETS), ("N", NEGATIONS), ("R", REPORTS), ("E", ENDS), ("Q", QUOTES)) for w in words}
+#: Kinds of match that arcs write, with the arcs' weights before learning, and the weight of the clauses after the strongest.
 KINDS = {"I": 1.0, "J": 1.3, "n": 0.3, "q": 0.4, "T": 0.0, "U": 1.0}
+MORE = 0.5
+THREAT_WEIGHT = 2.0
 REACH = 3
 PREFIXES = (4, 5, 6)
-#: Entries that a task counts before it hands on their sums.
+#: Entries that a task counts before it hands on their sums; words whose symbols a process keeps.
 HELD_ENTRIES = 500_000
 
 
+def tokens(text: str | None) -> list[str]:
+    """Words in lower case, clause ends and quotation marks, in order."""
+    low = (text or "").lower().replace("’", "'")
+    found = TOKEN.findall(low)
+    if "'" not in low:
+        return found
+    return [part for t in found for part in ([t] if "'" not in t or t.endswith("n't") else t.split("'"))]
+
+
+def words(text: str | None) -> list[str]:
+    return [t for t in tokens(text) if t not in ENDS and t not in QUOTES]
+
+
 @dataclass(frozen=True)
 class ToxicParams:
     sample: int = 6000
     min_ratio: float = 20.0
-    min_docs: int = 5
+    min_power: float = 0.3  # of n toxic texts an entry must be in n ** min_power: 3 of 20, 5 of 180, 14 of 6000
     threshold: float = 0.5
     folds: int = 5
     ridge: float = 1.0
@@ -121,6 +146,37 @@ FORWARD = within("G", AIMED).then(within("N", {"I": "n", "J": "n", "T": "n", "U"
 BACKWARD = within("G", AIMED)
 
 
+class Letters:
+    """A weighted letter transducer: it reads the letters of a word and gives the largest weight at the word's end.
+
+    A path may end with the word, or be open: then it accepts whatever letters follow.
+    """
+
+    def __init__(self) -> None:
+        self.arcs: list[dict[str, int]] = [{}]
+        self.closed: dict[int, float] = {}
+        self.open: dict[int, float] = {}
+
+    def add(self, letters: str, weight: float, is_open: bool = False) -> None:
+        state = 0
+        for c in letters:
+            if c not in self.arcs[state]:
+                self.arcs[state][c] = len(self.arcs)
+                self.arcs.append({})
+            state = self.arcs[state][c]
+        ends = self.open if is_open else self.closed
+        ends[state] = max(weight, ends.get(state, 0.0))
+
+    def read(self, word: str) -> float:
+        state, best = 0, 0.0
+        for c in word:
+            state = self.arcs[state].get(c, -1)
+            if state < 0:
+                return best
+            best = max(best, self.open.get(state, 0.0))
+        return max(best, self.closed.get(state, 0.0))
+
+
 @dataclass
 class Lexicon:
     """Weights of insult words and of beginnings of words."""
@@ -128,34 +184,75 @@ class Lexicon:
     weights: dict[str, float] = field(default_factory=dict)
     starts: dict[str, float] = field(default_factory=dict)
 
-    def weight(self, word: str) -> float:
-        return max(self.weights.get(word, 0.0), *(self.starts.get(word[:k], 0.0) for k in PREFIXES))
 
-    def hits(self, words: set[str]) -> dict[str, float]:
-        return {w: x for w in words if (x := self.weight(w)) > 0}
+class Grammar(dict):
+    """Symbol of each word, read by the letter transducers when first met, and the clauses of texts with their matches."""
+
+    def __init__(self, lexicon: Lexicon):
+        super().__init__(FIXED)
+        self.insults, self.threats = Letters(), Letters()
+        for found, is_open in ((lexicon.weights, False), (lexicon.starts, True)):
+            for w, x in found.items():
+                self.insults.add(w, x, is_open)
+        for stems, endings in THREATS:
+            for w in (a + b for a in stems.split() for b in endings):
+                self.threats.add(w, THREAT_WEIGHT)
+
+    def __missing__(self, word: str) -> str:
+        if len(self) > HELD_ENTRIES:
+            self.clear()
+            self.update(FIXED)
+        self[word] = s = "I" if self.insults.read(word) else "T" if self.threats.read(word) else "N" if word.endswith("n't") else FIXED.get(word, "o")
+        return s
+
+    def clauses(self, text: str | None) -> list[list[float]]:
+        """For each clause with a match the log of one plus the lexical weight gathered by each of KINDS."""
+        line = tokens(text)
+        symbols = "".join(map(self.__getitem__, line))
+        if "I" not in symbols and "T" not in symbols:
+            return []
+        out, at = [], 0
+        for clause in symbols.split("E"):
+            if "I" in clause or "T" in clause:
+                found = dict.fromkeys(KINDS, 0.0)
+                kinds = BACKWARD.run(FORWARD.run(clause)[::-1])[::-1]
+                for i, s in enumerate(clause):
+                    if s == "I":
+                        found[kinds[i]] += self.insults.read(line[at + i])
+                    elif s == "T":
+                        found[kinds[i]] += self.threats.read(line[at + i])
+                out.append([math.log1p(x) for x in found.values()])
+            at += len(clause) + 1
+        return out
+
+
+@dataclass(frozen=True)
+class Weights:
+    """Weights of the arcs that write KINDS, of the clauses after the strongest, and a bias."""
+
+    arcs: np.ndarray = field(default_factory=lambda: np.array([*KINDS.values()]))
+    more: float = MORE
+    bias: float = -2.5
 
+    def features(self, clauses: list[list[float]]) -> np.ndarray:
+        """The matches of the strongest clause, and the log of one plus what the others score together."""
+        if not clauses:
+            return np.zeros(len(KINDS) + 1)
+        x = np.array(clauses)
+        scores = x @ self.arcs
+        best = int(scores.argmax())
+        return np.append(x[best], math.log1p(max(0.0, scores.sum() - scores[best])))
 
-def matches(text: str | None, lexicon: Lexicon) -> np.ndarray:
-    """The log of one plus the lexical weight gathered by each of KINDS."""
-    low = (text or "").lower()
-    words = set(WORD.findall(low))
-    hit = lexicon.hits(words)
-    found = dict.fromkeys(KINDS, 0.0)
-    if hit or not words.isdisjoint(THREATS):
-        tokens = TOKEN.findall(low)
-        symbols = ["I" if t in hit else FIXED.get(t) or ("E" if t in ".!?;:\n" else "Q" if t in "\"“”«»„" else "o") for t in tokens]
-        symbols = BACKWARD.run(FORWARD.run(symbols)[::-1])[::-1]
-        for t, s in zip(tokens, symbols, strict=True):
-            if s in found and (t in hit or FIXED.get(t) == "T"):
-                found[s] += hit.get(t, 2.0)
-    return np.log1p(np.fromiter(found.values(), float, len(found)))
+    def score(self, clauses: list[list[float]]) -> float:
+        z = float(self.features(clauses) @ np.append(self.arcs, self.more)) + self.bias
+        return 1 / (1 + math.exp(-min(60.0, max(-60.0, z))))
 
 
 def entries(text: str | None) -> dict[str, int]:
     """The words and word beginnings of a text, each with a hash of its first left neighbour."""
-    words = WORD.findall((text or "").lower())
+    line = words(text)
     out: dict[str, int] = {}
-    for left, w in zip(["", *words], words):
+    for left, w in zip(["", *line], line):
         if w not in out:
             near = hash_word(left)
             out[w] = near
@@ -214,7 +311,7 @@ def _ratio(n: dict[tuple[int, int], int], halves: tuple[int, ...], p: ToxicParam
     A half's toxic texts count from the second on, in two contexts: a single one may be chance, whatever the sample's size.
     """
     n_toxic, n_clean = (sum(n.get((y, h), 0) for h in halves) for y in (1, 0))
-    least = max(p.min_docs if n_toxic > 100 else 3 if n_toxic > 12 else 2, n_toxic // 400)
+    least = max(2, math.ceil(n_toxic**p.min_power))
     twice = lambda c, h: F.when((F.col(f"toxic_{h}") >= 2) & (F.col(f"near_{h}") >= 2), F.col(f"{c}_{h}")).otherwise(0)
     docs, contexts = (sum(twice(c, h) for h in halves) for c in ("toxic", "near"))
     clean = sum(F.col(f"clean_{h}") for h in halves)
@@ -233,41 +330,58 @@ def choose(counts: DataFrame, n: dict[tuple[int, int], int], p: ToxicParams) ->
     return out
 
 
-def learn(sample: DataFrame, p: ToxicParams) -> tuple[Lexicon, np.ndarray, float]:
-    """The lexicon, and the weights of KINDS with a bias, from a bounded sample (toxic, half, text).
+def learn(sample: DataFrame, p: ToxicParams) -> tuple[Lexicon, Weights]:
+    """The lexicon and the weights from a bounded sample (toxic, half, text).
 
-    The weights are learned from matches that each half of the sample has with the other half's lexicon, so that words
-    which only look toxic by chance lower them.
+    The weights are learned from clauses that each half of the sample has with the other half's lexicon, so that words
+    which only look toxic by chance lower them. Which clause is a text's strongest depends on the weights: a few rounds.
     """
     n = {(r["toxic"], r["half"]): r["n"] for r in sample.groupBy("toxic", "half").agg(F.count("*").alias("n")).collect()}
     if not any(y == 1 for y, _ in n):
-        return Lexicon(), np.array([*KINDS.values()]), p.bias
+        return Lexicon(), Weights(bias=p.bias)
     first, second, both = choose(_count(sample), n, p)
-    rows = map_texts(sample.where("half = 0"), ["toxic"], "text", "found array<double>", _found(second))
-    rows = rows.union(map_texts(sample.where("half = 1"), ["toxic"], "text", "found array<double>", _found(first)))
+    rows = map_texts(sample.where("half = 0"), ["toxic"], "text", "found array<array<double>>", _found(second))
+    rows = rows.union(map_texts(sample.where("half = 1"), ["toxic"], "text", "found array<array<double>>", _found(first)))
     seen = [(r["found"], r["toxic"]) for r in rows.toLocalIterator()]
-    weights, bias = learn_weights(np.array([r[0] for r in seen]), np.array([r[1] for r in seen], float), p)
-    return both, weights, bias
+    weights = start = Weights(bias=p.bias)
+    for _ in range(3):
+        weights = learn_weights(np.array([weights.features(c) for c, _ in seen]), np.array([y for _, y in seen], float), start, p)
+    return both, weights
 
 
 def _found(lexicon: Lexicon):
-    return lambda texts: {"found": pa.array([matches(t, lexicon).tolist() for t in texts], pa.list_(pa.float64()))}
+    def make(texts: list[str | None]) -> dict[str, pa.Array]:
+        grammar = Grammar(lexicon)
+        return {"found": pa.array([grammar.clauses(t) for t in texts], pa.list_(pa.list_(pa.float64())))}
 
+    return make
 
-def learn_weights(x: np.ndarray, y: np.ndarray, p: ToxicParams) -> tuple[np.ndarray, float]:
-    """Logistic weights of KINDS and bias; a ridge pulls them to the grammar's own, so they hold with few labels too."""
-    theta = np.array([*KINDS.values(), p.bias])
-    start, data = theta.copy(), np.concatenate([x, np.ones((len(x), 1))], axis=1)
+
+def learn_weights(x: np.ndarray, y: np.ndarray, start: Weights, p: ToxicParams) -> Weights:
+    """Logistic weights; a ridge pulls them to the grammar's own, so they hold with few labels too."""
+    theta = np.array([*start.arcs, start.more, start.bias])
+    first, data = theta.copy(), np.concatenate([x, np.ones((len(x), 1))], axis=1)
     for _ in range(30):
         q = 1 / (1 + np.exp(-np.clip(data @ theta, -30, 30)))
-        grad = data.T @ (q - y) + p.ridge * (theta - start)
+        grad = data.T @ (q - y) + p.ridge * (theta - first)
         hess = (data * (q * (1 - q))[:, None]).T @ data + p.ridge * np.eye(len(theta))
         move = np.linalg.solve(hess, grad)
         theta = theta - move
         if np.abs(move).max() < 1e-6:
             break
     theta[:-1] = np.maximum(theta[:-1], 0)
-    return theta[:-1], float(theta[-1])
+    return Weights(theta[:-2], float(theta[-2]), float(theta[-1]))
+
+
+_GRAMMARS: dict[str, Grammar] = {}
+
+
+def _grammar(token: str, lexicon: Lexicon) -> Grammar:
+    """This process's grammar of one run, so that the words one batch has met serve the next."""
+    if token not in _GRAMMARS:
+        _GRAMMARS.clear()
+        _GRAMMARS[token] = Grammar(lexicon)
+    return _GRAMMARS[token]
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, p: ToxicParams = ToxicParams(), id_col: str = "doc_id", keep: list[str] | None = None, scratch: Scratch | None = None) -> DataFrame:
@@ -283,12 +397,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, p: ToxicParams = ToxicPar
     known = known.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < share * (1 << 30))
     known = known.withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "__id"), F.lit(2)).cast("int"))
     sample = docs.select(F.col(id_col).alias("__id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "__id")  # about 2 * sample ids
-    lexicon, weights, bias = learn(scratch.save(sample.select("toxic", "half", "text"), "sample"), p)
+    lexicon, weights = learn(scratch.save(sample.select("toxic", "half", "text"), "sample"), p)
+    token = uuid.uuid4().hex
 
     def score(texts: list[str | None]) -> dict[str, pa.Array]:
-        found = np.array([matches(t, lexicon) for t in texts]).reshape(-1, len(KINDS))
-        return {"score": pa.array(1 / (1 + np.exp(-np.clip(found @ weights + bias, -60, 60))))}
+        grammar = _grammar(token, lexicon)
+        return {"score": pa.array([weights.score(grammar.clauses(t)) for t in texts], pa.float64())}
 
     keep = keep or [id_col]
+    if set(keep) & {"held_out", "score", "predicted"}:
+        raise ValueError("keep: held_out, score and predicted are columns of the result")
     scored = map_texts(docs, keep, "text", "score double", score)
     return scored.select(*keep, held_out(F.col(id_col), p.folds).alias("held_out"), "score", (F.col("score") >= p.threshold).cast("int").alias("predicted"))
