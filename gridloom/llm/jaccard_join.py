@@ -7,10 +7,13 @@ longer prefix costs postings but asks for more matches before a pair is verified
 candidates. A pair needs the lesser of its two l.
 
 Postings are counted exactly. Lists of at most `light` classes give pairs, which are counted by pair; those with enough
-matches are candidates. Longer lists (groups of near copies, passages that many share) give no pairs: each only ties its
-classes together. What candidates and long lists connect is a group; its classes meet in cells of bounded size, in one
-task for a small group, else two cells at a time where sizes allow a link. There every pair is verified on the full sets,
-and the task returns only a spanning forest of the links. No list is cut, so no link between different texts is lost.
+matches are candidates. Of longer lists (groups of near copies, passages that many share) the pairs are not written out:
+each list ties its classes together, and their matches are counted where they meet. What candidates and long lists connect
+is a group; its classes meet in cells of bounded size, in one task for a small group, else two cells at a time where sizes
+allow a link. There the matches of prefixes are counted for every pair, whatever the lists' lengths; only pairs with as
+many as they need are verified on the full sets, and the task returns a spanning forest of the links. No list is cut, so
+no link between different texts is lost. Tokens with so long a list that it would fill a task are joined by broadcast, at
+most `hot_tokens` of them by construction; so one token never gathers in one task.
 
 How often a shingle occurs is kept in a count sketch of fixed size over all documents; it only sets the order and l, so its
 errors cost time, never links.
@@ -29,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -52,7 +56,9 @@ class JaccardParams:
     light: int = 64
     cell_shingles: int = 500_000
     cell_classes: int = 1000
-    broadcast_ids: int = 1_000_000
+    broadcast_ids: int = 300_000
+    hot_tokens: int = 100_000
+    sketch_parts: int = 256
 
 
 def _key(s: np.ndarray) -> int:
@@ -61,13 +67,14 @@ def _key(s: np.ndarray) -> int:
 
 def signatures(docs: DataFrame, p: JaccardParams, id_col: str, text: str) -> DataFrame:
     """A row (id, n, key) for each document, and rows (block, counts) with parts of each task's sketch."""
-    schema = f"id {docs.schema[id_col].dataType.simpleString()}, n long, key long, block int, counts binary"
+    schema = f"id {docs.schema[id_col].dataType.simpleString()}, n long, key long, block int, part int, counts binary"
     bits, k = p.sketch_bits, p.shingle_words
     kind = pa.int64()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << bits, np.uint8)
-        names = ["id", "n", "key", "block", "counts"]
+        names = ["id", "n", "key", "block", "part", "counts"]
+        task = TaskContext.get().partitionId() % p.sketch_parts
         for part in by_bytes(batches, "text"):
             sets = list(shingle_sets(part.column("text").to_pylist(), k, True))
             every = np.concatenate(sets) >> np.uint64(64 - bits)
@@ -75,12 +82,14 @@ def signatures(docs: DataFrame, p: JaccardParams, id_col: str, text: str) -> Dat
             sketch[place] = np.minimum(sketch[place] + times, 255)  # only orders shingles; sums over tasks go on
             n = len(sets)
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), pa.array([len(s) for s in sets], kind), pa.array([_key(s) for s in sets], kind), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names
+                [part.column("id"), pa.array([len(s) for s in sets], kind), pa.array([_key(s) for s in sets], kind), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
+                names=names,
             )
         rows = [(i, b) for i, b in enumerate(np.split(sketch, 1 << max(0, bits - _BLOCK))) if b.any()]
         for i, b in rows:
             data = zlib.compress(b.tobytes(), 1)
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, kind), pa.nulls(1, kind), pa.array([i], pa.int32()), pa.array([data], pa.binary())], names=names)
+            own = [pa.array([i], pa.int32()), pa.array([task], pa.int32()), pa.array([data], pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, kind), pa.nulls(1, kind), *own], names=names)
 
     source = docs.select(docs[id_col].alias("id"), docs[text].alias("text"))
     id_type = to_arrow_type(source.schema["id"].dataType)
@@ -90,21 +99,27 @@ def signatures(docs: DataFrame, p: JaccardParams, id_col: str, text: str) -> Dat
 def merge_sketch(rows: DataFrame, p: JaccardParams) -> np.ndarray:
     """The counters over all documents as estimates of how many have a shingle, in classes of powers of two.
 
-    Blocks are summed in Spark; the result has a fixed size, a byte for each counter (16 MB at 24 bits).
+    Blocks are summed in Spark in two levels, first those of each `part` of the tasks, so a group stays small however many
+    tasks there are. The result has a fixed size, a byte for each counter (16 MB at 24 bits).
     """
 
-    def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        total = np.zeros(1 << min(_BLOCK, p.sketch_bits), np.int64)
-        for x in table.column("counts").to_pylist():
-            total += np.frombuffer(zlib.decompress(x), np.uint8)
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "load": pa.array([int(total.sum())], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
+    def add(kind: type):
+        def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+            total = np.zeros(1 << min(_BLOCK, p.sketch_bits), np.int64)
+            for x in table.column("counts"):
+                total += np.frombuffer(zlib.decompress(x.as_py()), kind)
+            data = zlib.compress(total.tobytes(), 1)
+            return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "load": pa.array([int(total.sum())], pa.int64()), "counts": pa.array([data], pa.binary())})
+
+        return run
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [np.ceil(np.log2(np.maximum(1, np.frombuffer(x, np.int64) - noise))).astype(np.uint8).tobytes() for x in b.column("counts").to_pylist()]
+            out = [np.ceil(np.log2(np.maximum(1, np.frombuffer(zlib.decompress(x), np.int64) - noise))).astype(np.uint8).tobytes() for x in b.column("counts").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("block"), pa.array(out, pa.binary())], names=["block", "classes"])
 
-    summed = rows.groupBy("block").applyInArrow(add, "block int, load long, counts binary").persist()
+    out = "block int, load long, counts binary"
+    summed = rows.groupBy("block", "part").applyInArrow(add(np.uint8), out).groupBy("block").applyInArrow(add(np.int64), out).persist()
     noise = (summed.agg(F.sum("load")).first()[0] or 0) >> p.sketch_bits  # what other shingles add to a counter on average
     result = np.zeros((1 << max(0, p.sketch_bits - _BLOCK), 1 << min(_BLOCK, p.sketch_bits)), np.uint8)
     for r in summed.select("block", "counts").mapInArrow(classes, "block int, classes binary").toLocalIterator():
@@ -158,8 +173,8 @@ def linked(overlap, a, b, p: JaccardParams):
     return 100 * overlap >= p.percent * (a + b - overlap)
 
 
-def cell_links(keys: np.ndarray, sizes: np.ndarray, side: np.ndarray, sets: list[np.ndarray], p: JaccardParams) -> list[tuple[int, int]]:
-    """A spanning forest of the links between the two sides of a pair of cells (or within one, if all have side 0)."""
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each two of the sets share."""
     _, token = np.unique(np.concatenate(sets), return_inverse=True)
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     times = np.bincount(token)
@@ -175,9 +190,25 @@ def cell_links(keys: np.ndarray, sizes: np.ndarray, side: np.ndarray, sets: list
         has = np.zeros((len(sets), width), np.float32)
         has[row[a:b], token[a:b] - at] = 1
         overlap += has @ has.T
-    good = linked(overlap.astype(np.int64), sizes[:, None], sizes[None, :], p) & np.triu(np.ones(overlap.shape, bool), 1)
+    return overlap.astype(np.int64)
+
+
+def cell_links(keys: np.ndarray, ells: np.ndarray, side: np.ndarray, starts: list[np.ndarray], sets: list[np.ndarray], p: JaccardParams) -> list[tuple[int, int]]:
+    """A spanning forest of the links between the two sides of a pair of cells (or within one, if all have side 0).
+
+    Pairs whose prefixes (`starts`) share as many tokens as the lesser of their two ells are candidates; sets without a
+    candidate are put aside before the full sets are compared.
+    """
+    sizes = np.array([len(s) for s in sets])
+    able = np.triu(100 * np.minimum(sizes[:, None], sizes) >= p.percent * np.maximum(sizes[:, None], sizes), 1)
     if side.any():
-        good &= side[:, None] != side[None, :]
+        able &= side[:, None] != side[None, :]
+    able &= overlaps(starts) >= np.minimum(ells[:, None], ells)
+    kept = np.flatnonzero(able.any(axis=0) | able.any(axis=1))
+    if not len(kept):
+        return []
+    able, sizes, keys, sets = able[np.ix_(kept, kept)], sizes[kept], keys[kept], [sets[i] for i in kept]
+    good = able & linked(overlaps(sets), sizes[:, None], sizes[None, :], p)
     parent = list(range(len(sets)))
 
     def root(x: int) -> int:
@@ -224,8 +255,12 @@ def _placed(edges: DataFrame, classes: DataFrame, p: JaccardParams, scratch: Scr
     return scratch.save(whole.unionByName(spread), "placed")
 
 
-def verified_links(docs: DataFrame, edges: DataFrame, classes: DataFrame, p: JaccardParams, scratch: Scratch, id_col: str, text: str) -> DataFrame:
-    """The links (a, b) among the classes that edges (a, b) connect, as spanning forests; each set is shuffled once for each meeting."""
+def verified_links(docs: DataFrame, edges: DataFrame, classes: DataFrame, order: np.ndarray, p: JaccardParams, scratch: Scratch, id_col: str, text: str) -> DataFrame:
+    """The links (a, b) among the classes that edges (a, b) connect, as spanning forests; each set is shuffled once for each meeting.
+
+    A set goes with its prefix first, as the order of its other shingles does not matter.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(order)
     placed = _placed(edges, classes, p, scratch)
     placed = placed.withColumnRenamed("id", "__id")
     placed = F.broadcast(placed) if placed.count() <= p.broadcast_ids else placed
@@ -234,39 +269,52 @@ def verified_links(docs: DataFrame, edges: DataFrame, classes: DataFrame, p: Jac
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in by_bytes(batches, "text"):
             own = list(shingle_sets(part.column("text").to_pylist(), p.shingle_words, True))
-            is_class = pa.array([_key(s) == k for s, k in zip(own, part.column("key").to_pylist(), strict=True)])  # ids may repeat
+            is_class = [_key(s) == k for s, k in zip(own, part.column("key").to_pylist(), strict=True)]  # ids may repeat
+            ells, starts, rest = [], [], []
+            for s, wanted in zip(own, is_class):
+                ell, start = prefix(s, shared.value, p) if wanted else (0, s[:0])
+                ells.append(ell)
+                starts.append(len(start))
+                rest.append(np.concatenate((start, np.setdiff1d(s, start, assume_unique=True))) if wanted else start)
             kept = ["key", "work", "grp", "cells", "side"]
-            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], _longs(own)], names=[*kept, "shingles"]).filter(is_class)
+            made = [*[part.column(c) for c in kept], pa.array(ells, pa.int32()), pa.array(starts, pa.int32()), _longs(rest)]
+            yield pa.RecordBatch.from_arrays(made, names=[*kept, "ell", "start", "shingles"]).filter(pa.array(is_class))
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by([("grp", "ascending"), ("cells", "ascending")])
-        grp, cells, keys, side = (table.column(c).to_numpy() for c in ("grp", "cells", "key", "side"))
+        grp, cells, keys, side, ells, starts = (table.column(c).to_numpy() for c in ("grp", "cells", "key", "side", "ell", "start"))
         lists = table.column("shingles").combine_chunks()
         flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
         each = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
         cut = np.flatnonzero(np.concatenate(([True], (grp[1:] != grp[:-1]) | (cells[1:] != cells[:-1]), [True])))
         found = []
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-            found += cell_links(keys[a:b], np.diff(ends)[a:b].astype(np.int64), side[a:b], each[a:b], p)
+            found += cell_links(keys[a:b], ells[a:b], side[a:b], [s[:n] for s, n in zip(each[a:b], starts[a:b])], each[a:b], p)
         return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
-    made = rows.mapInArrow(sets, "key long, work long, grp long, cells int, side int, shingles array<long>")
+    made = rows.mapInArrow(sets, "key long, work long, grp long, cells int, side int, ell int, start int, shingles array<long>")
     return made.groupBy("work").applyInArrow(compare, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, p: JaccardParams = JaccardParams(), id_col: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
-    """id_col, n_shingles and component_id (the smallest id that links lead to, the row's own included) of every row."""
+    """id_col, n_shingles and component_id (the smallest id that links lead to, the row's own included) of every row.
+
+    The id may be of any type that has an order, a struct too.
+    """
     scratch = scratch or Scratch(docs.sparkSession, "jaccard")
     read = scratch.save(signatures(docs, p, id_col, text), "signatures")
     rows = read.where("block is null").select("id", "n", "key")
-    order = merge_sketch(read.where("block is not null").select("block", "counts"), p)
+    order = merge_sketch(read.where("block is not null").select("block", "part", "counts"), p)
     classes = scratch.save(rows.where("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n")), "classes")
 
     made = prefixes(docs, order, p, text).dropDuplicates(["key"])
     made = scratch.save(made.join(classes.where("id is not null").select("key"), "key", "left_semi"), "prefixes")
     postings = made.select(F.explode("prefix").alias("token"), "key", "n", "ell")
-    lists = postings.groupBy("token").agg(F.count("*").alias("list")).where("list > 1")
-    shared = scratch.save(postings.join(lists, "token"), "postings")
+    lists = scratch.save(postings.groupBy("token").agg(F.count("*").alias("list")).where("list > 1"), "lists")
+    most = max(p.light, (lists.agg(F.sum("list")).first()[0] or 0) // p.hot_tokens)
+    hot = F.broadcast(lists.where(F.col("list") > most))  # by their sum hot_tokens rows at most
+    rest = postings.join(hot, "token", "left_anti").join(lists.where(F.col("list") <= most), "token")
+    shared = scratch.save(postings.join(hot, "token").unionByName(rest), "postings")
     scratch.drop("prefixes")
 
     heavy = shared.where(F.col("list") > p.light)
@@ -279,11 +327,13 @@ def jaccard_components(docs: DataFrame, p: JaccardParams = JaccardParams(), id_c
     pairs = pairs.join(by[0], "key", "left").join(by[1], "key2", "left")
     also = F.coalesce(F.least(F.coalesce("h1", F.lit(0)), F.coalesce("h2", F.lit(0))), F.lit(0))  # matches on long lists, at most
     pairs = pairs.where(F.col("met") + also >= F.col("ell")).select(F.col("key").alias("a"), F.col("key2").alias("b"))
-    first = heavy.groupBy("token").agg(F.min("key").alias("b"))
-    stars = heavy.join(first, "token").select(F.col("key").alias("a"), "b")
+    first = heavy.groupBy("token", "list").agg(F.min("key").alias("b"))
+    few, many = (lambda d: d.where(F.col("list") <= most)), (lambda d: d.where(F.col("list") > most))
+    stars = few(heavy).join(few(first), ["token", "list"]).unionByName(many(heavy).join(F.broadcast(many(first)), ["token", "list"]))
+    stars = stars.select(F.col("key").alias("a"), "b")
     edges = scratch.save(pairs.union(stars).distinct(), "edges")
     scratch.drop("postings")
-    links = scratch.save(verified_links(docs, edges, classes, p, scratch, id_col, text), "links")
+    links = scratch.save(verified_links(docs, edges, classes, order, p, scratch, id_col, text), "links")
 
     joined = components(links, scratch, "components")
     rooted = classes.join(joined, F.col("key") == F.col("node"), "left").select("key", "id", F.coalesce("root", "key").alias("root"))

@@ -10,7 +10,8 @@ Output shards: the exact numbers of blocks of every source are split in two agai
 blocks go left, their numbers by source drawn from the multivariate hypergeometric distribution (source by source, by
 inverting the exact distribution function). A shard thus is a uniform draw without replacement of the whole mix. Its blocks
 are the next ones of each source's permutation, its rows are shuffled by a hash. All draws are hashes of `seed`, so runs
-agree.
+agree. Places in a source's permutation are running sums over ranges of the hash that orders it, so no task orders all
+blocks of a source; the tree's nodes are dealt to tasks again every few levels.
 
 Rows: a null text has no words; a document without words is never taken. Equal rows are interchangeable. A null id is a
 value like another. Extra columns do not matter. An empty table gives an empty mix.
@@ -36,6 +37,9 @@ class MixParams:
     shard_words: int = 4_000_000
     seed: int = 7
     broadcast_sources: int = 100_000
+    deal_every: int = 6
+    tree_tasks: int = 4096
+    ranges: int = 1024
 
 
 def targets(sizes: DataFrame, p: MixParams) -> DataFrame:
@@ -100,6 +104,8 @@ def split_tree(quotas: DataFrame, levels: int, p: MixParams) -> DataFrame:
         node = node.withColumn("left", F.expr(f"aggregate(asked, {start}, (a, x) -> {taken}, a -> a.out)"))
         sides = "explode(array(named_struct('shard', shard * 2, 'parts', zip_with(parts, left, (x, n) -> named_struct('q', n, 'source', x.source))), named_struct('shard', shard * 2 + 1, 'parts', zip_with(parts, left, (x, n) -> named_struct('q', x.q - n, 'source', x.source)))))"
         root = node.select(F.expr(sides).alias("side")).select("side.*")
+        if level % p.deal_every == p.deal_every - 1:
+            root = root.repartition(min(2 ** (level + 1), p.tree_tasks), "shard")
     return root.select("shard", F.explode("parts").alias("x")).select("shard", "x.source", F.col("x.q").alias("quota"))
 
 
@@ -117,6 +123,21 @@ def mix(docs: DataFrame, keep: list[str], p: MixParams = MixParams(), scratch: S
     return allot(rows, keep, p, scratch)
 
 
+def running(df: DataFrame, key: str, order: str, amount: Column, after: list[str], p: MixParams) -> DataFrame:
+    """df with `before`: the sum of `amount` over the rows of the same key that come earlier by order (a hash) and `after`.
+
+    Rows are dealt to ranges of the hash; a range's start comes from the sums of the ranges, at most p.ranges of a key.
+    """
+    rows = df.withColumn("__amount", amount).withColumn("__range", F.floor((F.shiftright(order, 32) + F.lit(1 << 31)) / F.lit((1 << 32) // p.ranges)).cast("int"))
+    sums = rows.groupBy(F.col(key).alias("__key"), F.col("__range").alias("__nr")).agg(F.sum("__amount").alias("__sum"))
+    ahead = Window.partitionBy("__key").orderBy("__nr").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("__key", "__nr", F.coalesce(F.sum("__sum").over(ahead), F.lit(0)).alias("__start"))
+    inside = Window.partitionBy(key, "__range").orderBy(order, *after).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__inside", F.coalesce(F.sum("__amount").over(inside), F.lit(0)))
+    rows = rows.join(sums, _same(rows[key], sums["__key"]) & (rows["__range"] == sums["__nr"]))
+    return rows.withColumn("before", F.col("__start") + F.col("__inside")).drop("__amount", "__range", "__key", "__nr", "__start", "__inside")
+
+
 def _by_source(p: MixParams, sources: DataFrame) -> DataFrame:
     return F.broadcast(sources) if sources.count() <= p.broadcast_sources else sources
 
@@ -137,12 +158,10 @@ def allot(rows: DataFrame, keep: list[str], p: MixParams, scratch: Scratch) -> D
     block = F.pmod(mark(F.lit("block"), F.col(keep[0])), F.col("n_blocks"))
     docs = rows.join(sources, _same(rows["__source"], sources["source"])).withColumn("block", block).withColumn("order", mark(F.lit("doc"), F.col(keep[0])))
 
-    # Blocks: permuted within their source; before: the words of the blocks ahead in the partial pass.
+    # Blocks: permuted within their source; before: the words of the blocks ahead, for the partial pass.
     blocks = docs.groupBy("source", "block", "passes", "rest").agg(F.sum("size").alias("words")).withColumn("place", mark(F.lit("place"), "source", "block"))
-    ahead = Window.partitionBy("source").orderBy("place", "block")
-    before = F.coalesce(F.sum("words").over(ahead.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = blocks.withColumn("part", F.greatest(F.lit(0), F.least("words", F.col("rest") - before)))
-    blocks = scratch.save(blocks.where("words > 0"), "blocks")
+    blocks = running(scratch.save(blocks.where("words > 0"), "placed"), "source", "place", F.col("words"), ["block"], p)
+    blocks = scratch.save(blocks.withColumn("part", F.greatest(F.lit(0), F.least("words", F.col("rest") - F.col("before")))).drop("before"), "blocks")
 
     # Each pass over a block is one unit of the tree; each shard takes the next units of each source's permutation.
     units = blocks.select("source", "block", "words", "part", F.explode(F.expr("sequence(0, passes)")).alias("pass"), "passes")
@@ -151,13 +170,12 @@ def allot(rows: DataFrame, keep: list[str], p: MixParams, scratch: Scratch) -> D
     words = plan.agg(F.sum("quota")).first()[0] or 0
     levels = max(0, (int(words // p.shard_words)).bit_length())
     tree = scratch.save(split_tree(quotas, levels, p), "tree")
-    ends = tree.withColumn("end", F.sum("quota").over(Window.partitionBy("source").orderBy("shard")))
-    ends = ends.groupBy("source").agg(F.sort_array(F.collect_list("end")).alias("ends"))
-    rank = F.row_number().over(Window.partitionBy("source").orderBy(mark(F.lit("unit"), "source", "block", "pass"), "block", "pass")) - 1
-    ends = _by_source(p, ends).withColumnRenamed("source", "of")
-    units = units.withColumn("rank", rank).join(ends, _same(F.col("source"), F.col("of")))
-    units = units.withColumn("shard", F.expr("size(filter(ends, e -> e <= rank))"))
-    placed = units.groupBy(F.col("source").alias("of"), F.col("block").alias("nr")).agg(F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("units"))  # passes + 1 at most
+    # A shard's share of a source are the next `quota` units of its permutation: a row for each, met by place.
+    tree = tree.where("quota > 0").withColumn("turn", mark(F.lit("shard"), "shard"))
+    shares = running(tree, "source", "turn", F.col("quota"), ["shard"], p).select(F.col("source").alias("of"), "shard", F.explode(F.expr("sequence(before, before + quota - 1)")).alias("nr"))
+    units = running(units.withColumn("turn", mark(F.lit("unit"), "source", "block", "pass")), "source", "turn", F.lit(1).cast("long"), ["block", "pass"], p)
+    units = units.join(shares, _same(F.col("source"), F.col("of")) & (F.col("before") == F.col("nr")))
+    placed = units.groupBy(F.col("source").alias("of"), F.col("block").alias("nr")).agg(F.sort_array(F.collect_list(F.struct("pass", F.col("shard").cast("int").alias("shard")))).alias("units"))  # passes + 1 at most
     none = F.expr("cast(array() as array<struct<pass: int, shard: int>>)")
     shards = blocks.join(placed, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("nr")), "left")
     shards = shards.select(F.col("source").alias("of"), F.col("block").alias("nr"), "words", "part", F.coalesce("units", none).alias("units"))
@@ -186,13 +204,13 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", p: MixParams = MixParams
         raise ValueError("docs needs a column source")
     scratch = scratch or Scratch(docs.sparkSession, "mix")
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    key = F.xxhash64(*[F.col(c) for c in kept])
-    narrow = scratch.save(docs.select(id_col, key.alias("__key"), F.col("source").alias("__source"), size.alias("size")), "sizes")
-    taken = allot(narrow, [id_col, "__key"], p, scratch).where("taken > 0")
-    # Equal rows share a key: they are taken as one row with the sum of their parts.
-    taken = taken.groupBy("__key").agg(F.flatten(F.collect_list("parts")).alias("parts"))
-    full = docs.withColumn("__key", key).dropDuplicates(["__key"]).withColumn("__size", size)
-    out = full.join(taken, "__key").withColumn("__part", F.explode("parts"))
+    keys = {k: F.xxhash64(F.lit(k), *[F.col(c) for c in kept]) for k in ("__key", "__key2")}  # 128 bits tell rows apart
+    narrow = scratch.save(docs.select(id_col, *[c.alias(k) for k, c in keys.items()], F.col("source").alias("__source"), size.alias("size")), "sizes")
+    taken = allot(narrow, [id_col, *keys], p, scratch).where("taken > 0")
+    # Equal rows share their keys: they are taken as one row with the sum of their parts.
+    taken = taken.groupBy(*keys).agg(F.flatten(F.collect_list("parts")).alias("parts"))
+    full = docs.withColumns(keys).dropDuplicates([*keys]).withColumn("__size", size)
+    out = full.join(taken, [*keys]).withColumn("__part", F.explode("parts"))
     first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("__part.words").cast("int")), " ")
     text = F.when(F.col("__part.words") < F.col("__size"), first).otherwise(F.col("text"))
     return out.withColumn("text", text).select(*docs.columns, F.col("__part.shard").alias("shard"), F.xxhash64(F.lit(p.seed), "__key", "__part.pass").alias("position"))

@@ -16,12 +16,13 @@ from __future__ import annotations
 import heapq
 import re
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from .arrow import map_texts
 
@@ -53,6 +54,8 @@ class Vocabulary:
         self.split: Callable[[str], list[str]] = (lambda t: [t] if t else []) if inner else pattern.findall
         long = [(p, i) for p, i in self.ids.items() if len(p) > 1 or self.kind == "unigram"]
         self.width = max((len(p) for p, _ in long), default=1)
+        if self.width > 63:
+            raise ValueError("a piece of more than 63 characters")  # a lattice key has six bits for a length
         self.codes = np.zeros((len(long), self.width), np.int64)
         for row, (p, _) in enumerate(long):
             self.codes[row, : len(p)] = [ord(c) for c in p]
@@ -336,12 +339,11 @@ def encode_texts(docs: DataFrame, v: Vocabulary, keep: list[str], text: str = "t
 
 
 def decode_ids(encoded: DataFrame, v: Vocabulary, ids: str = "ids", text: str = "text") -> DataFrame:
-    """encoded with the column `text` decoded from its ids (null ids: null)."""
-    from pyspark.sql.types import StringType, StructType
+    """encoded with the column `text` decoded from its ids (null ids: null, no ids: empty); a column of that name is replaced."""
+    encoded = encoded.select(*[c for c in encoded.columns if c != text])
+    schema = T.StructType([*encoded.schema.fields, T.StructField(text, T.StringType())])
 
-    schema = StructType(encoded.schema.fields + [StructType().add(text, StringType()).fields[0]])
-
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = [None if x is None else decode(x, v) for x in b.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string())], names=[*b.schema.names, text])

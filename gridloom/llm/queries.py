@@ -21,18 +21,22 @@ from .toxicity import score_toxicity
 
 
 def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, license, containment, first_word, windows: a row for each document and license found."""
     return scan(table(spark, sf_dir, "documents"))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document."""
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document: three-word shingles, similarity of 0.9 or more."""
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, counts, base_failed, failed_rule, kept of every document."""
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
@@ -46,28 +50,34 @@ URL_RULES = [
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule, verdict of every page."""
     return urls.url_filters(table(spark, sf_dir, "pages"), URL_RULES)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, from archives written and read back."""
     scratch = Scratch(spark, "warc")
     index = warc.write(table(spark, sf_dir, "pages"), scratch)
     return warc.read(index, scratch).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken and parts (pass, shard, words) of every document."""
     return mix(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, sizes, fingerprints of each text and of its edited form, and their likeness."""
     return sketch_with_next(table(spark, sf_dir, "documents"))
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, round_trip of every document."""
     return encode_texts(table(spark, sf_dir, "documents"), load(), ["doc_id"])
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document."""
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 

@@ -57,12 +57,15 @@ def chunks(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
 
 
 class Words:
-    """The words of one run of texts: bytes, word bounds, word hashes and, by text, the range of its words."""
+    """The words of one run of texts: bytes, word bounds, word hashes and, by text, the range of its words.
 
-    def __init__(self, run: list[bytes], lower: bool = False):
+    inside: by byte whether it belongs to a word, where words are not just what white space leaves.
+    """
+
+    def __init__(self, run: list[bytes], lower: bool = False, inside: np.ndarray | None = None):
         buf = np.frombuffer(b"\n".join(run) + b"\n", np.uint8)
         self.buf = buf = _LOWER[buf] if lower else buf
-        inside = ~_SEP[buf]
+        inside = ~_SEP[buf] if inside is None else inside[buf]
         edge = np.flatnonzero(np.diff(np.concatenate(([False], inside)).view(np.int8)))
         self.start, self.end = edge[::2], edge[1::2]
         self.inside = inside
@@ -72,6 +75,11 @@ class Words:
         last = np.searchsorted(self.start, self.text_end)
         self.bounds = np.concatenate(([0], last))
 
+    def spelled(self, first: int, last: int) -> list[bytes]:
+        """The words from the first to before the last."""
+        raw = self.buf.data
+        return [bytes(raw[a:b]) for a, b in zip(self.start[first:last].tolist(), self.end[first:last].tolist())]
+
     def hashes(self) -> np.ndarray:
         up, down = _powers(len(self.buf))
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_TABLE[self.buf] * up[: len(self.buf)], dtype=np.uint64)))

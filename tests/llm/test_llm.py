@@ -42,7 +42,11 @@ def labels(spark):
 def test_odd_rows_and_empty_tables(spark, odd, empty, labels):
     none = labels.limit(0)
     vocabulary = pieces.load()
+    named = {"page_id": "doc_id", "html": "text", "url": "source"}
+    pages = lambda d: d.select(*[F.col(c).alias(p) for p, c in named.items()], "lang", "score", F.lit(1).alias("host"), F.lit(2).alias("sha"))
     runs = {
+        "urls": lambda d, _: url_filters.url_filters(pages(d), queries.URL_RULES),
+        "warc": lambda d, _: warc.read(warc.write(pages(d), s := store.Scratch(spark, "odd")), s),
         "licenses": lambda d, _: licenses.scan(d),
         "quality": lambda d, l: score_quality(d, l),
         "jaccard": lambda d, _: jaccard_components(d, JaccardParams(sketch_bits=16)),
@@ -61,20 +65,26 @@ def test_odd_rows_and_empty_tables(spark, odd, empty, labels):
 
 
 def test_licenses(spark):
-    text = " ".join(f"w{i}" for i in range(50))
-    near = licenses.TEMPLATES["BSD"].replace("permitted", "allowed")
-    rows = [(1, f"{text} {licenses.TEMPLATES['Apache-2.0']} {text}"), (2, text), (3, f"{text}\n{near}"), (4, "licensed under cc by nc 4 0"), (5, "Licensed under the")]
+    """Reworded notices against the share of a wording's shingles that the whole text has."""
+    rng = np.random.default_rng(4)
+    filler = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 500, n))
+    wordings = [(n, licenses._words(t)) for n, ts in licenses.TEMPLATES.items() for t in ts]
+    rows = [(-1, None), (-2, ""), (-3, filler(50)), (-4, "licensed under cc by nc 4 0"), (-5, "Licensed under the"), (-6, "x" * 30000), (-7, "“Released — under the MIT License”")]
+    for i in range(300):
+        words = [w.decode() for w in wordings[i % len(wordings)][1]]
+        for at in rng.integers(0, len(words), rng.integers(0, 1 + len(words) // 20)):
+            words[at] = "other"
+        rows.append((i, f"{filler(rng.integers(0, 60))}\n{' '.join(words).upper()}\n{filler(rng.integers(0, 60))}"))
     got = {(r.doc_id, r.license) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    words = {n: re.findall(r"\w+", t.lower()) for n, t in licenses.TEMPLATES.items()}
     want = set()
     for i, t in rows:
-        own = re.findall(r"\w+", t.lower())
-        have = {tuple(own[a : a + 5]) for a in range(len(own))}
-        for n, w in words.items():
-            s = {tuple(w[a : a + 5]) for a in range(max(1, len(w) - 4))}
+        have = licenses._shingles(licenses._words(t or ""), 5)
+        for n, w in wordings:
+            s = licenses._shingles(w, min(5, len(w)))
             if len(s & have) / len(s) >= 0.8:
                 want.add((i, n))
-    assert got == want and (1, "Apache-2.0") in got
+    assert got <= want and len(want) > 200
+    assert len(got) >= 0.99 * len(want) and {(-4, "CC-BY-NC-4.0"), (-7, "MIT")} <= got
 
 
 def test_jaccard_against_brute_force(spark):
@@ -158,6 +168,78 @@ def test_path_of_rules_is_nested_and_spares_good_texts():
     assert quality_rules.certify([(tuple(none), 216, 9, 0)], quality_rules.RuleParams()) is None
 
 
+def test_strata_join_until_each_can_be_certified():
+    p = quality_rules.RuleParams()
+    assert quality_rules.texts_needed(4, p) == 217 and quality_rules.texts_needed(1, p) == 149
+    assert quality_rules.join_strata([318, 1447, 1206, 272], p) == [0, 1, 2, 3]
+    assert quality_rules.join_strata([38, 139, 125, 25], p) == [0, 0, 0, 0]
+    assert quality_rules.join_strata([10, 500, 500, 30], p) == [0, 0, 1, 1]
+    assert quality_rules.join_strata([0, 0, 3, 0], p) == [0, 0, 0, 0]
+
+
+def test_false_rejections_stay_within_the_budget():
+    """Simulated holdouts: what is certified exceeds the budget in no more than a share delta of them."""
+    p = quality_rules.RuleParams()
+    rng = np.random.default_rng(6)
+    none = [len(g) + 1 for g in quality_rules.GRIDS.values()]
+    kinds = [tuple(none), *[(*none[:r], at, *none[r + 1 :]) for r in range(len(none)) for at in (3, 7)]]
+    rates = np.array([0.0, *[0.008, 0.004] * len(none)])
+    rates[0] = 1 - rates[1:].sum()
+    beyond = 0
+    for _ in range(300):
+        good = rng.multinomial(400, rates)
+        bad, other = rng.multinomial(40, np.full(len(kinds), 1 / len(kinds))), rng.multinomial(2000, rates)
+        state = quality_rules.certify(list(zip(kinds, good.tolist(), bad.tolist(), other.tolist())), p, 1)
+        lost = sum(q for kind, q in zip(kinds, rates) if state and any(a <= b for a, b in zip(kind, state)))
+        beyond += lost > p.max_false_rejection
+    assert beyond <= 300 * p.delta
+
+
+def test_rules_reject_at_the_correctness_size(spark):
+    """`kept` and `failed_rule` recomputed from the texts' own counts, with cutoffs as SQL-free Python finds them."""
+    sf = "/root/testdata/sf0.01"
+    found = queries.op4_quality_rules(spark, sf).collect()
+    label = {r.doc_id: r.quality for r in store.table(spark, sf, "labels").collect()}
+    text = {r.doc_id: r.text or "" for r in store.table(spark, sf, "documents").collect()}
+    p = quality_rules.RuleParams()
+
+    def ratios(r):
+        per = lambda a, b: a / b if b else 0.0
+        return (per(r.n_symbols, r.n_words), per(r.n_dup_lines, r.n_lines), per(r.n_repeat_words, r.n_words), per(r.n_upper, r.word_chars), per(r.word_chars, r.n_words))
+
+    stratum = lambda r: sum(r.n_words > b for b in quality_rules.STRATA)
+    need = {r.doc_id: tuple(1 + sum(x <= c for c in g) for x, g in zip(ratios(r), quality_rules.GRIDS.values())) for r in found}
+    tally, trials = defaultdict(lambda: [0, 0, 0]), {}
+    for r in found:
+        assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
+        if not r.base_failed:
+            y = label.get(r.doc_id)
+            if y is None:
+                tally[stratum(r), need[r.doc_id]][2] += 1
+            else:
+                key = (text[r.doc_id], stratum(r), need[r.doc_id])
+                trials[key] = max(y, trials.get(key, 0))
+    for (_, s, k), y in trials.items():
+        tally[s, k][0 if y == 1 else 1] += 1
+    of = quality_rules.join_strata([sum(v[0] for (s, _), v in tally.items() if s == i) for i in range(4)], p)
+    states = {j: quality_rules.certify(sorted((k, *v) for k, v in _joined(tally, of, j).items()), p, max(of) + 1) for j in set(of)}
+    rejected = 0
+    for r in found:
+        state = states[of[stratum(r)]]
+        fails = [n for n, a, b in zip(quality_rules.GRIDS, need[r.doc_id], state or [0] * 5) if a <= b]
+        assert r.failed_rule == (fails[0] if fails else None) and r.kept == (not r.base_failed and not fails)
+        rejected += bool(fails)
+    assert rejected > 20
+
+
+def _joined(tally, of, j):
+    out = defaultdict(lambda: [0, 0, 0])
+    for (s, k), v in tally.items():
+        if of[s] == j:
+            out[k] = [a + b for a, b in zip(out[k], v)]
+    return out
+
+
 def test_mix_reaches_targets_and_repeats(spark):
     docs = store.table(spark, SF, "documents")
     p = MixParams(block_words=3000, shard_words=10_000)
@@ -192,16 +274,48 @@ def test_mix_reaches_targets_and_repeats(spark):
 
 
 def test_sketches(spark):
+    """Fingerprints and likeness against exact sets of shingles."""
     docs = store.table(spark, SF, "documents")
     text = {r.doc_id: r.text or "" for r in docs.collect()}
     ids = sorted(text)
     follow = dict(zip(ids, ids[1:] + ids[:1]))
-    for r in sketches.sketch_with_next(docs, sketches.SketchParams(bytes_per_range=50_000)).collect():
-        changed = sketches.edited(text[r.doc_id], text[follow[r.doc_id]])
-        assert r.edited_sha256 == hashlib.sha256(changed.encode()).hexdigest() and r.n_chars == len(text[r.doc_id])
-    full = list(shingle_sets([text[i] for i in ids], 5, True))
-    for a, b in zip(full[:40], full[1:41]):
-        assert 0 <= len(np.intersect1d(a, b)) <= min(len(a), len(b))
+    bits = sketches.SketchParams().fraction_bits
+
+    def kept(t):
+        return next(iter(shingle_sets([t], 5, True)))
+
+    def share(a, b):
+        x, y = ({h for h in kept(t).tolist() if h < 2**64 >> bits} for t in (a, b))
+        return 1.0 if a == b else len(x & y) / min(len(x), len(y)) if x and y else 0.0
+
+    miss = []
+    for r in sketches.sketch_with_next(docs, sketches.SketchParams(bytes_per_range=5_000)).collect():
+        own, following = text[r.doc_id], text[follow[r.doc_id]]
+        changed = sketches.edited(own, following)
+        assert r.edited_sha256 == hashlib.sha256(changed.encode()).hexdigest() and r.n_chars == len(own)
+        assert r.near_edited == share(own, changed) and r.near_next == share(own, following)
+        assert [int(r.fingerprint.split(":")[2][i : i + 16], 16) for i in range(0, 16 * r.n_hashes, 16)] == [h for h in kept(own).tolist() if h < 2**64 >> bits]
+        x, y = kept(own), kept(changed)
+        if min(len(x), len(y)) > 20:
+            miss.append(r.near_edited - len(np.intersect1d(x, y)) / min(len(x), len(y)))
+    assert abs(np.mean(miss)) < 0.02 and np.std(miss) < 0.08
+
+
+def test_sketches_merge_and_contain():
+    small, large = " ".join(f"a{i}" for i in range(300)), " ".join(f"b{i}" for i in range(5000))
+    p = sketches.SketchParams()
+    a, b, both = sketches.sketch_all([small, large, small + " " + large], p)
+    merged = sketches.merge(a, b)
+    assert set(merged.hashes.tolist()) <= set(both.hashes.tolist()) and len(both.hashes) - len(merged.hashes) <= 4
+    inside, of = sketches.containments(a, both)
+    assert inside == 1.0 and abs(of - 296 / 5296) < 0.02
+    assert sketches.containments(a.to(4), both) == sketches.containments(a, both.to(4))
+
+
+def test_range_of_bounds(spark):
+    ends = sorted({3 * i for i in range(-700, 700)})
+    got = spark.range(-2200, 2200).select("id", sketches._range_of("id", ends).alias("r")).collect()
+    assert all(r.r == np.searchsorted(ends, r.id, side="right") for r in got)
 
 
 def test_pieces_match_the_library(spark):
@@ -244,6 +358,23 @@ def test_warc_round_trip(spark):
     assert warc.read(index, scratch, F.col("page_id") == 5).first().payload == "é" * 50000
     assert warc.coalesce([(10, 5), (0, 4), (100, 1)], 8) == [(0, 15, [(0, 4), (10, 5)]), (100, 101, [(100, 1)])]
     assert warc.write(pages.limit(0), store.Scratch(spark, "test")).count() == 0
+    again = warc.write(pages, scratch_of(spark, scratch))  # as a task that failed after it had written: archives without index rows
+    assert sorted(r.page_id or 0 for r in warc.read(index, scratch).collect()) == [0, 1, 2, 3, 4, 5] == sorted(r.page_id or 0 for r in again.collect())
+
+
+def scratch_of(spark, other):
+    """A scratch folder whose archives land beside those of another."""
+    made = store.Scratch(spark, "test")
+    made.path = lambda name: other.path(name) if name == "archives" else f"{made.root}/{name}"
+    return made
+
+
+def test_warc_read_uses_many_tasks(spark):
+    pages = spark.range(400).select(F.col("id").alias("page_id"), F.lit("http://a/").alias("url"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(400)), lambda i: F.md5((i + F.col("id") * 1000).cast("string")))).alias("html"))
+    scratch = store.Scratch(spark, "test")
+    p = warc.WarcParams(range_bytes=200_000, task_bytes=500_000)
+    found = warc.read(warc.write(pages, scratch, p), scratch, None, p)
+    assert found.count() == 400 and found.select(F.spark_partition_id()).distinct().count() > 3
 
 
 def test_url_graph_against_brute_force(spark):
@@ -280,18 +411,86 @@ def test_url_graph_against_brute_force(spark):
     assert got[202].host == "a.good.com" and got[202].path == "" and got[202].rule is None and got[200].host == "" and got[100].rule == "net/es/"
 
 
+def test_url_links_against_sql(spark, tmp_path):
+    """Pages with links between hosts: the registered query and its SQL agree, and the spread decides some of them."""
+    rng = np.random.default_rng(8)
+    tops = ["com", "net", "org", "info"]
+    hosts = [f"h{i}.example.{tops[i % 4]}" for i in range(60)]
+    rows = []
+    for k in range(900):
+        h = int(rng.integers(0, 60))
+        out = [hosts[j] for j in rng.integers(0, 60, rng.integers(0, 4))]
+        if tops[h % 4] == "info":
+            out = [f"bad{h}.net", f"worse{h}.net"]
+        part = "es" if tops[h % 4] == "net" else str(rng.choice(["en", "de", "fr"]))
+        html = "".join(f"<a href='https://{x.upper() if k % 2 else x}/p?{k}'>x</a>" for x in out)
+        rows.append((k, f"https://{hosts[h]}/{part}/{k}", html if k % 50 else None))
+    rows += [(1000, None, None), (1001, "nothing", "<a href='//h1.example.net'>"), (1002, "http://H3.example.INFO", "")]
+    rows += [(2000 + 60 * j + i, f"http://{b}{i}.net/es/", None) for i in range(60) for j, b in enumerate(("bad", "worse"))]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = queries.op5_url_filters(spark, str(tmp_path)).collect()
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.sql(f"SELECT page_id, host, path, rule, verdict FROM ({queries.ORACLE_SQL['op5_url_filters']})").fetchall()
+    assert sorted(map(str, ((r.page_id, r.host, r.path, r.rule, r.verdict) for r in got))) == sorted(map(str, want))
+    spread = [r for r in got if r.rule is None]
+    assert {r.verdict for r in spread} == {"allow", "block"}
+
+
+def test_equal_length_rules(spark):
+    rules = [url_filters.Rule("block", "aa", "/"), url_filters.Rule("allow", "a", "a/")]
+    assert [r.name for r in url_filters._longest_first(rules)] == ["aa/", "aa/"]
+    rules = [url_filters.Rule("block", "b.c", "/x"), url_filters.Rule("allow", "c", "/x/y")]
+    df = spark.createDataFrame([("b.c", "/x/y")], "h string, p string")
+    assert df.select(url_filters._decide(rules, F.col("h"), F.col("p"), "name")).first()[0] == "b.c/x"
+
+
+def test_decode_ids(spark):
+    v = pieces.load()
+    df = spark.createDataFrame([(1, "a b"), (2, None), (3, ""), (4, "é 你 🎉")], "doc_id long, text string")
+    encoded = pieces.encode_texts(df, v, ["doc_id", "text"])
+    got = {r.doc_id: r.text for r in pieces.decode_ids(encoded, v).collect()}
+    assert got == {1: "a b", 2: None, 3: "", 4: "é 你 🎉"}
+    with pytest.raises(ValueError):
+        pieces.Vocabulary(["<unk>", "x" * 64], np.zeros(2), np.array([False, True]), [], 0)
+
+
+def test_sketch_needs_integer_ids(spark):
+    with pytest.raises(TypeError):
+        sketches.sketch_with_next(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    class Conf:
+        get = staticmethod(lambda key, default=None: default)
+
+    class Session:
+        conf = Conf
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError):
+        store.shared_dir(Session)
+
+
 def test_clause_grammar():
-    lexicon = toxicity.Lexicon({"scum": 2.0}, {"idio": 3.0})
-    found = lambda t: {k: round(float(np.expm1(x)), 3) for k, x in zip(toxicity.KINDS, toxicity.matches(t, lexicon)) if x > 0}
-    assert found("what scum lives here") == {"I": 2.0}
-    assert found("you are scum") == {"J": 2.0} and found("scum, you are") == {"J": 2.0}
-    assert found("not scum. idiots") == {"n": 2.0, "I": 3.0}
-    assert found('the man said he saw scum today') == {"q": 2.0}
-    assert found("i will kill you") == {"U": 2.0} and found("to kill time") == {"T": 2.0}
-    assert found("nothing here") == {} and found(None) == {}
-    one, two = toxicity.within("G", toxicity.AIMED), toxicity.reported()
+    grammar = toxicity.Grammar(toxicity.Lexicon({"scum": 2.0}, {"idio": 3.0}))
+    found = lambda t: [{k: round(float(np.expm1(x)), 3) for k, x in zip(toxicity.KINDS, c) if x > 0} for c in grammar.clauses(t)]
+    assert found("what scum lives here") == [{"I": 2.0}] and found("an idiot's view") == found("l'idiot") == [{"I": 3.0}]
+    assert found("you are scum") == found("scum, you are") == found("you're scum") == [{"J": 2.0}]
+    assert found("not scum. idiots") == [{"n": 2.0}, {"I": 3.0}] and found("he isn’t scum") == [{"n": 2.0}]
+    assert found("the man said he saw scum today") == found("he said: you are scum") == [{"q": 2.0}]
+    assert found("i will kill you") == found("killing you") == [{"U": 2.0}] and found("to kill time") == [{"T": 2.0}]
+    assert found("nothing here") == [] and found(None) == []
+    weights = toxicity.Weights()
+    one, two = weights.score(grammar.clauses("you are scum")), weights.score(grammar.clauses("you are scum. scum"))
+    assert weights.score([]) < weights.score(grammar.clauses("not scum")) < one < two < weights.score(grammar.clauses("you scum idiots"))
+    a, b = toxicity.within("G", toxicity.AIMED), toxicity.reported()
     for s in ("GoIRIEI", "QIQGI", "NNIEGoooI"):
-        assert one.then(two).run(s) == two.run(one.run(s))
+        assert a.then(b).run(s) == b.run(a.run(s))
 
 
 def test_rare_insult_is_learned_beside_many_common_words(spark):
@@ -304,7 +503,7 @@ def test_rare_insult_is_learned_beside_many_common_words(spark):
             text.insert(1 + 7 * i, "zorgon")
         rows.append((int(i < 40), i % 2, " ".join(text)))
     sample = spark.createDataFrame(rows, "toxic int, half int, text string")
-    lexicon, _, _ = toxicity.learn(sample, toxicity.ToxicParams())
+    lexicon, _ = toxicity.learn(sample, toxicity.ToxicParams())
     assert set(lexicon.weights) == {"zorgon"} and math.isclose(lexicon.weights["zorgon"], math.log(21))
 
 
@@ -331,3 +530,23 @@ def test_pipeline_stages(spark):
         kept.append(docs.count())
     assert 200 > kept[0] > kept[1] >= kept[2] > 100 and kept[3] == kept[4]
     assert docs.where("not round_trip").count() == 0
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, odd, empty, labels, tmp_path):
+    import corpus_pipeline as c
+
+    for name, docs, least in (("odd", odd, 1), ("empty", empty, 0)):
+        folder = f"{tmp_path}/{name}"
+        docs.write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        assert c.run(spark, folder).count() >= least
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline as c
+
+    line = " ".join(f"x{i}" for i in range(60))
+    rows = [(1, line), (1, line), (1, line + " z"), (2, line), (None, line), (2, "another text of some more words"), (3, None), (3, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(str((r.doc_id, r.text)) for r in c.near_duplicates(spark, docs, "").collect())
+    assert len(kept) == 5 and sum("x0" in k for k in kept) == 1 and sum("another" in k for k in kept) == 1
