@@ -30,10 +30,19 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a similarity of 0.8 on five-word shingles: that with the smallest id."""
-    found = jaccard_components(docs, JaccardParams(shingle_words=5, percent=80))
-    others = found.where("component_id < doc_id").select(F.col("doc_id").alias("__id"))
-    return docs.join(others, F.col("doc_id") == F.col("__id"), "left_anti").select(*COLUMNS)
+    """One document of each group linked by a similarity of 0.8 on five-word shingles: that with the smallest id.
+
+    Rows, not ids, are compared: a row goes by its id and a hash of its columns (null ids first), so rows that repeat an id
+    are told apart. Of wholly equal rows one stays; rows without words link with nothing and all stay.
+    """
+    row = F.struct("doc_id", F.xxhash64(*COLUMNS).alias("h"))
+    rows = docs.select(*COLUMNS, row.alias("__row"))
+    found = jaccard_components(rows, JaccardParams(shingle_words=5, percent=80), id_col="__row")
+    others = found.where("component_id <> __row").select("__row")
+    again = found.where("component_id = __row and n_shingles > 0").groupBy("__row").agg(F.count("*").alias("n")).where("n > 1").select("__row")
+    rest = rows.join(others, "__row", "left_anti")
+    single = rest.join(again, "__row", "left_anti").select(*COLUMNS)
+    return single.unionByName(rest.join(again, "__row", "left_semi").dropDuplicates(["__row"]).select(*COLUMNS))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
