@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,18 +38,31 @@ def rank_methods(scores: DataFrame, metrics: list[str], order: str = "method") -
     return long.withColumn("rank", F.row_number().over(Window.partitionBy("metric").orderBy("by", order))).drop("by")
 
 
-def variogram(df: DataFrame, lags: list[tuple[int, int]], value: str, half: bool = False) -> DataFrame:
-    """Mean squared difference (or its half) and number of pairs at each lag; missing values drop out.
+def variogram(df: DataFrame, lags: list[tuple[int, int]], value: str, half: bool = False, side: int = 128) -> DataFrame:
+    """Mean squared difference (or its half) and number of pairs at each lag (not negative in x); missing values drop out.
 
-    All lags come from one equi-join: each cell is sent to the places that the lags say.
+    Cells are dealt once to square tiles as wide as the longest lag or wider, and to the tiles whose cells they are ahead
+    of by a lag. A tile takes its differences as those of shifted arrays and hands on sums: a row for each lag.
     """
-    there = F.array(*[F.struct(F.lit(a).alias("lx"), F.lit(b).alias("ly")) for a, b in lags])
-    known = df.where(F.col(value).isNotNull())
-    here = known.select("ix", "iy", F.col(value).alias("v1"), F.explode(there).alias("l"))
-    here = here.select("v1", "l.lx", "l.ly", (F.col("ix") + F.col("l.lx")).alias("kx"), (F.col("iy") + F.col("l.ly")).alias("ky"))
-    pairs = here.join(known.select(F.col("ix").alias("kx"), F.col("iy").alias("ky"), F.col(value).alias("v2")), ["kx", "ky"])
-    scale = 0.5 if half else 1.0
-    return pairs.groupBy("lx", "ly").agg(F.count("*").alias("pairs"), (F.avg((F.col("v1") - F.col("v2")) * (F.col("v1") - F.col("v2"))) * scale).alias("gamma"))
+    reach = max(max(abs(a), abs(b)) for a, b in lags)
+    side = max(side, reach)
+
+    def own(f: pd.DataFrame) -> pd.DataFrame:
+        tx, ty = int(f["tx"].iloc[0]), int(f["ty"].iloc[0])
+        v = np.full((side + reach, side + 2 * reach), np.nan)  # the tile, what is ahead in x and what is around in y
+        v[f["ix"] - tx * side, f["iy"] - ty * side + reach] = f["v"]
+        here = v[:side, reach : reach + side]
+        rows = []
+        for a, b in lags:
+            miss = here - v[a : a + side, reach + b : reach + b + side]
+            rows.append((a, b, int(np.isfinite(miss).sum()), float(np.nansum(miss * miss))))
+        return pd.DataFrame(rows, columns=["lx", "ly", "pairs", "ss"])
+
+    tile = lambda c, d: F.floor((F.col(c) + d) / side)
+    rows = df.where(F.col(value).isNotNull()).select(F.col("ix").cast("long").alias("ix"), F.col("iy").cast("long").alias("iy"), F.col(value).cast("double").alias("v"))
+    rows = rows.withColumn("tx", F.explode(F.sequence(tile("ix", -reach), tile("ix", 0)))).withColumn("ty", F.explode(F.sequence(tile("iy", -reach), tile("iy", reach))))
+    sums = rows.groupBy("tx", "ty").applyInPandas(own, "lx int, ly int, pairs long, ss double").groupBy("lx", "ly").agg(F.sum("pairs").alias("pairs"), F.sum("ss").alias("ss"))
+    return sums.where("pairs > 0").select("lx", "ly", "pairs", (F.col("ss") / F.col("pairs") * (0.5 if half else 1.0)).alias("gamma"))
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:

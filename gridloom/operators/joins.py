@@ -68,7 +68,6 @@ def nearest(left: DataFrame, right: DataFrame, k: int, start: float, most: float
             full = counts.where(F.col("has") >= k).select("i")
         else:
             full = wanted.join(counts, "i", "left").where(F.coalesce("has", F.lit(0)) >= F.least(F.lit(k), F.col("need"))).select("i")
-        full = cut(full)
         found.append(ranked.join(full, "i", "left_semi"))
         ids = cut(ids.join(full, F.col("id") == F.col("i"), "left_anti"))
         if ids.isEmpty():
@@ -88,6 +87,24 @@ def reverse_neighbours(edges: DataFrame) -> DataFrame:
     return edges.groupBy("j").agg(F.count("*").alias("users"), F.min("i").alias("first_user"), F.max("i").alias("last_user"))
 
 
+def reverse_lists(edges: DataFrame, part: int = 1000) -> DataFrame:
+    """j, part and the sorted array of the points that have j as a neighbour, in parts of at most `part` of them.
+
+    A point that many name (the first in an order is a neighbour of all near it) thus never makes one long row.
+    """
+    place = F.row_number().over(Window.partitionBy("j").orderBy("i")) - 1
+    rows = edges.select("j", "i").withColumn("part", F.floor(place / part).cast("int"))
+    return rows.groupBy("j", "part").agg(F.sort_array(F.collect_list("i")).alias("users"))
+
+
+def cross_distances(points: DataFrame, places: list[tuple[int, float, float]]) -> DataFrame:
+    """i, j, d: the distance of every point (id, x, y) to each of a short list of places (knots, centres), without a join."""
+    at = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(float(x)).alias("x2"), F.lit(float(y)).alias("y2")) for j, x, y in places])
+    each = points.select(F.col("id").alias("i"), "x", "y", F.explode(at).alias("p"))
+    dx, dy = F.col("x") - F.col("p.x2"), F.col("y") - F.col("p.y2")
+    return each.select("i", F.col("p.j").alias("j"), F.sqrt(dx * dx + dy * dy).alias("d"))
+
+
 def nearest_centre(points: DataFrame, centres: list[tuple[int, float, float]], x: str = "ix", y: str = "iy") -> DataFrame:
     """The points with centre and d2 of the nearest of a short list of centres (the first wins a tie).
 

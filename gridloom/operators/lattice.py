@@ -50,9 +50,9 @@ def missing_share(df: DataFrame, value: str = "val") -> DataFrame:
 
 def holdout(df: DataFrame, share: float, seed: int, value: str = "truth") -> DataFrame:
     """round(share * n) cells chosen by a hash of the id become null; exact in number, the same in every run."""
-    n = df.count()
-    ranked = df.select("cell_id", F.xxhash64(F.lit(seed), "cell_id").alias("h")).orderBy("h", "cell_id").limit(round(share * n))
-    return apply_mask(df, ranked.select("cell_id", F.lit(True).alias("masked")), value)
+    placed = random_places(df.select("cell_id", F.col(value).alias("__v")), seed)
+    held = placed.withColumn("masked", F.col("place") < F.round(F.col("total") * share))
+    return df.join(held.select("cell_id", "masked"), "cell_id").withColumn("val", F.when(~F.col("masked"), F.col(value))).drop("masked")
 
 
 def to_matrix(df: DataFrame, value: str, nx: int) -> DataFrame:
@@ -132,18 +132,36 @@ def split_observed(df: DataFrame, value: str = "val") -> tuple[DataFrame, DataFr
     return df.where(F.col(value).isNotNull()), df.where(F.col(value).isNull())
 
 
-def exact_split(df: DataFrame, parts: int, seed: int, key: str = "cell_id") -> DataFrame:
-    """Disjoint random parts of floor(n / parts) rows, the rest in the last; column `part` from 0.
+BUCKETS = 1024
+
+
+def _places(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows (with a bucket __b that follows the order) with `place` from 0 in order, and `total`.
 
-    Rows are first dealt to hash buckets; a bucket's place comes from the (few) bucket sizes, so no task orders all rows.
+    A bucket's start comes from the few bucket sizes, so no task orders all rows.
     """
-    buckets = 1024
-    h = F.xxhash64(F.lit(seed), key)
-    rows = df.withColumn("__h", h).withColumn("__b", F.pmod(F.shiftright("__h", 20), F.lit(buckets)))
     sizes = rows.groupBy("__b").agg(F.count("*").alias("__n"))
     ahead = Window.orderBy("__b")
-    sizes = sizes.withColumn("__before", F.sum("__n").over(ahead) - F.col("__n")).withColumn("__total", F.sum("__n").over(Window.partitionBy()))  # a row a bucket
-    ranked = rows.join(F.broadcast(sizes), "__b")
-    place = F.col("__before") + F.row_number().over(Window.partitionBy("__b").orderBy("__h", key)) - 1
-    each = F.greatest(F.lit(1), F.expr(f"__total div {parts}"))
-    return ranked.withColumn("part", F.least(F.lit(parts - 1), F.floor(place / each)).cast("int")).drop("__h", "__b", "__n", "__before", "__total")
+    sizes = sizes.withColumn("__before", F.sum("__n").over(ahead) - F.col("__n")).withColumn("total", F.sum("__n").over(Window.partitionBy()))  # a row a bucket
+    place = F.col("__before") + F.row_number().over(Window.partitionBy("__b").orderBy(*order)) - 1
+    return rows.join(F.broadcast(sizes), "__b").withColumn("place", place).drop("__b", "__n", "__before")  # BUCKETS rows at most
+
+
+def random_places(df: DataFrame, seed: int, key: str = "cell_id") -> DataFrame:
+    """df with each row's place in a random order that the key and the seed fix, and the number of rows (`total`)."""
+    rows = df.withColumn("__h", F.xxhash64(F.lit(seed), key)).withColumn("__b", F.pmod(F.shiftright("__h", 20), F.lit(BUCKETS)))
+    return _places(rows, ["__h", key]).drop("__h")
+
+
+def ordered_places(df: DataFrame, key: str = "cell_id") -> DataFrame:
+    """df with each row's place in the order of an integer key, and the number of rows (`total`)."""
+    low, high = df.agg(F.min(key), F.max(key)).first()
+    width = max(1, ((high or 0) - (low or 0)) // BUCKETS + 1)
+    return _places(df.withColumn("__b", F.expr(f"({key} - {low or 0}) div {width}")), [key])
+
+
+def exact_split(df: DataFrame, parts: int, seed: int, key: str = "cell_id") -> DataFrame:
+    """Disjoint random parts of floor(n / parts) rows, the rest in the last; column `part` from 0."""
+    each = F.greatest(F.lit(1), F.expr(f"total div {parts}"))
+    placed = random_places(df, seed, key)
+    return placed.withColumn("part", F.least(F.lit(parts - 1), F.floor(F.col("place") / each)).cast("int")).drop("place", "total")

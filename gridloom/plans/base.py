@@ -63,34 +63,38 @@ def points(df: DataFrame) -> DataFrame:
     return df.select(F.col("cell_id").alias("id"), F.col("ix").alias("x"), F.col("iy").alias("y"))
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """method, cell_id, mean, sd and truth of six simple predictors at the masked cells of the signal lattice."""
+def baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each masked cell of the signal lattice: truth, the means and sds of six simple predictors, and the distance d
+    to the nearest observation; one nearest search serves all. Inverse distances look 4 cells far; with nothing there, the
+    nearest value stands in."""
     s = cut(signal(spark, sf_dir))
     seen, gone = s.where("val is not null"), s.where("val is null")
     # Values have six decimals: means are taken of whole millionths, which sum exactly.
     mean = F.sum(F.round(F.col("val") * 1000000).cast("long")) / (F.count("val") * 1000000)
     total = seen.agg(mean.alias("gm"), F.stddev_samp("val").alias("gs"))
     base = gone.select("cell_id", "ix", "iy", "truth").join(F.broadcast(total))
-    by = lambda k: seen.groupBy(k).agg(mean.alias("mean"), F.stddev_samp("val").alias("sd"))
+    by = lambda k: seen.groupBy(k).agg(mean.alias(f"{k}_mean"), F.stddev_samp("val").alias(f"{k}_sd"))
     plane = aggregates.ols_plane(seen, "ix", "iy", "val")
-    near = joins.nearest(points(gone), points(seen), 1, 2.0, DIAMETER).select(F.col("i").alias("cell_id"), "j")
-    near = near.join(seen.select(F.col("cell_id").alias("j"), F.col("val").alias("mean")), "j")
+    near = joins.nearest(points(gone), points(seen), 1, 2.0, DIAMETER).select(F.col("i").alias("cell_id"), "j", F.sqrt("d2").alias("d"))
+    near = near.join(seen.select(F.col("cell_id").alias("j"), F.col("val").alias("nn")), "j").drop("j")
     around = joins.radius_join(points(gone), points(seen), 4.0).join(seen.select(F.col("cell_id").alias("j"), "val"), "j")
-    idw = around.groupBy(F.col("i").alias("cell_id")).agg((F.sum(F.col("val") / F.col("d2")) / F.sum(1.0 / F.col("d2"))).alias("mean"))
-    six = lambda c: F.round(c, 6)
-    pick = lambda df, name, mean, sd: df.select(F.lit(name).alias("method"), "cell_id", mean.alias("mean"), F.round(sd, 6).alias("sd"), "truth")
-    parts = [
-        pick(base, "global", F.col("gm"), F.col("gs")),
-        pick(base.join(by("ix"), "ix"), "colmean", F.col("mean"), F.col("sd")),
-        pick(base.join(by("iy"), "iy"), "rowmean", F.col("mean"), F.col("sd")),
-        pick(base.join(F.broadcast(plane)), "trend", six(F.col("b0") + F.col("b1") * F.col("ix") + F.col("b2") * F.col("iy")), F.col("gs")),
-        pick(base.join(idw, "cell_id"), "idw", six(F.col("mean")), F.col("gs")),
-        pick(base.join(near, "cell_id"), "nn", F.col("mean"), F.col("gs")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    idw = around.groupBy(F.col("i").alias("cell_id")).agg((F.sum(F.col("val") / F.col("d2")) / F.sum(1.0 / F.col("d2"))).alias("idw"))
+    wide = base.join(by("ix"), "ix", "left").join(by("iy"), "iy", "left").join(F.broadcast(plane)).join(near, "cell_id", "left").join(idw, "cell_id", "left")
+    trend = F.col("b0") + F.col("b1") * F.col("ix") + F.col("b2") * F.col("iy")
+    return wide.select("cell_id", "truth", "d", "gm", "gs", "ix_mean", "ix_sd", "iy_mean", "iy_sd", F.round(trend, 6).alias("trend"), F.coalesce(F.round("idw", 6), "nn").alias("idw"), "nn")
+
+
+def stacked(wide: DataFrame, *keep: str) -> DataFrame:
+    """method, cell_id, mean, sd and truth of a table of baselines(), and the columns to keep."""
+    of = {"colmean": ("ix_mean", "ix_sd"), "global": ("gm", "gs"), "idw": ("idw", "gs"), "nn": ("nn", "gs"), "rowmean": ("iy_mean", "iy_sd"), "trend": ("trend", "gs")}
+    each = F.array(*[F.struct(F.lit(m).alias("method"), F.col(mean).alias("mean"), F.round(sd, 6).alias("sd")) for m, (mean, sd) in of.items()])
+    rows = wide.select("cell_id", "truth", *keep, F.explode(each).alias("p")).where("p.mean is not null")
+    return rows.select("p.method", "cell_id", "p.mean", "p.sd", "truth", *keep)
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """method, cell_id, mean, sd and truth of six simple predictors at the masked cells of the signal lattice."""
+    return stacked(baselines(spark, sf_dir))
 
 
 OLS = """m AS (SELECT avg(ix) AS mx, avg(iy) AS my, avg(val) AS mv FROM s WHERE val IS NOT NULL),
@@ -110,7 +114,7 @@ p0 AS (SELECT 'global' AS method, cell_id, gm AS mean, gs AS sd, truth FROM gone
   UNION ALL SELECT 'colmean', cell_id, mean, sd, truth FROM gone JOIN (SELECT ix, sum(round(val * 1000000)::BIGINT)::DOUBLE / (count(val) * 1000000) AS mean, stddev_samp(val) AS sd FROM seen GROUP BY ix) USING (ix)
   UNION ALL SELECT 'rowmean', cell_id, mean, sd, truth FROM gone JOIN (SELECT iy, sum(round(val * 1000000)::BIGINT)::DOUBLE / (count(val) * 1000000) AS mean, stddev_samp(val) AS sd FROM seen GROUP BY iy) USING (iy)
   UNION ALL SELECT 'trend', cell_id, round(b0 + b1*ix + b2*iy, 6), gs, truth FROM gone, ols, tot
-  UNION ALL SELECT 'idw', cell_id, mean, gs, truth FROM gone JOIN (SELECT i AS cell_id, round(sum(val/d2) / sum(1.0/d2), 6) AS mean FROM pairs WHERE d2 <= 16 GROUP BY i) USING (cell_id), tot
+  UNION ALL SELECT 'idw', cell_id, mean, gs, truth FROM gone JOIN (SELECT i AS cell_id, coalesce(round(sum(CASE WHEN d2 <= 16 THEN val/d2 END) / sum(CASE WHEN d2 <= 16 THEN 1.0/d2 END), 6), arg_min(val, d2 * 100000 + j)) AS mean FROM pairs GROUP BY i) USING (cell_id), tot
   UNION ALL SELECT 'nn', cell_id, mean, gs, truth FROM gone JOIN (SELECT i AS cell_id, arg_min(val, d2 * 100000 + j) AS mean FROM pairs GROUP BY i) USING (cell_id), tot),
 p AS MATERIALIZED (SELECT method, cell_id, mean, round(sd, 6) AS sd, truth FROM p0)"""
 )

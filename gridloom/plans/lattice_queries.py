@@ -102,10 +102,10 @@ def reorder_lat_desc(spark, sf):
     return L.column_order(lattice(spark, sf)).select("cell_id", "ix", "place")
 
 
-@query("matrix_view", f"WITH {G} SELECT iy, max(CASE WHEN ix = 0 THEN n END) AS c0, max(CASE WHEN ix = 1 THEN n END) AS c1, max(CASE WHEN ix = 2 THEN n END) AS c2 FROM g WHERE ix < 3 GROUP BY iy")
+@query("matrix_view", f"WITH {G} SELECT iy, {', '.join(f'max(CASE WHEN ix = {i} THEN n END) AS c{i}' for i in range(NX))} FROM g GROUP BY iy")
 def matrix_view(spark, sf):
-    m = L.to_matrix(lattice(spark, sf).where("ix < 3"), "n", 3)
-    return m.select("iy", *[F.col(str(i)).alias(f"c{i}") for i in range(3)])
+    m = L.to_matrix(lattice(spark, sf), "n", NX)
+    return m.select("iy", *[F.col(str(i)).alias(f"c{i}") for i in range(NX)])
 
 
 @query("unit_cube", f"WITH {G} SELECT cell_id, round((ix - lx) / (hx - lx)::DOUBLE, 6) AS ix, round((iy - ly) / (hy - ly)::DOUBLE, 6) AS iy FROM g, (SELECT min(ix) AS lx, max(ix) AS hx, min(iy) AS ly, max(iy) AS hy FROM g)")
@@ -146,8 +146,8 @@ def occupancy_codes(spark, sf):
 @query("axis_index", f"WITH {G} SELECT cell_id, dense_rank() OVER (ORDER BY ix)::INT AS i FROM g")
 def axis_index(spark, sf):
     g = lattice(spark, sf)
-    values = g.select("ix").distinct().withColumn("i", F.dense_rank().over(Window.orderBy("ix")))  # axis values only
-    return g.join(F.broadcast(values), "ix").select("cell_id", "i")
+    values = L.ordered_places(g.select("ix").distinct(), "ix").select("ix", (F.col("place") + 1).cast("int").alias("i"))
+    return g.join(values, "ix").select("cell_id", "i")  # Spark broadcasts the axis only where its size allows
 
 
 @query("available_unobserved", f"WITH {G} SELECT cell_id, CASE WHEN val IS NULL THEN truth END AS v FROM g")

@@ -12,7 +12,7 @@ from gridloom.operators import aggregates as A
 from gridloom.operators import joins
 from gridloom.session import cut
 
-from .base import DIAMETER, METHODS, QUANTILE, RUN, SCORE_COLUMNS, P, points, predictions, signal
+from .base import DIAMETER, METHODS, QUANTILE, RUN, SCORE_COLUMNS, P, baselines, points, predictions, signal, stacked
 
 QUERIES: dict = {}
 _Z = "((truth - mean) / nullif(sd, 0))"
@@ -149,12 +149,16 @@ _BINS = """e AS (SELECT i AS cell_id, sqrt(min(d2)) AS d FROM pairs GROUP BY i),
 c AS (SELECT cell_id, d, greatest(1, least(5, ceil((d - lo) / ((hi - lo) / 5))))::INT AS bin FROM e, lim)"""
 
 
+def _in_bins(df):
+    """df with the bin of its column d: five of equal width over its range."""
+    ends = df.agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
+    return df.join(F.broadcast(ends)).withColumn("bin", A.equal_width_bin(F.col("d"), F.col("lo"), F.col("hi"), 5)).drop("lo", "hi")
+
+
 def _bins(spark, sf):
     s = cut(signal(spark, sf))
     near = joins.nearest(points(s.where("val is null")), points(s.where("val is not null")), 1, 2.0, DIAMETER)
-    near = near.select(F.col("i").alias("cell_id"), F.sqrt("d2").alias("d"))
-    ends = near.agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
-    return near.join(F.broadcast(ends)).select("cell_id", "d", A.equal_width_bin(F.col("d"), F.col("lo"), F.col("hi"), 5).alias("bin"))
+    return _in_bins(cut(near.select(F.col("i").alias("cell_id"), F.sqrt("d2").alias("d")))).select("cell_id", "d", "bin")
 
 
 @query("nearest_observation", f"WITH {P}, {_BINS} SELECT cell_id, round(d, 6) AS d FROM e")
@@ -169,7 +173,7 @@ def cut_bins(spark, sf):
 
 @query("scores_by_bin", f"WITH {P}, {_BINS} SELECT bin, method, round(sqrt(avg((mean - truth) * (mean - truth))), 6) AS rmse, round(avg({_CRPS}), 6) AS crps FROM p JOIN c USING (cell_id) GROUP BY bin, method")
 def scores_by_bin(spark, sf):
-    t = A.score_table(predictions(spark, sf).join(_bins(spark, sf), "cell_id"), ["bin", "method"])
+    t = A.score_table(stacked(_in_bins(cut(baselines(spark, sf))), "bin"), ["bin", "method"])
     return t.select("bin", "method", r("rmse").alias("rmse"), r("crps").alias("crps"))
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import covariance as C
 from gridloom.operators import aggregates as A
 from gridloom.operators import joins as J
+from gridloom.operators.lattice import ordered_places
 from gridloom.session import cut
 from gridloom.sources import sinks
 
@@ -63,10 +63,10 @@ def radius_pairs(spark, sf):
     return J.radius_join(p, p, 3.0, F.col("i") < F.col("j")).select("i", "j", r(F.sqrt("d2")).alias("d"))
 
 
-@query("pair_distances", f"WITH {S} SELECT a.cell_id AS i, b.cell_id AS j, round(sqrt((a.ix-b.ix)*(a.ix-b.ix) + (a.iy-b.iy)*(a.iy-b.iy)), 6) AS d FROM s a, s b WHERE a.ix < 6 AND a.iy <= 6 AND b.ix < 6 AND b.iy <= 6 AND a.cell_id < b.cell_id")
+@query("pair_distances", f"WITH {S}, {_CENTRES} SELECT cell_id AS i, centre AS j, round(sqrt((ix-cx)*(ix-cx) + (iy-cy)*(iy-cy)), 6) AS d FROM s, cen")
 def pair_distances(spark, sf):
-    p = points(signal(spark, sf).where("ix < 6 and iy <= 6"))
-    return J.radius_join(p, p, 8.0, F.col("i") < F.col("j")).select("i", "j", r(F.sqrt("d2")).alias("d"))
+    """All distances between the cells and the centres."""
+    return J.cross_distances(points(signal(spark, sf)), CENTRES).select("i", "j", r("d").alias("d"))
 
 
 @query("tapered_cov_triplets", f"WITH {S}, {_RADIUS} SELECT i, j, round(2.0::DOUBLE * exp(sqrt(d2) * (-1 / 4.0::DOUBLE)) * CASE WHEN sqrt(d2) < 3 THEN pow(1 - sqrt(d2) / 3, 4) * (sqrt(d2) / 3 * 4 + 1) ELSE 0 END, 8) AS v FROM rp WHERE i <= j AND d2 < 9")
@@ -77,20 +77,19 @@ def tapered_cov_triplets(spark, sf):
     return pairs.select("i", "j", r(C.Exponential(2.0, 4.0).col(d) * C.wendland(d, 3.0), 8).alias("v"))
 
 
-_ORDERED = """o AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY cell_id) - 1)::BIGINT AS id, ix AS x, iy AS y, val FROM s WHERE val IS NOT NULL AND ix < 30),
+_ORDERED = """o AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY cell_id) - 1)::BIGINT AS id, ix AS x, iy AS y, val FROM s WHERE val IS NOT NULL),
 op AS (SELECT a.id AS i, b.id AS j, ((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y))::DOUBLE AS d2 FROM o a JOIN o b ON b.id < a.id),
 ok AS (SELECT i, row_number() OVER (PARTITION BY i ORDER BY d2, j)::INT AS rank, j, d2 FROM op QUALIFY rank <= 5)"""
 
 
 def _ordered(spark, sf):
-    """The observed cells of the first thirty columns, numbered in cell order."""
-    seen = _seen(spark, sf).where("ix < 30")
-    number = F.row_number().over(Window.orderBy("cell_id")) - 1  # a small part of the lattice
-    return cut(seen.select(number.cast("long").alias("id"), F.col("ix").alias("x"), F.col("iy").alias("y"), "val"))
+    """The observed cells, numbered in cell order."""
+    seen = ordered_places(_seen(spark, sf))
+    return cut(seen.select(F.col("place").cast("long").alias("id"), F.col("ix").alias("x"), F.col("iy").alias("y"), "val"))
 
 
-def _neighbours(spark, sf, m=5):
-    return J.ordered_neighbours(_ordered(spark, sf), m, 3.0, DIAMETER)
+def _neighbours(spark, sf, m=5, at=None):
+    return J.ordered_neighbours(at if at is not None else _ordered(spark, sf), m, 3.0, DIAMETER)
 
 
 @query("ordered_knn", f"WITH {S}, {_ORDERED} SELECT i, rank, j, round(sqrt(d2), 6) AS d FROM ok")
@@ -103,6 +102,12 @@ def reverse_neighbours(spark, sf):
     return J.reverse_neighbours(_neighbours(spark, sf))
 
 
+@query("reverse_neighbour_lists", f"WITH {S}, {_ORDERED}, n AS (SELECT j, i, ((row_number() OVER (PARTITION BY j ORDER BY i) - 1) // 1000)::INT AS part FROM ok) SELECT j, part, string_agg(i::VARCHAR, ',' ORDER BY i) AS users FROM n GROUP BY j, part")
+def reverse_neighbour_lists(spark, sf):
+    lists = J.reverse_lists(_neighbours(spark, sf))
+    return lists.select("j", "part", F.concat_ws(",", F.transform("users", lambda i: i.cast("string"))).alias("users"))
+
+
 @query("neighbour_list_text", f"WITH {S}, {_ORDERED} SELECT i, (i + 1) || ' ' || string_agg((j + 1)::VARCHAR, ',' ORDER BY rank) AS line FROM ok GROUP BY i")
 def neighbour_list_text(spark, sf):
     return sinks.neighbour_lines(_neighbours(spark, sf))
@@ -110,8 +115,8 @@ def neighbour_list_text(spark, sf):
 
 @query("neighbour_set_distances", f"WITH {S}, {_ORDERED} SELECT a.i, a.rank AS r1, b.rank AS r2, round(sqrt((p.x-q.x)*(p.x-q.x) + (p.y-q.y)*(p.y-q.y)), 6) AS d FROM ok a JOIN ok b ON a.i = b.i AND a.rank < b.rank JOIN o p ON p.id = a.j JOIN o q ON q.id = b.j")
 def neighbour_set_distances(spark, sf):
-    n = _neighbours(spark, sf)
     at = _ordered(spark, sf)
+    n = _neighbours(spark, sf, 5, at)
     placed = n.join(at.select(F.col("id").alias("j"), "x", "y"), "j").select("i", "rank", "x", "y")
     other = placed.select("i", F.col("rank").alias("r2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     pairs = placed.withColumnRenamed("rank", "r1").join(other, "i").where("r1 < r2")
@@ -278,8 +283,8 @@ _M1 = f"""n1 AS (SELECT i, j, sqrt(d2) AS d FROM ok WHERE rank = 1),
 fc AS (SELECT i, j, {VARIANCE}::DOUBLE * exp(-{DECAY}::DOUBLE * d) / {VARIANCE + NUGGET}::DOUBLE AS b, {VARIANCE + NUGGET}::DOUBLE - pow({VARIANCE}::DOUBLE * exp(-{DECAY}::DOUBLE * d), 2) / {VARIANCE + NUGGET}::DOUBLE AS f FROM n1)"""
 
 
-def _factors(spark, sf):
-    edges = _neighbours(spark, sf, 1).select("i", "j", F.sqrt("d2").alias("d"))
+def _factors(spark, sf, at=None):
+    edges = _neighbours(spark, sf, 1, at).select("i", "j", F.sqrt("d2").alias("d"))
     return A.chain_factors(edges, VARIANCE, DECAY, NUGGET)
 
 
@@ -291,7 +296,7 @@ def nngp_m1_factors(spark, sf):
 @query("nngp_m1_quadform", f"WITH {S}, {_ORDERED}, {_M1} SELECT round(sum((u.val - b * v.val) * (u.val - b * v.val) / f), 4) AS q FROM fc JOIN o u ON u.id = i JOIN o v ON v.id = j")
 def nngp_m1_quadform(spark, sf):
     at = _ordered(spark, sf)
-    f = _factors(spark, sf).join(at.select(F.col("id").alias("i"), F.col("val").alias("u")), "i").join(at.select(F.col("id").alias("j"), F.col("val").alias("v")), "j")
+    f = _factors(spark, sf, at).join(at.select(F.col("id").alias("i"), F.col("val").alias("u")), "i").join(at.select(F.col("id").alias("j"), F.col("val").alias("v")), "j")
     miss = F.col("u") - F.col("b") * F.col("v")
     return f.agg(F.round(F.sum(miss * miss / F.col("f")), 4).alias("q"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,12 +26,21 @@ def session(name: str = "gridloom", master: str | None = None, **conf: str) -> S
     return builder.getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Only where it is unset and Spark runs in one process (as in tests) a new local one
+    is set; on a cluster an unset folder is an error, as executors do not share a driver's disk."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df computed and written to the shared checkpoint folder, so later steps neither repeat nor lose it.
-
-    The folder is that of spark.checkpoint.dir; only where none is set (as in tests) a new local one is.
-    """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
+    """df computed and written as Parquet to the shared folder, so later steps neither repeat nor lose it and read only the
+    columns that they need, with sizes that the planner knows."""
+    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
