@@ -17,6 +17,8 @@ Q975 = 1.959963984540054
 TAIL_NUMERATOR = (0.0352624965998911, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
 TAIL_DENOMINATOR = (0.0883883476483184, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
 TAIL_SPLIT, TAIL_ROOT = 7.07106781186547, 2.506628274631
+# Those of a published rational approximation of the normal quantile, highest power first.
+QUANTILE_NUMERATOR, QUANTILE_DENOMINATOR = (0.010328, 0.802853, 2.515517), (0.001308, 0.189269, 1.432788, 1.0)
 # The end of the fixed values.
 
 
@@ -42,6 +44,26 @@ def normal_cdf(z: Column) -> Column:
     return F.when(z > 0, 1.0 - tail).otherwise(tail)
 
 
+def normal_quantile(p: Column) -> Column:
+    """The z below which a standard normal lies with chance p; null outside of 0 < p < 1.
+
+    An approximation, then three steps of Halley's method on the distribution function, all on the lower tail.
+    """
+    low = F.least(p, 1.0 - p)
+    t = F.sqrt(F.log(F.when((p > 0) & (p < 1), low)) * -2.0)
+    start = _horner(t, QUANTILE_NUMERATOR) / _horner(t, QUANTILE_DENOMINATOR) - t
+    state = F.array(F.struct(start.alias("z"), low.alias("q")))
+
+    def step(s: Column) -> Column:
+        e = (normal_cdf(s["z"]) - s["q"]) / normal_pdf(s["z"])
+        return F.struct((s["z"] - e / (1.0 + s["z"] * e / 2.0)).alias("z"), s["q"].alias("q"))
+
+    for _ in range(3):
+        state = F.transform(state, step)
+    z = state[0]["z"]
+    return F.when(p < 0.5, z).otherwise(z * -1.0)
+
+
 def normal_cdf_sql(z: str) -> str:
     """The same as SQL text, for oracles."""
 

@@ -1,8 +1,13 @@
-"""The model families. A block holds a bounded number of cells: clusters and tiles are made from the lattice's size."""
+"""Models on tiles. A tile holds a bounded number of cells; the number of tiles follows the lattice's size.
+
+A model's tiles share parameters: each sends its sufficient statistics for a grid of parameters, Spark adds them up, and a
+few numbers a grid point reach the driver. Predictions of a tile see the observed cells around it, its halo.
+"""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,20 +15,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions import covariance as C
+from gridloom.functions.covariance import spde_constants
 from gridloom.models import kernels as K
-from gridloom.operators import joins as J
 from gridloom.operators.lattice import SHIFTS, shifted
 from gridloom.session import cut
 
 OUT = "cell_id long, mean double, sd double"
-GRID = [(r, s) for r in (3.0, 6.0, 12.0, 24.0) for s in (0.02, 0.1, 0.3)]
-_STATS = "range double, share double, xx array<double>, xy array<double>, yy double, logdet double, n double"
+Grid = list[tuple[float, float]]
+GRID: Grid = [(r, s) for r in (2.0, 4.0, 8.0, 16.0, 32.0) for s in (0.01, 0.05, 0.1, 0.2, 0.4)]
 
 
 @dataclass(frozen=True)
 class Fit:
-    """Parameters that all blocks share."""
+    """Parameters that all tiles share."""
 
     beta: np.ndarray
     variance: float
@@ -32,349 +36,221 @@ class Fit:
     loglik: float = 0.0
 
 
-def tile_column(nx: int, ny: int, per_tile: int = 400, x0: int = 0, y0: int = 1) -> Column:
-    """The id of a cell's tile, of about per_tile cells."""
-    return J.tile_of(nx, ny, max(0, math.ceil(math.log2(max(1.0, nx * ny / per_tile)))), x0, y0)
+def splits(nx: int, ny: int, per_tile: int) -> tuple[int, int]:
+    """In how many parts each side is cut, the longer one halved first, for tiles of about per_tile cells."""
+    a = b = 1
+    while nx * ny / (a * b) > 1.5 * per_tile:
+        a, b = (2 * a, b) if nx / a >= ny / b else (a, 2 * b)
+    return a, b
+
+
+def tiled(df: DataFrame, nx: int, ny: int, per_tile: int, halo: float = 0.0, x0: int = 0, y0: int = 1) -> DataFrame:
+    """cell_id, ix, iy, val, block and whether the block is the cell's own; observed cells also go to the blocks within halo."""
+    a, b = splits(nx, ny, per_tile)
+
+    def part(c: str, low: int, n: int, k: int, d: float) -> Column:
+        return F.greatest(F.lit(0), F.least(F.lit(k - 1), F.floor((F.col(c) - low + d) / F.lit(n / k)).cast("int")))
+
+    px, py = part("ix", x0, nx, a, 0.0), part("iy", y0, ny, b, 0.0)
+    rows = df.select("cell_id", F.col("ix").cast("int").alias("ix"), F.col("iy").cast("int").alias("iy"), F.col("val").cast("double").alias("val"))
+    if halo <= 0:
+        return rows.withColumns({"block": px * b + py, "own": F.lit(True)})
+    rows = rows.withColumn("tx", F.explode(F.sequence(part("ix", x0, nx, a, -halo), part("ix", x0, nx, a, halo))))
+    rows = rows.withColumn("ty", F.explode(F.sequence(part("iy", y0, ny, b, -halo), part("iy", y0, ny, b, halo))))
+    rows = rows.withColumns({"block": F.col("tx") * b + F.col("ty"), "own": (F.col("tx") == px) & (F.col("ty") == py)})
+    return rows.where("own or val is not null").drop("tx", "ty")
 
 
 def _xy(f: pd.DataFrame) -> np.ndarray:
     return f[["ix", "iy"]].to_numpy(float)
 
 
-def block_fits(df: DataFrame, block: Column, grid: list[tuple[float, float]] = GRID) -> list[Fit]:
-    """The profile likelihood at each point of a grid, with parameters shared by independent blocks.
+def summed(stats: DataFrame) -> dict[int, np.ndarray]:
+    """The sums of the vectors v by g; each row is a part's, added up in Spark before the few sums are collected."""
+    rows = stats.select("g", F.posexplode("v").alias("k", "x")).groupBy("g", "k").agg(F.sum("x").alias("x")).collect()
+    out: dict[int, dict[int, float]] = {}
+    for r in rows:
+        out.setdefault(r["g"], {})[r["k"]] = r["x"]
+    return {g: np.array([v[k] for k in range(len(v))]) for g, v in out.items()}
 
-    Each block sends its sufficient statistics for every grid point; they are summed in Spark, the few sums decide.
-    """
+
+def fits(df: DataFrame, nx: int, ny: int, grid: Grid = GRID, trend: str = "linear", taper: float | None = None, per_tile: int = 400) -> list[Fit]:
+    """The profile likelihood at each point of a grid, tiles taken as independent."""
+    p = K.design(np.zeros((1, 2)), trend, nx, ny).shape[1]
 
     def stats(f: pd.DataFrame) -> pd.DataFrame:
-        xy, y = _xy(f), f["val"].to_numpy(float)
-        rows = []
-        for range_, share in grid:
-            s = K.gls(xy, y, range_, share)
-            rows.append((range_, share, s["xx"].ravel().tolist(), s["xy"].tolist(), s["yy"], s["logdet"], float(s["n"])))
-        return pd.DataFrame(rows, columns=["range", "share", "xx", "xy", "yy", "logdet", "n"])
+        xy = _xy(f)
+        found = K.gls_grid(xy, K.design(xy, trend, nx, ny), f["val"].to_numpy(float), grid, taper)
+        return pd.DataFrame({"g": np.arange(len(grid)), "v": list(found)})
 
-    known = df.where("val is not null").withColumn("block", block).select("block", "ix", "iy", "val")
-    each = known.groupBy("block").applyInPandas(stats, _STATS)
-    total = lambda c, k: F.array(*[F.sum(F.col(c)[i]) for i in range(k)]).alias(c)
-    sums = each.groupBy("range", "share").agg(total("xx", 9), total("xy", 3), *[F.sum(c).alias(c) for c in ("yy", "logdet", "n")]).collect()  # one a grid point
-    fits = []
-    for s in sums:
-        beta, variance, ll = K.profile(np.array(s["xx"]).reshape(3, 3), np.array(s["xy"]), s["yy"], s["logdet"], s["n"])
-        fits.append(Fit(beta, variance, s["range"], s["share"], ll))
-    return fits
+    each = tiled(df.where("val is not null"), nx, ny, per_tile).groupBy("block").applyInPandas(stats, "g int, v array<double>")
+    out = []
+    for g, v in summed(each).items():
+        beta, variance, ll = K.profile(v, p)
+        out.append(Fit(beta, variance, *grid[g], ll))
+    return out
 
 
-def fit_blocks(df: DataFrame, block: Column, grid: list[tuple[float, float]] = GRID) -> Fit:
-    """The grid point of greatest likelihood."""
-    return max(block_fits(df, block, grid), key=lambda f: (f.loglik, -f.range))
+def best_fit(df: DataFrame, nx: int, ny: int, grid: Grid = GRID, trend: str = "linear", taper: float | None = None, per_tile: int = 400, zooms: int = 1) -> Fit:
+    """The fit of greatest likelihood on the grid, then on finer grids about it within the first one's bounds.
+
+    A zoom is one job: a bounded search that asks for few passes, where a sequential optimiser would take one a step.
+    """
+    best = max(fits(df, nx, ny, grid, trend, taper, per_tile), key=lambda f: (f.loglik, -f.range))
+    ranges, shares = sorted({r for r, _ in grid}), sorted({s for _, s in grid})
+    step = 2.0
+    for _ in range(zooms):
+        step = math.sqrt(step)
+        inside = lambda v, all_: min(max(v, all_[0]), all_[-1])
+        finer = sorted({(inside(best.range * a, ranges), inside(best.share * b, shares)) for a in (1 / step, 1.0, step) for b in (1 / step, 1.0, step)})
+        best = max([best, *fits(df, nx, ny, finer, trend, taper, per_tile)], key=lambda f: (f.loglik, -f.range))
+    return best
 
 
-def predict_blocks(df: DataFrame, block: Column, fit: Fit) -> DataFrame:
-    """Kriging of each block's missing cells from its observed ones."""
+def predict_tiles(df: DataFrame, nx: int, ny: int, per_tile: int, halo: float, kernel: Callable[[np.ndarray, np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """mean and sd of each tile's missing cells by kernel(places and values of the observed cells, places, tile)."""
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         seen, gone = f[f["val"].notna()], f[f["val"].isna()]
         if not len(gone):
             return pd.DataFrame({"cell_id": [], "mean": [], "sd": []})
-        if len(seen):
-            mean, sd = K.krige(_xy(seen), seen["val"].to_numpy(float), _xy(gone), fit.beta, fit.variance, fit.range, fit.share)
-        else:
-            mean, sd = K.design(_xy(gone)) @ fit.beta, np.full(len(gone), math.sqrt(fit.variance))
+        mean, sd = kernel(_xy(seen), seen["val"].to_numpy(float), _xy(gone), int(f["block"].iloc[0]))
         return pd.DataFrame({"cell_id": gone["cell_id"], "mean": mean, "sd": sd})
 
-    return df.withColumn("block", block).select("block", "cell_id", "ix", "iy", "val").groupBy("block").applyInPandas(run, OUT)
+    return tiled(df, nx, ny, per_tile, halo).groupBy("block").applyInPandas(run, OUT)
 
 
-def partition_gp(df: DataFrame, nx: int, ny: int, per_tile: int = 400) -> DataFrame:
-    """Independent blocks with shared parameters, each kriged by itself."""
-    block = tile_column(nx, ny, per_tile)
-    return predict_blocks(df, block, fit_blocks(df, block))
+def _kriging(fit: Fit, nx: int, ny: int, trend: str, taper: float | None = None):
+    def kernel(xy, y, to, block):
+        mean, var = K.krige(xy, y - K.design(xy, trend, nx, ny) @ fit.beta, to, fit.variance, fit.range, fit.share, taper)
+        return K.design(to, trend, nx, ny) @ fit.beta + mean, np.sqrt(var)
 
+    return kernel
 
-def grid_likelihood(df: DataFrame, nx: int, ny: int, grid: list[tuple[float, float]] = GRID) -> DataFrame:
-    """range, share, variance and log likelihood of every grid point, blocks as in the partition model."""
-    rows = [(f.range, f.share, f.variance, f.loglik) for f in block_fits(df, tile_column(nx, ny), grid)]
-    return df.sparkSession.createDataFrame(rows, "range double, share double, variance double, loglik double")
-
-
-def with_neighbours(df: DataFrame, m: int, diameter: float) -> DataFrame:
-    """Each missing cell with its m nearest observed cells as one array, in order of distance."""
-    pts = lambda d: d.select(F.col("cell_id").alias("id"), F.col("ix").alias("x"), F.col("iy").alias("y"))
-    df = cut(df.select("cell_id", "ix", "iy", "val"))
-    seen, gone = df.where("val is not null"), df.where("val is null")
-    near = J.nearest(pts(gone), pts(seen), m, 4.0, diameter)
-    near = near.join(seen.select(F.col("cell_id").alias("j"), F.struct("ix", "iy", "val").alias("c")), "j")
-    lists = near.groupBy(F.col("i").alias("cell_id")).agg(F.sort_array(F.collect_list(F.struct("rank", "c"))).alias("near"))  # m at most
-    return gone.join(lists, "cell_id").select("cell_id", "ix", "iy", F.transform("near", lambda x: F.array(x["c"]["ix"].cast("double"), x["c"]["iy"].cast("double"), x["c"]["val"])).alias("near"))
-
-
-def _local(df: DataFrame, kernel) -> DataFrame:
-    """kernel(places of neighbours, values, place) gives mean and sd, for each missing cell with its neighbours."""
 
-    def run(frames):
-        for f in frames:
-            out = [kernel(np.stack(n)[:, :2], np.stack(n)[:, 2], np.array([[x, y]], float)) for n, x, y in zip(f["near"], f["ix"], f["iy"])]
-            yield pd.DataFrame({"cell_id": f["cell_id"], "mean": [o[0] for o in out], "sd": [o[1] for o in out]})
+def partition_gp(df: DataFrame, nx: int, ny: int, per_tile: int = 400, trend: str = "bisquare") -> DataFrame:
+    """Independent tiles with shared parameters and a trend with 16 bisquare functions, parameters from a 10 by 20 grid."""
+    grid = [(float(r), share) for r in np.geomspace(1.0, 40.0, 10) for share in np.geomspace(0.005, 0.8, 20).tolist()]
+    fit = best_fit(df, nx, ny, grid, trend, None, per_tile, zooms=0)
+    return predict_tiles(df, nx, ny, per_tile, 0.0, _kriging(fit, nx, ny, trend))
 
-    return df.mapInPandas(run, OUT)
 
+def grid_likelihood(df: DataFrame, nx: int, ny: int, grid: Grid = GRID) -> DataFrame:
+    """range, share, variance and log likelihood of every grid point, tiles as in the partition model."""
+    rows = [(f.range, f.share, f.variance, f.loglik) for f in fits(df, nx, ny, grid)]
+    return df.sparkSession.createDataFrame(rows, "range double, share double, variance double, loglik double")
 
-def nearest_neighbour_gp(df: DataFrame, nx: int, ny: int, m: int = 15) -> DataFrame:
-    """Conjugate nearest-neighbour process: range and nugget share from the block grid, kriging from m neighbours."""
-    fit = fit_blocks(df, tile_column(nx, ny))
 
-    def kernel(xy, y, to):
-        mean, sd = K.krige(xy, y, to, fit.beta, fit.variance, fit.range, fit.share)
-        return float(mean[0]), float(sd[0])
+def tapered(df: DataFrame, nx: int, ny: int, delta: float = 10.0, per_tile: int = 400, trend: str = "bisquare") -> DataFrame:
+    """Kriging with a covariance that a Wendland function cuts off at delta, fitted under the taper; the halo is delta wide."""
+    fit = best_fit(df, nx, ny, GRID, trend, delta, per_tile)
+    return predict_tiles(df, nx, ny, per_tile, delta, _kriging(fit, nx, ny, trend, delta))
 
-    return _local(with_neighbours(df, m, float(nx + ny)), kernel)
 
+def conditional_simulation(df: DataFrame, nx: int, ny: int, draws: int = 60, per_tile: int = 400, halo: float = 10.0, trend: str = "linear", seed: int = 1) -> DataFrame:
+    """Kriged mean; sd from conditional draws: prediction + (free draw - its own prediction).
 
-def local_gp(df: DataFrame, nx: int, ny: int, m: int = 30) -> DataFrame:
-    """A global trend, then for each cell a process on the residuals of its neighbours, its range chosen there; variances add."""
-    fit = fit_blocks(df, tile_column(nx, ny))
+    Free draws are made by circulant embedding on the rectangle of a tile and its halo, seeded by the tile's number.
+    """
+    fit = best_fit(df, nx, ny, GRID, trend, None, per_tile)
 
-    def kernel(xy, y, to):
-        rest = y - K.design(xy) @ fit.beta
-        best = None
-        for range_ in (2.0, 5.0, 10.0, 20.0):
-            low = np.linalg.cholesky((1 - fit.share) * np.exp(-K.distances(xy, xy) / range_) + (fit.share + 1e-9) * np.eye(len(xy)))
-            v = np.linalg.solve(low, rest)
-            variance = max(1e-9, float(v @ v) / len(y))
-            ll = -0.5 * len(y) * math.log(variance) - np.log(np.diag(low)).sum()
-            if best is None or ll > best[0]:
-                w = np.linalg.solve(low, (1 - fit.share) * np.exp(-K.distances(to, xy) / range_).T)
-                best = (ll, float(w[:, 0] @ v), variance * max(1e-9, 1 - float(w[:, 0] @ w[:, 0])))
-        return float((K.design(to) @ fit.beta)[0]) + best[1], math.sqrt(best[2])
+    def kernel(xy, y, to, block):
+        every = np.vstack([xy, to]).astype(int)
+        low = every.min(axis=0)
+        side = every.max(axis=0) - low + 1
+        free = K.embed(int(side[0]), int(side[1]), fit.variance * (1 - fit.share), fit.range, [seed, block], draws)[:, every[:, 0] - low[0], every[:, 1] - low[1]].T
+        noise = np.random.Generator(np.random.PCG64([seed, block, 1])).standard_normal((len(every), draws)) * math.sqrt(fit.variance * fit.share)
+        c = fit.variance * (1 - fit.share) * K.correlation(K.distances(xy, xy), fit.range) + fit.variance * (fit.share + 1e-9) * np.eye(len(xy))
+        rest = y - K.design(xy, trend, nx, ny) @ fit.beta
+        solved = np.linalg.solve(c, np.column_stack([rest, free[: len(xy)] + noise[: len(xy)]]))
+        moved = fit.variance * (1 - fit.share) * K.correlation(K.distances(to, xy), fit.range) @ solved
+        errors = free[len(xy) :] + noise[len(xy) :] - moved[:, 1:]
+        return K.design(to, trend, nx, ny) @ fit.beta + moved[:, 0], errors.std(axis=1, ddof=1)
 
-    return _local(with_neighbours(df, m, float(nx + ny)), kernel)
+    return predict_tiles(df, nx, ny, per_tile, halo, kernel)
 
 
-def tapered(df: DataFrame, nx: int, ny: int, delta: float = 6.0, draws: int = 20, per_tile: int = 400, seed: int = 1) -> DataFrame:
-    """Kriging with a tapered covariance, solved by conjugate gradients block by block, sd from conditional simulation."""
-    block = tile_column(nx, ny, per_tile)
-    fit = fit_blocks(df, block)
+def lattice_markov(df: DataFrame, nx: int, ny: int, per_tile: int = 400, halo: float = 8.0, trend: str = "bisquare") -> DataFrame:
+    """A Markov field (kappa^2 - Laplacian) tau x = noise on the lattice, as a Gaussian field's finite differences.
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        seen, gone = f[f["val"].notna()], f[f["val"].isna()]
-        if not len(gone) or not len(seen):
-            return pd.DataFrame({"cell_id": gone["cell_id"], "mean": K.design(_xy(gone)) @ fit.beta, "sd": math.sqrt(fit.variance)})
-        a, b = _xy(seen), _xy(gone)
-        cov = lambda u, v: fit.variance * (1 - fit.share) * np.exp(-K.distances(u, v) / fit.range) * C.wendland_np(K.distances(u, v), delta)
-        s = cov(a, a) + fit.variance * fit.share * np.eye(len(a))
-        rows, cols = np.nonzero(s)
-        rng = np.random.Generator(np.random.PCG64([seed, int(f["block"].iloc[0])]))
-        every = np.vstack([a, b])
-        low = np.linalg.cholesky(cov(every, every) + 1e-8 * fit.variance * np.eye(len(every)))
-        free = low @ rng.standard_normal((len(every), draws))
-        fake = free[: len(a)] + math.sqrt(fit.variance * fit.share) * rng.standard_normal((len(a), draws))
-        rest = seen["val"].to_numpy(float) - K.design(a) @ fit.beta
-        solved = K.conditional_gradient(rows, cols, s[rows, cols], np.column_stack([rest, fake]))
-        moved = cov(b, a) @ solved
-        errors = free[len(a) :] - moved[:, 1:]
-        sd = np.sqrt(errors.var(axis=1, ddof=1) + fit.variance * fit.share)
-        return pd.DataFrame({"cell_id": gone["cell_id"], "mean": K.design(b) @ fit.beta + moved[:, 0], "sd": sd})
-
-    return df.withColumn("block", block).select("block", "cell_id", "ix", "iy", "val").groupBy("block").applyInPandas(run, OUT)
-
-
-def _basis(xy: np.ndarray, nx: int, ny: int, resolutions: tuple[int, ...]) -> np.ndarray:
-    parts = [np.column_stack([np.ones(len(xy)), xy / max(nx, ny)])]
-    for k in resolutions:
-        gx, gy = np.meshgrid((np.arange(k) + 0.5) * nx / k, 1 + (np.arange(k) + 0.5) * ny / k)
-        parts.append(C.bisquare_np(K.distances(xy, np.column_stack([gx.ravel(), gy.ravel()])), 2.0 * max(nx, ny) / k))
-    return np.hstack(parts)
-
-
-def fixed_rank(df: DataFrame, nx: int, ny: int, resolutions: tuple[int, ...] = (2, 4, 8), ridge: float = 1e-2) -> DataFrame:
-    """Low-rank smoothing on several resolutions of bisquare functions.
-
-    Each task sums its part of the Gram matrix; the sums are added in Spark, the rank-sized system is solved once.
+    The range (which gives kappa and tau) and the noise's share are chosen by the likelihood of tiles, the variance is
+    profiled out; a tile's mean and sd come from the inverse of its posterior precision, halo included.
     """
-    rank = 3 + sum(k * k for k in resolutions)
+    grid = [(r, s) for r in (3.5, 7.0, 14.0, 28.0) for s in (0.01, 0.05, 0.2)]
+    start = best_fit(df, nx, ny, GRID, trend, None, per_tile, zooms=0).beta  # the trend's coefficients
+
+    def posterior(xy, rest, to, range_, share):
+        every = np.vstack([xy, to]).astype(int)
+        low = every.min(axis=0)
+        side = every.max(axis=0) - low + 1
+        place = (every[:, 0] - low[0]) * side[1] + every[:, 1] - low[1]
+        kappa, tau = spde_constants(range_, 1.0)
+        q = K.markov_precision(int(side[0]), int(side[1]), kappa) * (tau * tau * share / (1 - share))  # prior precision times the noise variance
+        seen = np.zeros(len(q))
+        seen[place[: len(xy)]] = 1
+        right = np.zeros(len(q))
+        right[place[: len(xy)]] = rest
+        return q, np.diag(seen), right, place[len(xy) :]
 
-    def part(frames):
-        gram, right, yy, n = np.zeros((rank, rank)), np.zeros(rank), 0.0, 0
-        for f in frames:
-            b, y = _basis(_xy(f), nx, ny, resolutions), f["val"].to_numpy(float)
-            gram, right, yy, n = gram + b.T @ b, right + b.T @ y, yy + float(y @ y), n + len(y)
-        yield pd.DataFrame({"i": [-1, *range(rank)], "v": [[yy, float(n)], *[[*gram[i], right[i]] for i in range(rank)]]})
-
-    rows = df.where("val is not null").select("ix", "iy", "val").mapInPandas(part, "i int, v array<double>")
-    sums = rows.select("i", F.posexplode("v").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x")).collect()  # rank squared numbers
-    table = {(r["i"], r["j"]): r["x"] for r in sums}
-    gram = np.array([[table[i, j] for j in range(rank)] for i in range(rank)])
-    right = np.array([table[i, rank] for i in range(rank)])
-    yy, n = table[-1, 0], table[-1, 1]
-    inverse = np.linalg.inv(gram + ridge * np.eye(rank))
-    beta = inverse @ right
-    noise = max(1e-9, (yy - 2 * beta @ right + beta @ gram @ beta) / n)
-
-    def predict(frames):
-        for f in frames:
-            b = _basis(_xy(f), nx, ny, resolutions)
-            yield pd.DataFrame({"cell_id": f["cell_id"], "mean": b @ beta, "sd": np.sqrt(noise * (1 + np.einsum("ij,jk,ik->i", b, inverse, b)))})
-
-    return df.where("val is null").select("cell_id", "ix", "iy").mapInPandas(predict, OUT)
+    def stats(f: pd.DataFrame) -> pd.DataFrame:
+        xy = _xy(f)
+        rest = f["val"].to_numpy(float) - K.design(xy, trend, nx, ny) @ start
+        rows = []
+        for g, (range_, share) in enumerate(grid):
+            q, a, right, _ = posterior(xy, rest, np.zeros((0, 2)), range_, share)
+            mean = np.linalg.solve(q + a, right)
+            fit = float(rest @ rest - right @ mean)
+            logdet = np.linalg.slogdet(q)[1] - np.linalg.slogdet(q + a)[1]
+            rows.append((g, [fit, float(logdet), float(len(rest))]))
+        return pd.DataFrame(rows, columns=["g", "v"])
 
+    each = tiled(df.where("val is not null"), nx, ny, per_tile).groupBy("block").applyInPandas(stats, "g int, v array<double>")
+    sums = summed(each)
+    loglik = {g: -0.5 * (n * math.log(max(1e-12, fit / n)) - logdet) for g, (fit, logdet, n) in sums.items()}
+    best = max(loglik, key=loglik.get) if loglik else 0
+    noise = max(1e-12, sums[best][0] / sums[best][2]) if sums else 1.0
 
-def predictive_process(df: DataFrame, nx: int, ny: int, knots: int = 7) -> DataFrame:
-    """A low-rank process on knots: one resolution of the fixed-rank model."""
-    return fixed_rank(df, nx, ny, (knots,))
+    def kernel(xy, y, to, block):
+        q, a, right, at = posterior(xy, y - K.design(xy, trend, nx, ny) @ start, to, *grid[best])
+        inverse = np.linalg.inv(q + a)
+        return K.design(to, trend, nx, ny) @ start + (inverse @ right)[at], np.sqrt(noise * (1 + np.diag(inverse)[at]))
 
+    return predict_tiles(df, nx, ny, per_tile, halo, kernel)
 
-def multiresolution(df: DataFrame, nx: int, ny: int, levels: int = 4, per_tile: int = 300) -> DataFrame:
-    """Tiles of halving size: each level kriges what the levels above have left, from a thinned set of the tile's cells.
 
-    Levels run one after another; residuals are carried on each row, so every level is one grouped pass.
-    """
-    rest = df.select("cell_id", "ix", "iy", "val", F.lit(0.0).alias("mean"), F.lit(0.0).alias("var"))
-    trend = fit_blocks(df, tile_column(nx, ny, per_tile))
-
-    def level(depth: int):
-        def run(f: pd.DataFrame) -> pd.DataFrame:
-            seen = f["val"].notna().to_numpy()
-            xy = _xy(f)
-            spacing = max(1, int(np.ceil(np.sqrt(seen.sum() / 64))))
-            thin = seen & (f["ix"].to_numpy() % spacing == 0) & (f["iy"].to_numpy() % spacing == 0) if depth < levels else seen
-            if not thin.any():
-                return f[["cell_id", "ix", "iy", "val", "mean", "var"]]
-            y = f["val"].to_numpy(float) - f["mean"].to_numpy(float)
-            range_ = trend.range / 2 ** max(0, depth - 1)
-            base = K.design(xy) @ trend.beta if depth == 0 else np.zeros(len(xy))
-            variance = max(1e-9, float(np.var((y - base)[thin])))
-            c = lambda a, b: (1 - trend.share) * np.exp(-K.distances(a, b) / range_)
-            low = np.linalg.cholesky(c(xy[thin], xy[thin]) + (trend.share + 1e-9) * np.eye(thin.sum()))
-            w = np.linalg.solve(low, c(xy, xy[thin]).T)
-            mean = base + w.T @ np.linalg.solve(low, (y - base)[thin])
-            var = variance * np.maximum(1e-9, 1 - (w * w).sum(axis=0))
-            return f.assign(mean=f["mean"] + mean, var=var)[["cell_id", "ix", "iy", "val", "mean", "var"]]
-
-        return run
-
-    for depth in range(levels + 1):
-        tile = J.tile_of(nx, ny, depth + max(0, math.ceil(math.log2(nx * ny / per_tile / 2**levels))), 0, 1)
-        rest = cut(rest.withColumn("tile", tile).groupBy("tile").applyInPandas(level(depth), "cell_id long, ix int, iy int, val double, mean double, var double"))
-    return rest.where("val is null").select("cell_id", "mean", F.sqrt("var").alias("sd"))
-
-
-def meta_kriging(df: DataFrame, nx: int, ny: int, subsets: int = 6, draws: int = 40, seed: int = 5) -> DataFrame:
-    """Subset posteriors combined by their geometric median; quantiles of the pooled, weighted draws give mean and sd."""
-    part = F.pmod(F.xxhash64(F.lit(seed), "cell_id"), F.lit(subsets))
-    seen = df.where("val is not null").withColumn("part", part)
-
-    def own(f: pd.DataFrame) -> pd.DataFrame:
-        xy, y = _xy(f)[:1500], f["val"].to_numpy(float)[:1500]
-        best = max(((*K.profile(*(s := K.gls(xy, y, r, sh)).values()), r, sh) for r, sh in GRID), key=lambda b: b[2])
-        return pd.DataFrame({"part": [int(f["part"].iloc[0])], "theta": [[*best[0], math.log(best[1]), math.log(best[3]), best[4]]]})
-
-    size = max(1, seen.count() // (subsets * 1200))
-    small = seen.where(F.pmod(F.xxhash64(F.lit("thin"), "cell_id"), F.lit(size)) == 0)  # a subset's posterior is of at most 1,500 cells
-    fits = small.select("part", "ix", "iy", "val").groupBy("part").applyInPandas(own, "part int, theta array<double>").collect()  # one a subset
-    theta = np.array([r["theta"] for r in fits])
-    scale = np.maximum(1e-6, theta.std(axis=0))
-    weights = K.weiszfeld(theta / scale)
-    parts = [(Fit(t[:3], math.exp(t[3]), math.exp(t[4]), t[5]), float(w)) for t, w in zip(theta, weights)]
-
-    def kernel(xy, y, to):
-        rng = np.random.Generator(np.random.PCG64([seed, int(to[0, 0]), int(to[0, 1])]))
-        pooled, mass = [], []
-        for fit, w in parts:
-            mean, sd = K.krige(xy, y, to, fit.beta, fit.variance, fit.range, fit.share)
-            pooled.append(mean[0] + sd[0] * rng.standard_normal(draws))
-            mass.append(np.full(draws, w / draws))
-        values, mass = np.concatenate(pooled), np.concatenate(mass)
-        order = np.argsort(values, kind="stable")
-        cum = np.cumsum(mass[order])
-        low, mid, high = (values[order][min(len(cum) - 1, int(np.searchsorted(cum, p)))] for p in (0.025, 0.5, 0.975))
-        return float(mid), float(max(1e-6, (high - low) / (2 * 1.959963984540054)))
-
-    return _local(with_neighbours(df, 15, float(nx + ny)), kernel)
-
-
-def gap_fill(df: DataFrame, nx: int, ny: int) -> DataFrame:
+def gap_fill(df: DataFrame, nx: int, ny: int, y0: int = 1) -> DataFrame:
     """Missing cells from their shifted copies: the middle of the neighbourhood's quantiles, held in the observed range.
 
-    The window of copies grows until a cell finds values; what is filled helps the next round.
+    What is filled helps the next round; rounds go on until one fills nothing more. low and high are the 5 and 95 %
+    quantiles of the neighbourhood, sd the width between them as that of a normal. Cells that no round reaches (a lattice
+    without any value) stay out.
+    """
+    ends = df.agg(F.min("val"), F.max("val")).first()
+    none = F.lit(None).cast("double")
+    work = cut(df.select("cell_id", "ix", "iy", "val", none.alias("low"), none.alias("high")))
+    left, before = work.where("val is null").count(), None
+    while left and left != before and ends[0] is not None:
+        near = shifted(work, "val", nx, ny, 0, y0, SHIFTS).where("img > 0 and v is not null").groupBy("cell_id").agg(F.percentile("v", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("q"))
+        held = F.greatest(F.lit(ends[0]), F.least(F.lit(ends[1]), F.col("q")[1]))
+        gone = F.col("val").isNull()
+        edge = lambda c, k: F.coalesce(c, F.when(gone, F.col("q")[k])).alias(c)
+        work = cut(work.join(near, "cell_id", "left").select("cell_id", "ix", "iy", F.coalesce("val", held).alias("val"), edge("low", 0), edge("high", 2)))
+        before, left = left, work.where("val is null").count()
+    filled = work.where("low is not null and val is not null")
+    return filled.select("cell_id", F.col("val").alias("mean"), ((F.col("high") - F.col("low")) / (2 * 1.6448536269514722) + 1e-3).alias("sd"), "low", "high")
+
+
+def simulate(spark, nx: int, ny: int, draws: int, variance: float, range_: float, nugget: float, mean: float) -> DataFrame:
+    """draw, ix, iy, v: stationary exponential fields by circulant embedding, one draw a task, seeded by its number.
+
+    For lattices that fit a task; a larger field is drawn by its tiles with conditional_simulation.
     """
-    work = cut(df.select("cell_id", "ix", "iy", "val", F.lit(None).cast("double").alias("sd")))
-    for _ in range(16):
-        if not work.where("val is null").count():
-            break
-        near = shifted(work, "val", nx, ny, 0, 1, SHIFTS).where("img > 0 and v is not null").groupBy("cell_id").agg(F.percentile("v", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("q"))
-        filled = F.coalesce("val", F.col("q")[1])
-        spread = F.coalesce("sd", F.when(F.col("val").isNull(), (F.col("q")[2] - F.col("q")[0]) / 2.563 + 1e-3))
-        work = cut(work.join(near, "cell_id", "left").select("cell_id", "ix", "iy", filled.alias("val"), spread.alias("sd")))
-    return work.join(df.where("val is null").select("cell_id"), "cell_id").select("cell_id", F.col("val").alias("mean"), "sd")
-
-
-def lattice_markov(df: DataFrame, nx: int, ny: int, kappa2: float = 0.05, per_tile: int = 600) -> DataFrame:
-    """A Markov field with a five-point stencil on each tile, its mean by conjugate gradients, the sd from the local precision."""
-    centre, variance = df.agg(F.avg("val"), F.var_samp("val")).first()
-    centre, variance = float(centre or 0.0), float(variance or 1.0)
-    noise = 0.05 * variance
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.reset_index(drop=True)
-        at = {(x, y): i for i, (x, y) in enumerate(zip(f["ix"], f["iy"]))}
-        links = [(i, at[x + dx, y + dy]) for (x, y), i in at.items() for dx, dy in SHIFTS[1:5] if (x + dx, y + dy) in at]
-        i, j = np.array(links or [(0, 0)])[: len(links)].reshape(-1, 2).T
-        seen = f["val"].notna().to_numpy()
-        diagonal = (np.bincount(i, minlength=len(f)) + kappa2) / variance + seen / noise
-        rows, cols = np.concatenate([i, np.arange(len(f))]), np.concatenate([j, np.arange(len(f))])
-        values = np.concatenate([np.full(len(i), -1 / variance), diagonal])
-        right = np.where(seen, (f["val"].fillna(centre).to_numpy() - centre) / noise, 0.0)
-        x = K.conditional_gradient(rows, cols, values, right[:, None])[:, 0]
-        return pd.DataFrame({"cell_id": f["cell_id"], "mean": x + centre, "sd": np.sqrt(1 / diagonal + noise)})[~seen]
-
-    return df.withColumn("block", tile_column(nx, ny, per_tile)).select("block", "cell_id", "ix", "iy", "val").groupBy("block").applyInPandas(run, OUT)
-
-
-def conditional_simulation(df: DataFrame, nx: int, ny: int, draws: int = 20, per_tile: int = 400) -> DataFrame:
-    """Kriged mean with sd from conditional draws: prediction + (free draw - its own prediction)."""
-    return tapered(df, nx, ny, float(nx + ny) * 4, draws, per_tile)
-
-
-def simulate(spark, nx: int, ny: int, draws: int = 4, variance: float = 16.40771, range_: float = 4 / 3, nugget: float = 0.05, mean: float = 44.49105) -> DataFrame:
-    """draw, ix, iy, v: stationary exponential fields by circulant embedding, one draw a task, seeded by its number."""
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         k = int(f["id"].iloc[0])
-        field = K.embed(nx, ny, variance, range_, k, 1)[0]
+        field = K.embed(nx, ny, variance, range_, [k], 1)[0]
         noise = np.random.Generator(np.random.PCG64([k, 1])).standard_normal(field.shape) * math.sqrt(nugget)
         ix, iy = np.indices(field.shape)
         return pd.DataFrame({"draw": k, "ix": ix.ravel(), "iy": iy.ravel(), "v": (mean + field + noise).ravel()})
 
     return spark.range(draws).groupBy("id").applyInPandas(run, "draw long, ix int, iy int, v double")
-
-
-def agglomerate(df: DataFrame, clusters: int, value: str = "truth", start: int = 30, nx: int = 90, ny: int = 50) -> DataFrame:
-    """cell_id, cluster: touching tiles merged two at a time by least Ward cost until `clusters` are left.
-
-    Costs are sums over clusters; each merge looks at the few cluster pairs only.
-    """
-    from gridloom.operators import aggregates as A
-
-    tile = tile_column(nx, ny, max(1, nx * ny // start))
-    cells = cut(df.select("cell_id", "ix", "iy", F.col(value).alias("v"), tile.alias("cluster")))
-    touching = A.linkage(J.rook_edges(cells, "v"), cells).select("c1", "c2").collect()  # pairs of a few tiles
-    size = {r["cluster"]: (r["n"], r["m"]) for r in cells.groupBy("cluster").agg(F.count("*").alias("n"), F.avg("v").alias("m")).collect()}
-    pairs, name = {(r["c1"], r["c2"]) for r in touching}, {c: c for c in size}
-    while len(size) > clusters and pairs:
-        cost = lambda p: (size[p[0]][0] * size[p[1]][0] / (size[p[0]][0] + size[p[1]][0]) * (size[p[0]][1] - size[p[1]][1]) ** 2, p)
-        a, b = min(pairs, key=cost)
-        (na, ma), (nb, mb) = size[a], size.pop(b)
-        size[a] = (na + nb, (na * ma + nb * mb) / (na + nb))
-        name = {c: a if x == b else x for c, x in name.items()}
-        moved = {tuple(sorted((a if x == b else x, a if y == b else y))) for x, y in pairs}
-        pairs = {p for p in moved if p[0] != p[1]}
-    label = F.create_map(*[F.lit(x) for kv in name.items() for x in kv])
-    return cells.select("cell_id", F.element_at(label, F.col("cluster")).alias("cluster"))
-
-
-MODELS = {
-    "partition_gp": partition_gp, "nngp_conj": nearest_neighbour_gp, "taper_krige": tapered, "cond_sim": conditional_simulation, "lowrank_gp": predictive_process, "frk": fixed_rank,
-    "mra": multiresolution, "meta_kriging": meta_kriging, "local_gp": local_gp, "gapfill": gap_fill, "lattice_gmrf": lattice_markov,
-}

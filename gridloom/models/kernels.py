@@ -2,51 +2,111 @@
 
 from __future__ import annotations
 
-import numpy as np
-
-
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
-
-
-def design(xy: np.ndarray) -> np.ndarray:
-    """Intercept and linear trend."""
-    return np.column_stack([np.ones(len(xy)), xy])
+import math
 
+import numpy as np
 
-def gls(xy: np.ndarray, y: np.ndarray, range_: float, share: float) -> dict:
-    """Sufficient statistics of y = X b + e with correlation (1 - share) exp(-d / range) + share * I."""
-    r = (1 - share) * np.exp(-distances(xy, xy) / range_)
-    r[np.diag_indices(len(xy))] = 1.0 + 1e-10
-    low = np.linalg.cholesky(r)
-    x = design(xy)
-    u, v = np.linalg.solve(low, x), np.linalg.solve(low, y)
-    return {"xx": u.T @ u, "xy": u.T @ v, "yy": float(v @ v), "logdet": float(2 * np.log(np.diag(low)).sum()), "n": len(y)}
+from gridloom.functions.covariance import bisquare_np, wendland_np
 
 
-def profile(xx: np.ndarray, xy: np.ndarray, yy: float, logdet: float, n: float) -> tuple[np.ndarray, float, float]:
-    """Coefficients, variance and profile log likelihood from (sums of) sufficient statistics."""
-    beta = np.linalg.solve(xx + 1e-9 * np.eye(len(xx)), xy)
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0, (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * a @ b.T))
+
+
+def design(xy: np.ndarray, trend: str = "linear", nx: float = 1.0, ny: float = 1.0) -> np.ndarray:
+    """The trend's columns on a lattice of nx by ny: none, constant, linear, quadratic, or linear with 16 bisquare functions."""
+    x, y = xy[:, 0] / nx, xy[:, 1] / ny
+    if trend == "none":
+        return np.zeros((len(xy), 0))
+    columns = [np.ones(len(xy))]
+    if trend != "constant":
+        columns += [x, y]
+    if trend == "quadratic":
+        columns += [x * x, x * y, y * y]
+    if trend == "bisquare":
+        at = (np.arange(4) + 0.5) / 4
+        centres = np.array([(a * nx, b * ny) for a in at for b in at])
+        columns += list(bisquare_np(distances(xy, centres), 0.5 * max(nx, ny)).T)
+    return np.column_stack(columns)
+
+
+def correlation(d: np.ndarray, range_: float, taper: float | None = None) -> np.ndarray:
+    """Exponential correlation, tapered by a Wendland function of that reach."""
+    r = np.exp(-d / range_)
+    return r if taper is None else r * wendland_np(d, taper)
+
+
+def gls_grid(xy: np.ndarray, x: np.ndarray, y: np.ndarray, grid: list[tuple[float, float]], taper: float | None = None) -> np.ndarray:
+    """For each (range, share) the sufficient statistics of y = X b + e, e with correlation (1 - share) r(d) + share I.
+
+    A row of xx (p * p), xy (p), yy, logdet, n. One eigendecomposition of r serves all shares of a range.
+    """
+    d, out = distances(xy, xy), {}
+    for range_ in sorted({g[0] for g in grid}):
+        values, vectors = np.linalg.eigh(correlation(d, range_, taper))
+        u, v = vectors.T @ x, vectors.T @ y
+        for share in (s for r, s in grid if r == range_):
+            s = np.maximum(1e-10, (1 - share) * values + share)
+            w = u / s[:, None]
+            out[range_, share] = np.concatenate([(u.T @ w).ravel(), w.T @ v, [float(v @ (v / s)), float(np.log(s).sum()), float(len(y))]])
+    return np.array([out[g] for g in grid])
+
+
+def profile(stats: np.ndarray, p: int) -> tuple[np.ndarray, float, float]:
+    """Coefficients, variance and profile log likelihood from (sums of) rows of gls_grid."""
+    xx, xy = stats[: p * p].reshape(p, p), stats[p * p : p * p + p]
+    yy, logdet, n = stats[-3:]
+    beta = np.linalg.solve(xx + 1e-9 * np.eye(p), xy) if p else np.zeros(0)
     variance = max(1e-12, (yy - 2 * beta @ xy + beta @ xx @ beta) / n)
     return beta, float(variance), float(-0.5 * (n * np.log(variance) + logdet + n))
 
 
-def krige(xy: np.ndarray, y: np.ndarray, to: np.ndarray, beta: np.ndarray, variance: float, range_: float, share: float) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and standard deviation (of an observation) at new places."""
-    r = (1 - share) * np.exp(-distances(xy, xy) / range_)
+def krige(xy: np.ndarray, rest: np.ndarray, to: np.ndarray, variance: float, range_: float, share: float, taper: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Mean of the residual and variance of an observation at new places, from residuals at known ones."""
+    if not len(xy):
+        return np.zeros(len(to)), np.full(len(to), variance)
+    r = (1 - share) * correlation(distances(xy, xy), range_, taper)
     r[np.diag_indices(len(xy))] = 1.0 + 1e-10
-    c = (1 - share) * np.exp(-distances(to, xy) / range_)
-    low = np.linalg.cholesky(r)
-    w = np.linalg.solve(low, c.T)
-    mean = design(to) @ beta + w.T @ np.linalg.solve(low, y - design(xy) @ beta)
-    return mean, np.sqrt(np.maximum(1e-12, variance * (1 - (w * w).sum(axis=0))))
-
-
-def weiszfeld(points: np.ndarray, steps: int = 100, tolerance: float = 1e-6) -> np.ndarray:
-    """Weights of the points in their geometric median."""
-    weights = np.full(len(points), 1 / len(points))
+    w = np.linalg.solve(np.linalg.cholesky(r), np.column_stack([(1 - share) * correlation(distances(xy, to), range_, taper), rest]))
+    return w[:, :-1].T @ w[:, -1], np.maximum(1e-12, variance * (1 - (w[:, :-1] ** 2).sum(axis=0)))
+
+
+def t_quantile(p: float, df: float) -> float:
+    """Student's t quantile by bisection of its distribution function (a sum of Simpson's rule)."""
+    const = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi)
+
+    def cdf(t: float) -> float:
+        z = np.linspace(0, abs(t), 2001)
+        f = const * (1 + z * z / df) ** (-(df + 1) / 2)
+        area = abs(t) / 6000 * (f[0] + f[-1] + 4 * f[1::2].sum() + 2 * f[2:-1:2].sum())
+        return 0.5 + math.copysign(area, t)
+
+    low, high = -1.0, 1.0
+    while cdf(low) > p:
+        low *= 2
+    while cdf(high) < p:
+        high *= 2
+    for _ in range(80):
+        mid = (low + high) / 2
+        low, high = (mid, high) if cdf(mid) < p else (low, mid)
+    return (low + high) / 2
+
+
+def gaussian_crps(mean: np.ndarray, sd: np.ndarray, y: np.ndarray) -> np.ndarray:
+    z = (y - mean) / sd
+    cdf = 0.5 * (1 + np.vectorize(math.erf, otypes=[float])(z / math.sqrt(2)))
+    return sd * (z * (2 * cdf - 1) + 2 * np.exp(-0.5 * z * z) / math.sqrt(2 * math.pi) - 1 / math.sqrt(math.pi))
+
+
+def median_of_posteriors(draws: list[np.ndarray], steps: int = 100, tolerance: float = 1e-6) -> np.ndarray:
+    """Weights of distributions, given by draws, in their geometric median in the space of a Gaussian kernel."""
+    every = np.concatenate(draws)
+    scale = np.maximum(1e-9, every.std(axis=0))
+    parts = [d / scale for d in draws]
+    gram = np.array([[np.exp(-(distances(a, b) ** 2) / (2 * a.shape[1])).mean() for b in parts] for a in parts])
+    weights = np.full(len(parts), 1 / len(parts))
     for _ in range(steps):
-        away = np.maximum(1e-9, np.linalg.norm(points - weights @ points, axis=1))
+        away = np.sqrt(np.maximum(1e-12, np.diag(gram) - 2 * gram @ weights + weights @ gram @ weights))
         fresh = (1 / away) / (1 / away).sum()
         if np.abs(fresh - weights).max() < tolerance:
             return fresh
@@ -54,18 +114,27 @@ def weiszfeld(points: np.ndarray, steps: int = 100, tolerance: float = 1e-6) ->
     return weights
 
 
-def embed(nx: int, ny: int, variance: float, range_: float, seed: int, draws: int) -> np.ndarray:
-    """Draws of a stationary exponential field on a lattice by circulant embedding (negative parts of the spectrum cut)."""
-    mx, my = 2 * nx, 2 * ny
-    dx, dy = np.minimum(np.arange(mx), mx - np.arange(mx)), np.minimum(np.arange(my), my - np.arange(my))
-    spectrum = np.maximum(0, np.fft.fft2(variance * np.exp(-np.sqrt(dx[:, None] ** 2.0 + dy[None, :] ** 2.0) / range_)).real)
+def embed(nx: int, ny: int, variance: float, range_: float, seed: list[int], draws: int) -> np.ndarray:
+    """Draws of a stationary exponential field on a lattice by circulant embedding.
+
+    The torus is doubled until less than 1e-3 of its spectrum's mass is negative; that part is then cut.
+    """
+    for grow in (2, 4, 8):
+        mx, my = grow * nx, grow * ny
+        dx, dy = np.minimum(np.arange(mx), mx - np.arange(mx)), np.minimum(np.arange(my), my - np.arange(my))
+        spectrum = np.fft.fft2(variance * np.exp(-np.sqrt(dx[:, None] ** 2.0 + dy[None, :] ** 2.0) / range_)).real
+        if -spectrum[spectrum < 0].sum() < 1e-3 * spectrum.sum():
+            break
+    else:
+        raise ValueError(f"range {range_} is too long for a lattice of {nx} by {ny}")
     rng = np.random.Generator(np.random.PCG64(seed))
     noise = rng.standard_normal((draws, mx, my)) + 1j * rng.standard_normal((draws, mx, my))
-    return np.fft.fft2(np.sqrt(spectrum / (mx * my)) * noise).real[:, :nx, :ny]
+    return np.fft.fft2(np.sqrt(np.maximum(0, spectrum) / (mx * my)) * noise).real[:, :nx, :ny]
 
 
 def conditional_gradient(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, b: np.ndarray, steps: int = 500, tolerance: float = 1e-10) -> np.ndarray:
     """Solves a sparse symmetric system given by triplets, for all columns of b at once, by conjugate gradients."""
+
     def times(x: np.ndarray) -> np.ndarray:
         return np.stack([np.bincount(rows, values * x[cols, k], len(x)) for k in range(x.shape[1])], axis=1)
 
@@ -81,3 +150,16 @@ def conditional_gradient(rows: np.ndarray, cols: np.ndarray, values: np.ndarray,
         fresh = (r * r).sum(axis=0)
         p, rr = r + fresh / np.maximum(1e-300, rr) * p, fresh
     return x
+
+
+def markov_precision(nx: int, ny: int, kappa: float) -> np.ndarray:
+    """Precision of (kappa^2 - Laplacian) x = noise on a lattice with free edges, ix-major, for unit noise."""
+    n = nx * ny
+    at = np.arange(n).reshape(nx, ny)
+    k = np.diag(np.full(n, kappa * kappa))
+    for a, b in ((at[1:].ravel(), at[:-1].ravel()), (at[:, 1:].ravel(), at[:, :-1].ravel())):
+        k[a, b] -= 1
+        k[b, a] -= 1
+        np.add.at(k, (a, a), 1)
+        np.add.at(k, (b, b), 1)
+    return k @ k

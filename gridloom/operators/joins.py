@@ -10,13 +10,6 @@ from pyspark.sql import functions as F
 from gridloom.session import cut
 
 
-def lag_join(df: DataFrame, lx: int, ly: int, value: str) -> DataFrame:
-    """Pairs of cells a lag apart: ix, iy, v1, v2 (both not null). The lag is on one side's key, so it is a hash join."""
-    here = df.where(F.col(value).isNotNull()).select((F.col("ix") + lx).alias("kx"), (F.col("iy") + ly).alias("ky"), "ix", "iy", F.col(value).alias("v1"))
-    there = df.where(F.col(value).isNotNull()).select(F.col("ix").alias("kx"), F.col("iy").alias("ky"), F.col(value).alias("v2"))
-    return here.join(there, ["kx", "ky"]).select("ix", "iy", "v1", "v2")
-
-
 def rook_edges(df: DataFrame, value: str) -> DataFrame:
     """src, dst, d and change of each pair of rook neighbours (right and up), once each."""
     steps = F.array(F.struct(F.lit(1).alias("dx"), F.lit(0).alias("dy")), F.struct(F.lit(0).alias("dx"), F.lit(1).alias("dy")))
@@ -116,6 +109,16 @@ def nearest_centre(points: DataFrame, centres: list[tuple[int, float, float]], x
     return points.withColumn("__best", best).withColumns({"centre": F.col("__best.centre"), "d2": F.col("__best.d2")}).drop("__best")
 
 
+def nearest_kept_centre(points: DataFrame, centres: list[tuple[int, float, float]], value: str, x: str = "ix", y: str = "iy") -> DataFrame:
+    """nearest_centre() among the centres that some point with a value is nearest to; the points of the others are re-assigned.
+
+    Counting is one aggregation; the few ids of the centres that stay reach the driver.
+    """
+    used = nearest_centre(points, centres, x, y).where(F.col(value).isNotNull()).select("centre").distinct()
+    kept = {r["centre"] for r in used.collect()}
+    return nearest_centre(points, [c for c in centres if c[0] in kept] or centres, x, y)
+
+
 def tiles(nx: int, ny: int, levels: int, x0: int = 0, y0: int = 0) -> list[dict]:
     """A binary tree of tiles: each level halves the longer side (x on ties). Half-open boxes, closed at the far edge."""
     out, row = [], [(1, float(x0), float(x0 + nx), float(y0), float(y0 + ny))]
@@ -149,9 +152,14 @@ def tile_of(nx: int, ny: int, levels: int, x0: int = 0, y0: int = 0, x: str = "i
     return tile
 
 
-def ancestors(tile: Column, levels: int) -> Column:
-    """The ids from the root to the tile's parent."""
-    return F.transform(F.sequence(F.lit(levels), F.lit(1), F.lit(-1)), lambda k: F.floor(tile / F.pow(F.lit(2.0), k)).cast("int"))
+def ancestors(tile: Column, levels: Column) -> Column:
+    """The ids from the root to the parent of a tile that lies `levels` below the root."""
+    return F.transform(F.sequence(levels, F.lit(1), F.lit(-1)), lambda k: F.floor(tile / F.pow(F.lit(2.0), k)).cast("int"))
+
+
+def children(tile: Column) -> Column:
+    """The ids of a tile's two halves."""
+    return F.array(tile * 2, tile * 2 + 1)
 
 
 def knots(n: int, low: float, high: float, offset: float) -> list[float]:

@@ -63,31 +63,41 @@ def points(df: DataFrame) -> DataFrame:
     return df.select(F.col("cell_id").alias("id"), F.col("ix").alias("x"), F.col("iy").alias("y"))
 
 
+def _with_means(base: DataFrame, seen: DataFrame) -> DataFrame:
+    """base with the means and sds of all, of the column and of the row, and the plane's value."""
+    # Values have six decimals: means are taken of whole millionths, which sum exactly.
+    mean = F.sum(F.round(F.col("val") * 1000000).cast("long")) / (F.count("val") * 1000000)
+    total = seen.agg(mean.alias("gm"), F.stddev_samp("val").alias("gs"))
+    by = lambda k: seen.groupBy(k).agg(mean.alias(f"{k}_mean"), F.stddev_samp("val").alias(f"{k}_sd"))
+    plane = aggregates.ols_plane(seen, "ix", "iy", "val")
+    wide = base.join(F.broadcast(total)).join(by("ix"), "ix", "left").join(by("iy"), "iy", "left").join(F.broadcast(plane))  # a row each
+    return wide.withColumn("trend", F.round(F.col("b0") + F.col("b1") * F.col("ix") + F.col("b2") * F.col("iy"), 6)).drop("b0", "b1", "b2", "r2")
+
+
+def means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The observed cells of the signal lattice with the simple means at their places."""
+    seen = cut(signal(spark, sf_dir)).where("val is not null")
+    return _with_means(seen.select("cell_id", "ix", "iy", "truth"), seen)
+
+
 def baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each masked cell of the signal lattice: truth, the means and sds of six simple predictors, and the distance d
     to the nearest observation; one nearest search serves all. Inverse distances look 4 cells far; with nothing there, the
     nearest value stands in."""
     s = cut(signal(spark, sf_dir))
     seen, gone = s.where("val is not null"), s.where("val is null")
-    # Values have six decimals: means are taken of whole millionths, which sum exactly.
-    mean = F.sum(F.round(F.col("val") * 1000000).cast("long")) / (F.count("val") * 1000000)
-    total = seen.agg(mean.alias("gm"), F.stddev_samp("val").alias("gs"))
-    base = gone.select("cell_id", "ix", "iy", "truth").join(F.broadcast(total))
-    by = lambda k: seen.groupBy(k).agg(mean.alias(f"{k}_mean"), F.stddev_samp("val").alias(f"{k}_sd"))
-    plane = aggregates.ols_plane(seen, "ix", "iy", "val")
     near = joins.nearest(points(gone), points(seen), 1, 2.0, DIAMETER).select(F.col("i").alias("cell_id"), "j", F.sqrt("d2").alias("d"))
     near = near.join(seen.select(F.col("cell_id").alias("j"), F.col("val").alias("nn")), "j").drop("j")
     around = joins.radius_join(points(gone), points(seen), 4.0).join(seen.select(F.col("cell_id").alias("j"), "val"), "j")
     idw = around.groupBy(F.col("i").alias("cell_id")).agg((F.sum(F.col("val") / F.col("d2")) / F.sum(1.0 / F.col("d2"))).alias("idw"))
-    wide = base.join(by("ix"), "ix", "left").join(by("iy"), "iy", "left").join(F.broadcast(plane)).join(near, "cell_id", "left").join(idw, "cell_id", "left")
-    trend = F.col("b0") + F.col("b1") * F.col("ix") + F.col("b2") * F.col("iy")
-    return wide.select("cell_id", "truth", "d", "gm", "gs", "ix_mean", "ix_sd", "iy_mean", "iy_sd", F.round(trend, 6).alias("trend"), F.coalesce(F.round("idw", 6), "nn").alias("idw"), "nn")
+    wide = _with_means(gone.select("cell_id", "ix", "iy", "truth"), seen).join(near, "cell_id", "left").join(idw, "cell_id", "left")
+    return wide.withColumn("idw", F.coalesce(F.round("idw", 6), "nn"))
 
 
-def stacked(wide: DataFrame, *keep: str) -> DataFrame:
-    """method, cell_id, mean, sd and truth of a table of baselines(), and the columns to keep."""
+def stacked(wide: DataFrame, *keep: str, methods: tuple[str, ...] = tuple(METHODS)) -> DataFrame:
+    """method, cell_id, mean, sd and truth of a table of baselines() or means(), and the columns to keep."""
     of = {"colmean": ("ix_mean", "ix_sd"), "global": ("gm", "gs"), "idw": ("idw", "gs"), "nn": ("nn", "gs"), "rowmean": ("iy_mean", "iy_sd"), "trend": ("trend", "gs")}
-    each = F.array(*[F.struct(F.lit(m).alias("method"), F.col(mean).alias("mean"), F.round(sd, 6).alias("sd")) for m, (mean, sd) in of.items()])
+    each = F.array(*[F.struct(F.lit(m).alias("method"), F.col(mean).alias("mean"), F.round(sd, 6).alias("sd")) for m, (mean, sd) in of.items() if m in methods])
     rows = wide.select("cell_id", "truth", *keep, F.explode(each).alias("p")).where("p.mean is not null")
     return rows.select("p.method", "cell_id", "p.mean", "p.sd", "truth", *keep)
 

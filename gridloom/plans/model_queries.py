@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from gridloom.models import fields
+from gridloom.models import basis, clusters, fields, multires, neighbours
 from gridloom.session import cut
 
 from .base import NX, NY, signal
 
+#: By name the models: each takes (cells, nx, ny) and returns cell_id, mean and sd of the missing ones.
+MODELS = {
+    "partition_gp": fields.partition_gp, "taper_krige": fields.tapered, "cond_sim": fields.conditional_simulation, "gapfill": fields.gap_fill, "lattice_gmrf": fields.lattice_markov,
+    "frk": basis.fixed_rank, "lowrank_gp": basis.predictive_process, "lattice_krig": basis.lattice_krig, "mra": multires.multiresolution, "nngp_conj": neighbours.nearest_neighbour_gp,
+    "nngp_response": neighbours.nearest_neighbour_response, "meta_kriging": neighbours.meta_kriging, "local_gp": neighbours.local_gp,
+}
+#: The parameters of the simulated field (variance, range, nugget, mean).
+FIELD = {"variance": 16.40771, "range_": 4 / 3, "nugget": 0.05, "mean": 44.49105}
 QUERIES: dict = {}
 
 
@@ -14,8 +22,10 @@ def _model(model):
     return lambda spark, sf: model(cut(signal(spark, sf)), NX, NY)
 
 
-for _name, _f in fields.MODELS.items():
+for _name, _f in MODELS.items():
     QUERIES[_name] = (_model(_f), None)
-QUERIES["grid_mle"] = (lambda spark, sf: fields.grid_likelihood(cut(signal(spark, sf)), NX, NY), None)
-QUERIES["circulant_sim"] = (lambda spark, sf: fields.simulate(spark, 60, 40), None)
-QUERIES["gradient_clusters"] = (lambda spark, sf: fields.agglomerate(signal(spark, sf), 8), None)
+QUERIES["grid_mle"] = (_model(fields.grid_likelihood), None)
+QUERIES["nngp_cv"] = (_model(neighbours.cv_table), None)
+QUERIES["lattice_krig_cv"] = (_model(basis.lattice_krig_cv), None)
+QUERIES["circulant_sim"] = (lambda spark, sf: fields.simulate(spark, 60, 40, 4, **FIELD), None)
+QUERIES["gradient_clusters"] = (lambda spark, sf: clusters.agglomerate(signal(spark, sf), 8), None)

@@ -12,7 +12,7 @@ from gridloom.operators import aggregates as A
 from gridloom.operators import joins
 from gridloom.session import cut
 
-from .base import DIAMETER, METHODS, QUANTILE, RUN, SCORE_COLUMNS, P, baselines, points, predictions, signal, stacked
+from .base import DIAMETER, METHODS, QUANTILE, RUN, SCORE_COLUMNS, P, baselines, means, points, predictions, signal, stacked
 
 QUERIES: dict = {}
 _Z = "((truth - mean) / nullif(sd, 0))"
@@ -118,6 +118,19 @@ def six_scores(spark, sf):
     return t.select("method", "n", r(F.col("rmse") * F.col("rmse")).alias("mse"), *[r(c).alias(c) for c in ("mae", "ign", "crps", "intscore", "coverage")])
 
 
+_OBSERVED = """po AS (SELECT 'global' AS method, cell_id, gm AS mean, gs AS sd, truth FROM seen, tot
+  UNION ALL SELECT 'colmean', cell_id, mean, sd, truth FROM seen JOIN (SELECT ix, sum(round(val * 1000000)::BIGINT)::DOUBLE / (count(val) * 1000000) AS mean, stddev_samp(val) AS sd FROM seen GROUP BY ix) USING (ix)
+  UNION ALL SELECT 'rowmean', cell_id, mean, sd, truth FROM seen JOIN (SELECT iy, sum(round(val * 1000000)::BIGINT)::DOUBLE / (count(val) * 1000000) AS mean, stddev_samp(val) AS sd FROM seen GROUP BY iy) USING (iy)
+  UNION ALL SELECT 'trend', cell_id, round(b0 + b1*ix + b2*iy, 6), gs, truth FROM seen, ols, tot)"""
+
+
+@query("six_scores_observed", f"WITH {P}, {_OBSERVED}, {_TABLE.replace('FROM p WHERE', 'FROM (SELECT method, cell_id, mean, round(sd, 6) AS sd, truth FROM po) WHERE')} SELECT method, n, round(rmse * rmse, 6) AS mse, round(mae, 6) AS mae, round(ign, 6) AS ign, round(crps, 6) AS crps, round(intscore, 6) AS intscore, round(coverage, 6) AS coverage FROM t")
+def six_scores_observed(spark, sf):
+    """The table over the observed cells, for the methods that say something there."""
+    t = A.score_table(stacked(means(spark, sf), methods=("colmean", "global", "rowmean", "trend")), ["method"])
+    return t.select("method", "n", r(F.col("rmse") * F.col("rmse")).alias("mse"), *[r(c).alias(c) for c in ("mae", "ign", "crps", "intscore", "coverage")])
+
+
 _RANKS = f"""l AS (SELECT method, metric, value FROM (SELECT method, round(mae, 9) AS mae, round(rmse, 9) AS rmse, round(crps, 9) AS crps, round(intscore, 9) AS intscore, round(coverage, 9) AS coverage FROM t) UNPIVOT (value FOR metric IN (mae, rmse, crps, intscore, coverage))),
 k AS (SELECT method, metric, value, row_number() OVER (PARTITION BY metric ORDER BY CASE WHEN metric = 'coverage' THEN abs(value - 0.95::DOUBLE) ELSE value END, method)::INT AS rank FROM l)"""
 

@@ -44,10 +44,18 @@ def nearest_centroid(spark, sf):
     return _clusters(spark, sf).select("cell_id", "centre", "d2")
 
 
-@query("nearest_grid_reassign", f"WITH {S}, {_NEAREST} SELECT centre, count(*) AS cells, count(val) AS observed, round(avg(ix), 6) AS cx, round(avg(iy), 6) AS cy FROM nc GROUP BY centre HAVING count(val) > 0")
+FINE = [(k, 2.0 + 5 * (k % 18), 3.0 + 5 * (k // 18)) for k in range(180)]
+_FINE = "fin AS (SELECT k::INT AS centre, (2.0 + 5 * (k % 18))::DOUBLE AS cx, (3.0 + 5 * (k // 18))::DOUBLE AS cy FROM range(180) t(k))"
+_PICK = "arg_min(centre, ((ix-cx)*(ix-cx) + (iy-cy)*(iy-cy)) * 1000 + centre)"
+
+
+@query("nearest_grid_reassign", f"""WITH {S}, {_FINE}, one AS (SELECT cell_id, val, {_PICK} AS centre FROM s, fin GROUP BY ALL),
+kept AS (SELECT * FROM fin WHERE centre IN (SELECT centre FROM one WHERE val IS NOT NULL)), two AS (SELECT cell_id, ix, iy, val, {_PICK} AS centre FROM s, kept GROUP BY ALL)
+SELECT centre, count(*) AS cells, count(val) AS observed, round(avg(ix), 6) AS cx, round(avg(iy), 6) AS cy FROM two GROUP BY centre""")
 def nearest_grid_reassign(spark, sf):
-    groups = _clusters(spark, sf).groupBy("centre").agg(F.count("*").alias("cells"), F.count("val").alias("observed"), r(F.avg("ix")).alias("cx"), r(F.avg("iy")).alias("cy"))
-    return groups.where("observed > 0")
+    """Grid points in the large hole have no observation: they are dropped and their cells re-assigned."""
+    s = J.nearest_kept_centre(signal(spark, sf), FINE, "val")
+    return s.groupBy("centre").agg(F.count("*").alias("cells"), F.count("val").alias("observed"), r(F.avg("ix")).alias("cx"), r(F.avg("iy")).alias("cy"))
 
 
 def _seen(spark, sf):
@@ -258,10 +266,24 @@ def tile_containment(spark, sf):
 @query("ancestry", f"WITH {_tile_rows()} SELECT id, level, floor(id / pow(2, level - k))::INT AS ancestor, k::INT AS at FROM tl, range({LEVELS}) r(k) WHERE k < level")
 def ancestry(spark, sf):
     ids = spark.range(1, 2 ** (LEVELS + 1)).select(F.col("id").cast("int").alias("id"), F.floor(F.log2(F.col("id") + 0.5)).cast("int").alias("level"))
-    rows = ids.where("level > 0").select("id", "level", F.posexplode(F.transform(F.sequence(F.col("level"), F.lit(1), F.lit(-1)), lambda k: F.floor(F.col("id") / F.pow(F.lit(2.0), k)).cast("int"))).alias("at", "ancestor"))
+    rows = ids.where("level > 0").select("id", "level", F.posexplode(J.ancestors(F.col("id"), F.col("level"))).alias("at", "ancestor"))
     return rows.select("id", "level", "ancestor", "at")
 
 
+@query("tile_children", f"WITH {_tile_rows()} SELECT id, level, unnest([2 * id, 2 * id + 1])::INT AS child FROM tl WHERE level < {LEVELS}")
+def tile_children(spark, sf):
+    ids = spark.range(1, 2**LEVELS).select(F.col("id").cast("int").alias("id"), F.floor(F.log2(F.col("id") + 0.5)).cast("int").alias("level"))
+    return ids.select("id", "level", F.explode(J.children(F.col("id"))).alias("child"))
+
+
+@query("tile_containment_closed", f"WITH {S}, {_tile_rows()} SELECT cell_id, id AS tile FROM s JOIN tl ON level = {LEVELS} AND ix >= xmin AND ix <= xmax AND iy >= ymin AND iy <= ymax")
+def tile_containment_closed(spark, sf):
+    """Borders belong to the tiles on both sides: a cell looks a little to either side of itself."""
+    near = lambda a, b: J.tile_of(NX, NY, LEVELS, 0, Y0, f"__x{a}", f"__y{b}")
+    s = signal(spark, sf).select("cell_id", *[(F.col(c) + d / 1e6).alias(f"__{n}{k}") for n, c in (("x", "ix"), ("y", "iy")) for k, d in enumerate((-1, 1))])
+    return s.select("cell_id", F.explode(F.array_distinct(F.array(*[near(a, b) for a in (0, 1) for b in (0, 1)]))).alias("tile"))
+
+
 @query("tile_sums", f"WITH {S}, {_tile_rows()}, lf AS (SELECT id, count(val) AS n, sum(val) AS total FROM s JOIN tl ON level = {LEVELS} AND ix >= xmin AND ix < xmax AND iy >= ymin AND iy < ymax GROUP BY id) SELECT (id // 2)::INT AS parent, sum(n)::BIGINT AS n, round(sum(total), 4) AS total FROM lf GROUP BY 1")
 def tile_sums(spark, sf):
     leaf = signal(spark, sf).groupBy(J.tile_of(NX, NY, LEVELS, 0, Y0).alias("id")).agg(F.count("val").alias("n"), F.sum("val").alias("total"))

@@ -32,7 +32,7 @@ def read_whitespace(spark: SparkSession, path: str, columns: list[tuple[str, str
 
 
 def read_matrix(spark: SparkSession, spec: str) -> DataFrame:
-    """A "path,nrow,ncol" triple as rows (i, j, v); a row count other than nrow is an error.
+    """A "path,nrow,ncol" triple as rows (i, j, v); another number of rows, or of values in a line, is an error.
 
     The line number comes from the file's own order: one text file is read by offset, ordered by partition and place.
     """
@@ -41,12 +41,13 @@ def read_matrix(spark: SparkSession, spec: str) -> DataFrame:
     if (found := rows.count()) != int(nrow):
         raise ValueError(f"{path}: {found} rows, not {nrow}")
     parts = F.split(F.trim("value"), r"\s+")
-    rows = rows.select(F.monotonically_increasing_id().alias("place"), parts.alias("parts"))
+    whole = F.when(F.size(parts) == int(ncol), parts).otherwise(F.raise_error(F.lit(f"{path}: a line without {ncol} values")))
+    rows = rows.select(F.monotonically_increasing_id().alias("place"), whole.alias("parts"))
     rank = {r["pid"]: r["before"] for r in _before(rows)}
     first = F.create_map(*[F.lit(x) for kv in rank.items() for x in kv]) if rank else F.create_map()
     pid = F.shiftright("place", 33).cast("int")
     index = (F.element_at(first, pid) + F.col("place").bitwiseAND((1 << 33) - 1)).cast("long")
-    return rows.select(index.alias("i"), F.posexplode(F.slice("parts", 1, int(ncol))).alias("j", "v")).select("i", "j", F.col("v").cast("double").alias("v"))
+    return rows.select(index.alias("i"), F.posexplode("parts").alias("j", "v")).select("i", "j", F.col("v").cast("double").alias("v"))
 
 
 def _before(rows: DataFrame) -> list[dict]:
@@ -78,6 +79,16 @@ class Config:
                 values.setdefault(tokens[0], tokens[1])
         return cls(values)
 
+    def override(self, arguments: list[str]) -> Config:
+        """With name=value arguments of a command line put in place of the settings; text only, nothing is evaluated."""
+        given: dict[str, str] = {}
+        for a in arguments:
+            name, sign, value = a.partition("=")
+            if not sign or not name.isidentifier():
+                raise ValueError(f"{a}: not of the form name=value")
+            given[name] = value
+        return Config(self.values | given)
+
     def text(self, key: str) -> str:
         if key not in self.values:
             raise KeyError(f"no setting {key}")
@@ -112,6 +123,11 @@ class Config:
 DATASETS: dict[str, str] = {}
 
 
+def register(name: str, path: str) -> None:
+    """Make a Parquet path known as a dataset."""
+    DATASETS[name] = path
+
+
 def dataset(spark: SparkSession, name: str) -> DataFrame:
     """A dataset registered by name in DATASETS (name to parquet path)."""
     if name not in DATASETS:
