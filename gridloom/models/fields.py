@@ -231,7 +231,7 @@ def gap_fill(df: DataFrame, nx: int, ny: int, y0: int = 1) -> DataFrame:
     left, before = work.where("val is null").count(), None
     while left and left != before and ends[0] is not None:
         near = shifted(work, "val", nx, ny, 0, y0, SHIFTS).where("img > 0 and v is not null").groupBy("cell_id").agg(F.percentile("v", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("q"))
-        held = F.greatest(F.lit(ends[0]), F.least(F.lit(ends[1]), F.col("q")[1]))
+        held = F.when(F.col("q").isNotNull(), F.greatest(F.lit(ends[0]), F.least(F.lit(ends[1]), F.col("q")[1])))
         gone = F.col("val").isNull()
         edge = lambda c, k: F.coalesce(c, F.when(gone, F.col("q")[k])).alias(c)
         work = cut(work.join(near, "cell_id", "left").select("cell_id", "ix", "iy", F.coalesce("val", held).alias("val"), edge("low", 0), edge("high", 2)))

@@ -76,7 +76,7 @@ def shifted(df: DataFrame, value: str, nx: int, ny: int, x0: int = 0, y0: int =
 def clip_to_observed(df: DataFrame, column: str, observed: str) -> DataFrame:
     """column held within the range of the observed values (one row, broadcast)."""
     ends = df.agg(F.min(observed).alias("__low"), F.max(observed).alias("__high"))
-    held = F.greatest("__low", F.least("__high", F.col(column)))
+    held = F.when(F.col(column).isNotNull(), F.greatest("__low", F.least("__high", F.col(column))))
     return df.join(F.broadcast(ends)).withColumn(column, held).drop("__low", "__high")
 
 
