@@ -160,6 +160,21 @@ def _smooth(sums: np.ndarray, precision: np.ndarray, lam: float) -> tuple[np.nda
     return mean, inverse, noise, -0.5 * (n * math.log(noise) + np.linalg.slogdet(a)[1] - (len(gram) - 3) * math.log(lam))
 
 
+def lattice_covariance(df: DataFrame, nx: int, ny: int, places: list[tuple[float, float]], coarse: int = 6, levels: int = 3) -> DataFrame:
+    """cell_id, place, cov: the covariance of each cell with a few places that the lattice model implies, for unit variance of
+    its coefficients; the places' coefficients are solved for once, so the cells need one pass."""
+    basis, precision = lattice_basis(nx, ny, coarse, levels)
+    field = slice(3, None)
+    solved = np.linalg.solve(precision[field, field], basis(np.array(places, float))[:, field].T)
+
+    def run(frames):
+        for f in frames:
+            cov = basis(_xy(f))[:, field] @ solved
+            yield pd.DataFrame({"cell_id": np.repeat(f["cell_id"].to_numpy(), len(places)), "place": np.tile(np.arange(len(places)), len(f)), "cov": cov.ravel()})
+
+    return df.select("cell_id", "ix", "iy").mapInPandas(run, "cell_id long, place int, cov double")
+
+
 LAMBDAS = tuple(10.0**k for k in np.arange(-4, 1.5, 0.5))
 
 

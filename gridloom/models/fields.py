@@ -91,22 +91,28 @@ def fits(df: DataFrame, nx: int, ny: int, grid: Grid = GRID, trend: str = "linea
     return out
 
 
-def best_fit(df: DataFrame, nx: int, ny: int, grid: Grid = GRID, trend: str = "linear", taper: float | None = None, per_tile: int = 400, zooms: int = 1) -> Fit:
+def maximise(objective: Callable[[Grid], list[Fit]], grid: Grid, zooms: int = 1) -> Fit:
     """The fit of greatest likelihood on the grid, then on finer grids about it within the first one's bounds.
 
-    A zoom is one job: a bounded search that asks for few passes, where a sequential optimiser would take one a step.
+    The objective gives the fits at all points of a grid at once, so a zoom is one job: a bounded search that asks for few
+    passes, where a sequential optimiser would take one a step.
     """
-    best = max(fits(df, nx, ny, grid, trend, taper, per_tile), key=lambda f: (f.loglik, -f.range))
+    best = max(objective(grid), key=lambda f: (f.loglik, -f.range))
     ranges, shares = sorted({r for r, _ in grid}), sorted({s for _, s in grid})
     step = 2.0
     for _ in range(zooms):
         step = math.sqrt(step)
         inside = lambda v, all_: min(max(v, all_[0]), all_[-1])
         finer = sorted({(inside(best.range * a, ranges), inside(best.share * b, shares)) for a in (1 / step, 1.0, step) for b in (1 / step, 1.0, step)})
-        best = max([best, *fits(df, nx, ny, finer, trend, taper, per_tile)], key=lambda f: (f.loglik, -f.range))
+        best = max([best, *objective(finer)], key=lambda f: (f.loglik, -f.range))
     return best
 
 
+def best_fit(df: DataFrame, nx: int, ny: int, grid: Grid = GRID, trend: str = "linear", taper: float | None = None, per_tile: int = 400, zooms: int = 1) -> Fit:
+    """The parameters of greatest likelihood of tiles taken as independent."""
+    return maximise(lambda g: fits(df, nx, ny, g, trend, taper, per_tile), grid, zooms)
+
+
 def predict_tiles(df: DataFrame, nx: int, ny: int, per_tile: int, halo: float, kernel: Callable[[np.ndarray, np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """mean and sd of each tile's missing cells by kernel(places and values of the observed cells, places, tile)."""
 

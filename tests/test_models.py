@@ -156,6 +156,24 @@ def test_gram_sums_and_smoothing_are_dense_ones(spark, small):
     assert np.allclose(m, bt @ mean) and np.allclose(s, np.sqrt(noise * (1 + np.einsum("ij,ji->i", bt, np.linalg.solve(a, bt.T)))))
 
 
+def test_lattice_covariance_is_that_of_the_coefficients(spark, small):
+    make, precision = basis.lattice_basis(12, 10, 3, 2)
+    places = [(5.0, 5.0), (11.0, 1.0)]
+    found = {(r.cell_id, r.place): r.cov for r in basis.lattice_covariance(small, 12, 10, places, 3, 2).collect()}
+    inverse = np.linalg.inv(precision[3:, 3:])
+    for r in small.limit(20).collect():
+        want = make(np.array([(r.ix, r.iy)], float))[:, 3:] @ inverse @ make(np.array(places))[:, 3:].T
+        assert np.allclose([found[r.cell_id, k] for k in (0, 1)], want[0])
+    assert len(found) == 240
+
+
+def test_bounded_search_zooms_in_on_the_top():
+    bump = lambda grid: [Fit(np.zeros(0), 1.0, r, s, -((math.log(r / 5.3)) ** 2) - (math.log(s / 0.07)) ** 2) for r, s in grid]
+    coarse, fine = (fields.maximise(bump, fields.GRID, z) for z in (0, 4))
+    assert fine.loglik > coarse.loglik and abs(fine.range - 5.3) < 0.6 and abs(fine.share - 0.07) < 0.01
+    assert fields.maximise(lambda g: [Fit(np.zeros(0), 1.0, r, s, r) for r, s in g], fields.GRID, 3).range == 32.0
+
+
 def test_cross_validation_prefers_what_fits(spark, small):
     rows = basis.lattice_krig_cv(small, 12, 10, coarse=(3,), folds=4).collect()
     xy, y, _, _ = parts(small)
