@@ -273,6 +273,42 @@ def test_mix_reaches_targets_and_repeats(spark):
     assert all(abs(want[s] - target[s]) < 1e-6 * want[s] for s in target)
 
 
+def test_hypergeometric_draws_invert_the_exact_law(spark):
+    from gridloom.llm.mixing import hypergeometric
+
+    cases = [(10, 4, 5), (50, 1, 25), (200, 80, 100), (7, 7, 3), (9, 0, 4), (1000, 30, 500), (3, 2, 3)]
+    rows = [(t, k, n, (i + 0.5) / 40) for t, k, n in cases for i in range(40)]
+    got = spark.createDataFrame(rows, "t long, k long, n long, u double").select("t", "k", "n", "u", F.expr(hypergeometric("t", "k", "n", "u")).alias("x")).collect()
+    for r in got:
+        total, want = math.comb(r.t, r.n), None
+        cdf = 0.0
+        for x in range(max(0, r.n + r.k - r.t), min(r.n, r.k) + 1):
+            cdf += math.comb(r.k, x) * math.comb(r.t - r.k, r.n - x) / total
+            if cdf >= r.u - 1e-12:
+                want = x
+                break
+        assert r.x == want
+
+
+def test_tree_splits_quotas_exactly(spark):
+    from gridloom.llm.mixing import split_tree
+
+    quotas = {"a": 40, "b": 3, None: 17}
+    rows = split_tree(spark.createDataFrame(list(quotas.items()), "source string, blocks long"), 3, MixParams(deal_every=2)).collect()
+    assert Counter({s: sum(r.quota for r in rows if r.source == s) for s in quotas}) == Counter(quotas)
+    sizes = Counter()
+    for r in rows:
+        sizes[r.shard] += r.quota
+    assert set(sizes) == set(range(8)) and max(sizes.values()) - min(sizes.values()) <= 1
+
+
+def test_mixed_rows_tell_rows_of_one_id_apart(spark):
+    rows = [(1, "a b c", "s"), (1, "d e f", "s"), (2, "g h", "s"), (2, "g h", "s"), (None, "i", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = Counter((r.doc_id, r.text) for r in mixed_rows(docs).collect())
+    assert found == Counter({(1, "a b c"): 1, (1, "d e f"): 1, (2, "g h"): 2, (None, "i"): 1})
+
+
 def test_sketches(spark):
     """Fingerprints and likeness against exact sets of shingles."""
     docs = store.table(spark, SF, "documents")
