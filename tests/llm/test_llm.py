@@ -122,6 +122,26 @@ def test_jaccard_against_brute_force(spark):
         assert got == want
 
 
+def test_components_with_hubs(spark):
+    from gridloom.llm.components import components
+
+    rng = np.random.default_rng(2)
+    edges = [(5, i) for i in range(100, 400)] + [(10_000 - i, 10_000 - i - 1) for i in range(60)] + [tuple(map(int, rng.integers(20_000, 20_400, 2))) for _ in range(300)]
+    edges += [(399, 900), (900, 3), (9_999, 40_000)]
+    parent = {x: x for e in edges for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), store.Scratch(spark, "test")).collect()}
+    assert found == {x: root(x) for x in parent if root(x) != x}
+
+
 def test_rules_count_exactly(spark, odd):
     got = {(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in quality_rules.statistics(odd, ["doc_id"]).collect()}
     want = set()
