@@ -12,6 +12,8 @@ from . import url_filters as urls
 from . import warc
 from .jaccard_join import ORACLE as JACCARD_SQL
 from .jaccard_join import jaccard_components
+from .lexical import ORACLE as LEXICAL_SQL
+from .lexical import search
 from .licenses import scan
 from .mixing import mix
 from .pieces import encode_texts, load
@@ -83,6 +85,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_id, rank, doc_id, score of the 20 best documents for each benchmark item."""
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 of every document."""
     found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
@@ -105,7 +112,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_toxicity": op10_toxicity,
+    "op11_ranked_search": op11_ranked_search,
     "op12_line_dedup": op12_line_dedup,
     "op13_filter_audit": op13_filter_audit,
 }
-ORACLE_SQL: dict[str, str] = {"op3_jaccard_join": JACCARD_SQL, "op5_url_filters": urls.oracle(URL_RULES), "op6_warc": warc.ORACLE, "op12_line_dedup": line_dedup.ORACLE, "op13_filter_audit": filter_audit.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_jaccard_join": JACCARD_SQL, "op5_url_filters": urls.oracle(URL_RULES), "op6_warc": warc.ORACLE, "op11_ranked_search": LEXICAL_SQL, "op12_line_dedup": line_dedup.ORACLE, "op13_filter_audit": filter_audit.ORACLE}
