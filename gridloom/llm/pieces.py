@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import sys
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -262,12 +263,16 @@ def relax_scores(lattice: Lattice) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Encoder:
-    """Encodes texts batch by batch; what a stretch becomes is kept for the next batch, up to `keep` stretches."""
+    """Encodes texts batch by batch. What a short stretch becomes is kept for later batches, up to about `keep_bytes` of memory;
+    longer stretches hardly come again and are encoded each time."""
 
-    def __init__(self, v: Vocabulary, keep: int = 500_000, most_chars: int = 1 << 20):
-        self.v, self.keep, self.most_chars, self.known = v, keep, most_chars, {}
+    def __init__(self, v: Vocabulary, keep_bytes: int = 128 << 20, most_kept_chars: int = 64, most_chars: int = 1 << 20):
+        self.v, self.keep_bytes, self.most_kept_chars, self.most_chars = v, keep_bytes, most_kept_chars, most_chars
+        self.known: dict[str, bytes] = {}
+        self.held_bytes = 0
 
-    def learn(self, stretches: list[str]) -> None:
+    def learn(self, stretches: list[str]) -> dict[str, bytes]:
+        """The ids (int32, as bytes) of each stretch."""
         lattice = Lattice(stretches, self.v)
         start, end = relax_merges(lattice) if self.v.kind == "bpe" else relax_scores(lattice)
         found = lattice.find(start, end)
@@ -281,17 +286,27 @@ class Encoder:
         for at, i in zip((total - times)[one].tolist(), place.tolist()):
             flat[at : at + len(spelled[i])] = spelled[i]
         bounds = np.concatenate(([0], total))[np.searchsorted(start, lattice.ends)] * 4
-        raw, before = flat.tobytes(), 0
+        raw, before, out = flat.tobytes(), 0, {}
         for s, to in zip(stretches, bounds.tolist()):
-            self.known[s] = raw[before:to]
+            out[s] = raw[before:to]
             before = to
+        return out
+
+    def keep(self, made: dict[str, bytes]) -> None:
+        """Remember the short ones of `made`; a full memory is emptied first."""
+        for s, ids in made.items():
+            if len(s) <= self.most_kept_chars:
+                size = sys.getsizeof(s) + sys.getsizeof(ids) + 100  # of the two objects and a place in the table
+                if self.held_bytes + size > self.keep_bytes:
+                    self.known, self.held_bytes = {}, 0
+                self.known[s] = ids
+                self.held_bytes += size
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
         cut = [None if t is None else self.v.split(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = list({s for c in cut if c for s in c if s not in self.known})
-        if len(self.known) + len(new) > self.keep:
-            self.known = {}
-            new = list({s for c in cut if c for s in c})
+        known = self.known  # `keep` may put a new one in its place
+        new = list({s for c in cut if c for s in c if s not in known})
+        fresh: dict[str, bytes] = {}
         at = 0
         while at < len(new):
             run, held = [], 0
@@ -299,9 +314,11 @@ class Encoder:
                 held += len(new[at]) + 1
                 run.append(new[at])
                 at += 1
-            self.learn(run)
-        get = self.known.__getitem__
-        return [None if c is None else np.frombuffer(b"".join(map(get, c)), np.int32) for c in cut]
+            fresh |= self.learn(run)
+        get = lambda s: known.get(s) or fresh[s]  # noqa: E731  a stretch has an id at least
+        out = [None if c is None else np.frombuffer(b"".join(map(get, c)), np.int32) for c in cut]
+        self.keep(fresh)
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}

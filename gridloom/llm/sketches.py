@@ -3,7 +3,8 @@
 A sketch keeps every shingle hash below a fixed fraction of the hash range, the same for texts of all sizes, so its size
 follows the document's: the union of two sketches is the sketch of the two texts together (`merge`), and containment is
 estimated in both directions between texts of very different sizes. Sketches of two fractions are compared at the lesser.
-Fingerprint: "fraction bits:text digest:hashes in hex", sorted.
+A hash is its first 34 bits: of the hashes below a quarter of the range, or less, 32 bits say all. Fingerprint: "fraction
+bits:text digest:hashes", the hashes sorted, of 32 bits each, in base64; `parse` reads it back.
 
 Rows: a null text is an empty one; its sketch is empty. Two texts without a retained hash are alike (1.0) if equal, else
 not (0.0). Ids are integers (other types are refused) and taken to be nearly unique: rows of one id stay in one range.
@@ -12,6 +13,7 @@ Equal ids are ordered by text; null ids come first. Extra columns are ignored; a
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,14 +28,20 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .arrow import by_bytes
 from .words import shingle_sets
 
+HASH_BITS = 34
+
 
 @dataclass(frozen=True)
 class SketchParams:
     shingle_words: int = 5
-    fraction_bits: int = 1  # hashes below 2**(64 - bits) stay
+    fraction_bits: int = 2  # hashes below 2**(34 - bits) stay; 2 at least
     bytes_per_range: int = 4 << 20
     most_ranges: int = 1 << 16  # of more than that many, each grows; a range is read as a stream
 
+    def __post_init__(self):
+        if self.fraction_bits < HASH_BITS - 32:
+            raise ValueError("a fraction above a quarter needs hashes of more than 32 bits")
+
 
 @dataclass(frozen=True)
 class Sketch:
@@ -43,18 +51,24 @@ class Sketch:
 
     def to(self, bits: int) -> Sketch:
         """The same at a fraction that is not larger."""
-        return self if bits <= self.bits else Sketch(bits, self.digest, self.hashes[: np.searchsorted(self.hashes, np.uint64(2**64 >> bits))])
+        return self if bits <= self.bits else Sketch(bits, self.digest, self.hashes[: np.searchsorted(self.hashes, 2 ** (HASH_BITS - bits))])
 
     def text(self) -> str:
-        raw = self.hashes.astype(">u8").tobytes().hex()
-        return f"{self.bits}:{self.digest[:16]}:{raw}"
+        return f"{self.bits}:{self.digest[:16]}:{base64.b64encode(self.hashes.astype('>u4').tobytes()).decode()}"
+
+
+def parse(fingerprint: str) -> Sketch:
+    """The sketch of a fingerprint, with the part of the digest that it has."""
+    bits, digest, raw = fingerprint.split(":")
+    return Sketch(int(bits), digest, np.frombuffer(base64.b64decode(raw), ">u4").astype(np.int64))
 
 
 def sketch_all(texts: list[str | None], p: SketchParams) -> list[Sketch]:
     out = []
     for text, s in zip(texts, shingle_sets(texts, p.shingle_words, lower=True), strict=True):
         digest = hashlib.sha256((text or "").encode("utf-8", "surrogatepass")).hexdigest()
-        out.append(Sketch(0, digest, s).to(p.fraction_bits))
+        short = np.unique((s >> np.uint64(64 - HASH_BITS)).astype(np.int64))
+        out.append(Sketch(0, digest, short).to(p.fraction_bits))
     return out
 
 

@@ -45,6 +45,11 @@ class WarcParams:
     task_bytes: int = 64 << 20
 
 
+def files_at(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system and the path in it; the names that Hadoop has for an object store's schemes are those of its own client."""
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
+
+
 def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -93,11 +98,11 @@ def write(pages: DataFrame, scratch: Scratch, p: WarcParams = WarcParams()) -> D
     joined = rows.join(answers, "sha", "left").withColumn("refers_to", F.when(F.col("page_id") < F.col("answer"), F.col("answer")))
     joined = joined.withColumn("refers_to", F.when(F.col("page_id").isNull() & F.col("answer").isNotNull(), F.col("answer")).otherwise(F.col("refers_to")))
     uri = scratch.path("archives")
-    fs, root = pafs.FileSystem.from_uri(uri)
+    fs, root = files_at(uri)
     fs.create_dir(root, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, folder = pafs.FileSystem.from_uri(uri)
+        files, folder = files_at(uri)
         name = f"part-{uuid.uuid4().hex}.warc.gz"
         out, at = None, 0
         for batch in by_bytes(batches, "html"):
@@ -148,7 +153,7 @@ def read(index: DataFrame, scratch: Scratch, where: Column | None = None, p: War
     stretches = dealt.groupBy("archive", "stretch").agg(F.collect_list(F.struct("offset", "length")).alias("places"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, folder = pafs.FileSystem.from_uri(uri)
+        files, folder = files_at(uri)
         names = [x.strip().split(" ")[0] for x in RECORD.split(",")]
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
         for batch in batches:

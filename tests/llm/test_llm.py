@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -340,21 +341,26 @@ def test_sketches(spark):
     def kept(t):
         return next(iter(shingle_sets([t], 5, True)))
 
+    def retained(t):
+        return sorted({h >> 30 for h in kept(t).tolist() if h < 2**64 >> bits})
+
     def share(a, b):
-        x, y = ({h for h in kept(t).tolist() if h < 2**64 >> bits} for t in (a, b))
+        x, y = (set(retained(t)) for t in (a, b))
         return 1.0 if a == b else len(x & y) / min(len(x), len(y)) if x and y else 0.0
 
-    miss = []
+    miss, size = [], 0
     for r in sketches.sketch_with_next(docs, sketches.SketchParams(bytes_per_range=5_000)).collect():
         own, following = text[r.doc_id], text[follow[r.doc_id]]
         changed = sketches.edited(own, following)
         assert r.edited_sha256 == hashlib.sha256(changed.encode()).hexdigest() and r.n_chars == len(own)
         assert r.near_edited == share(own, changed) and r.near_next == share(own, following)
-        assert [int(r.fingerprint.split(":")[2][i : i + 16], 16) for i in range(0, 16 * r.n_hashes, 16)] == [h for h in kept(own).tolist() if h < 2**64 >> bits]
+        assert sketches.parse(r.fingerprint).hashes.tolist() == retained(own) and r.n_hashes == len(retained(own))
+        size += len(r.fingerprint) + len(r.edited_fingerprint)
         x, y = kept(own), kept(changed)
         if min(len(x), len(y)) > 20:
             miss.append(r.near_edited - len(np.intersect1d(x, y)) / min(len(x), len(y)))
     assert abs(np.mean(miss)) < 0.02 and np.std(miss) < 0.08
+    assert size < sum(len(t.encode()) for t in text.values()) / 2  # both fingerprints
 
 
 def test_sketches_merge_and_contain():
@@ -374,6 +380,29 @@ def test_range_of_bounds(spark):
     assert all(r.r == np.searchsorted(ends, r.id, side="right") for r in got)
 
 
+def test_pieces_memory_is_bounded_by_bytes():
+    """Texts without spaces, like minified or Chinese ones, leave nothing behind; short stretches leave at most the bound."""
+    rng = np.random.default_rng(8)
+    v = pieces.load()
+    e = pieces.Encoder(v, keep_bytes=200_000)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x4E00 + 3000, 2000))) for _ in range(20)]
+    assert [pieces.decode(ids, v) for ids in e.encode(texts)] == texts
+    assert not e.known
+    for _ in range(8):
+        texts = [" ".join(map(str, rng.integers(0, 10**9, 500))) for _ in range(4)]
+        assert [pieces.decode(ids, v) for ids in e.encode(texts)] == texts
+        assert e.known and sum(map(sys.getsizeof, [*e.known, *e.known.values()])) < e.keep_bytes
+
+
+def test_archives_on_object_stores(monkeypatch):
+    """The schemes that Hadoop's clients use reach the store's own file system."""
+    seen = []
+    monkeypatch.setattr(warc.pafs, "FileSystem", type("Stub", (), {"from_uri": staticmethod(lambda uri: (seen.append(uri), ("fs", uri))[1])}))
+    for uri in ("s3a://bucket/a/s3a://b", "s3n://bucket/x", "s3://bucket/x", "gs://bucket/x", "file:///tmp/x"):
+        warc.files_at(uri)
+    assert seen == ["s3://bucket/a/s3a://b", "s3://bucket/x", "s3://bucket/x", "gs://bucket/x", "file:///tmp/x"]
+
+
 def test_pieces_match_the_library(spark):
     import sentencepiece
 
