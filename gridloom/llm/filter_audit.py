@@ -38,19 +38,22 @@ _UPPER = LOWER != np.arange(256)
 _CONTINUES = (np.arange(256) & 0xC0) == 0x80
 
 
+def _distinct(hashes: np.ndarray) -> int:
+    ordered = np.sort(hashes)
+    return min(1, len(ordered)) + int(np.count_nonzero(ordered[1:] != ordered[:-1]))
+
+
 def text_masks(texts: list[str | None]) -> dict[str, pa.Array]:
     """Bits 0 to 3 (A to D) of each text, and a hash of the text."""
     masks: list[np.ndarray] = []
     hashes: list[bytes] = []
     for _, run in chunks(texts):
         words = Words(run)
-        of = np.repeat(np.arange(len(run)), np.diff(words.bounds))
         n = np.diff(words.bounds)
-        pairs = np.unique(np.stack([of.astype(np.uint64), words.hashes()]), axis=1) if len(of) else np.zeros((2, 0), np.uint64)
-        distinct = np.bincount(pairs[0].astype(np.int64), minlength=len(run))
-        ends = np.stack([words.text_start, words.text_end - 1])  # without the line feed between texts
-        within = lambda flag: np.diff(np.concatenate(([0], np.cumsum(flag[words.buf])))[ends], axis=0)[0]
-        points = ends[1] - ends[0] - within(_CONTINUES)
+        found = words.hashes()
+        distinct = np.array([_distinct(found[a:b]) for a, b in zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist())])
+        within = lambda flag: np.add.reduceat(flag[words.buf], words.text_start, dtype=np.int64)  # noqa: E731  the line feed after a text is no such byte
+        points = words.text_end - 1 - words.text_start - within(_CONTINUES)
         masks.append((n < 50) | (100 * distinct < 65 * n) << 1 | (100 * within(_UPPER) > 5 * points) << 2 | (within(_SYMBOLS) > 0) << 3)
         hashes += [hashlib.sha256(data).digest()[:16] for data in run]
     return {"mask": pa.array(np.concatenate(masks) if masks else [], pa.int32()), "same": pa.array(hashes, pa.binary())}
