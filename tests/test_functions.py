@@ -61,15 +61,6 @@ def test_config_first_occurrence_wins():
     assert c.integer("a") == 1 and c.flag("flag") and c.span("span") == [2, 3, 4] and c.numbers("v") == [1, 2.5]
 
 
-def test_gradient_solves():
-    rng = np.random.default_rng(2)
-    xy = rng.uniform(0, 10, (40, 2))
-    y = np.sin(xy[:, 0])
-    a = np.exp(-K.distances(xy, xy))
-    r, c = np.nonzero(a)
-    assert np.allclose(a @ K.conditional_gradient(r, c, a[r, c], y[:, None])[:, 0], y, atol=1e-4)
-
-
 def test_places_are_exact_and_repeat(spark):
     df = spark.range(5003).select((F.col("id") * 7 - 900).alias("cell_id"))
     assert sorted(r.place for r in L.random_places(df, 1).collect()) == list(range(5003))
