@@ -244,19 +244,3 @@ def gap_fill(df: DataFrame, nx: int, ny: int, y0: int = 1) -> DataFrame:
         before, left = left, work.where("val is null").count()
     filled = work.where("low is not null and val is not null")
     return filled.select("cell_id", F.col("val").alias("mean"), ((F.col("high") - F.col("low")) / (2 * 1.6448536269514722) + 1e-3).alias("sd"), "low", "high")
-
-
-def simulate(spark, nx: int, ny: int, draws: int, variance: float, range_: float, nugget: float, mean: float) -> DataFrame:
-    """draw, ix, iy, v: stationary exponential fields by circulant embedding, one draw a task, seeded by its number.
-
-    For lattices that fit a task; a larger field is drawn by its tiles with conditional_simulation.
-    """
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        k = int(f["id"].iloc[0])
-        field = K.embed(nx, ny, variance, range_, [k], 1)[0]
-        noise = np.random.Generator(np.random.PCG64([k, 1])).standard_normal(field.shape) * math.sqrt(nugget)
-        ix, iy = np.indices(field.shape)
-        return pd.DataFrame({"draw": k, "ix": ix.ravel(), "iy": iy.ravel(), "v": (mean + field + noise).ravel()})
-
-    return spark.range(draws).groupBy("id").applyInPandas(run, "draw long, ix int, iy int, v double")

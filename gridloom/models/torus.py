@@ -118,3 +118,13 @@ def draw_fields(spark: SparkSession, nx: int, ny: int, draws: int, covariance: C
     turns = spectrum.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit((pairs - 1) // PAIRS))))
     mixed = turns.groupBy("c", "turn").applyInPandas(noise, "r int, c int, k int, v binary")
     return mixed.groupBy("r").applyInPandas(back, "ix int, iy int, v array<double>")
+
+
+def simulate(df: DataFrame, draws: int, variance: float, range_: float, nugget: float, mean: float, seed: int = 1) -> DataFrame:
+    """cell_id, draw and v: stationary exponential fields at the cells of df, drawn on the rectangle that holds them."""
+    x0, x1, y0, y1 = df.agg(F.min("ix"), F.max("ix"), F.min("iy"), F.max("iy")).first()
+    if x0 is None:
+        return df.select("cell_id", F.lit(0).alias("draw"), F.lit(mean).alias("v"))
+    free = draw_fields(df.sparkSession, x1 - x0 + 1, y1 - y0 + 1, draws, lambda d: variance * np.exp(-d / range_), seed, None, nugget)
+    placed = free.select((F.col("ix") + x0).alias("ix"), (F.col("iy") + y0).alias("iy"), F.posexplode("v").alias("draw", "v"))
+    return df.select("cell_id", "ix", "iy").join(placed, ["ix", "iy"]).select("cell_id", "draw", (F.col("v") + mean).alias("v"))

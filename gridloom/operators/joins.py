@@ -162,8 +162,8 @@ def children(tile: Column) -> Column:
     return F.array(tile * 2, tile * 2 + 1)
 
 
-def knots(n: int, low: float, high: float, offset: float) -> list[float]:
-    """n places between the borders, the outer ones a fraction `offset` of the width inside."""
+def knots(n: int, low: float | Column, high: float | Column, offset: float) -> list:
+    """n places between the borders (numbers or columns), the outer ones a fraction `offset` of the width inside."""
     width = high - low
     a, b = low + offset * width, high - offset * width
     return [a + i * (b - a) / (n - 1) for i in range(n)]

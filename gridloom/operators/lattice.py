@@ -5,7 +5,7 @@ Every table carries its integer keys, so nothing depends on row order, and shift
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The cell itself and twelve shifted copies: four rook and four diagonal neighbours, and the rooks at distance two.
@@ -20,15 +20,16 @@ def rescale(v: Column, factor: float = 0.02, shift: float = -273.15) -> Column:
     return v * factor + shift
 
 
-def axis(i: Column, n: int, low: float, high: float, descending: bool = False) -> Column:
+def axis(i: Column, n: int | Column, low: float, high: float, descending: bool = False) -> Column:
     """The i-th of n equally spaced values from low to high."""
     step = (high - low) / (n - 1)
     return high - i * step if descending else low + i * step
 
 
-def grid(spark: SparkSession, nx: int, ny: int) -> DataFrame:
-    """All cells of an nx by ny lattice, ix fastest; made from one range, without a join."""
-    return spark.range(nx * ny).select(F.col("id").alias("cell_id"), (F.col("id") % nx).cast("int").alias("ix"), F.expr(f"id div {nx}").cast("int").alias("iy"))
+def cross_axes(df: DataFrame, x: str = "ix", y: str = "iy") -> DataFrame:
+    """Every pair of the values that the two axes have; an axis is one array, so no join is needed."""
+    axes = df.agg(F.collect_set(x).alias("xs"), F.collect_set(y).alias("ys"))
+    return axes.select(F.explode("xs").alias(x), "ys").repartition(x).select(x, F.explode("ys").alias(y))
 
 
 def window_subset(df: DataFrame, x: tuple[int, int], y: tuple[int, int]) -> DataFrame:

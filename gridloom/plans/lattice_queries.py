@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridloom.operators import aggregates, lattice as L
+from gridloom.session import cut
 from gridloom.sources import sinks
 from gridloom.sources.tables import read_table
 
@@ -53,15 +54,27 @@ def unit_rescale(spark, sf):
     return lattice(spark, sf).select("cell_id", r(L.rescale(F.col("truth")), 9).alias("v"))
 
 
-@query("axis_generate", "SELECT i::INT AS i, round(-95.0::DOUBLE + i * ((4.0::DOUBLE) / 1199), 6) AS lon, round(37.0::DOUBLE - i * ((3.0::DOUBLE) / 1199), 6) AS lat FROM range(1200) t(i)")
+@query(
+    "axis_generate",
+    f"WITH {G}, e AS (SELECT min(ix) AS x0, max(ix) AS x1, min(iy) AS y0, max(iy) AS y1 FROM g) "
+    "SELECT 'lon' AS axis, i, round(-95.0::DOUBLE + (i - x0) * (4.0::DOUBLE / (x1 - x0)), 6) AS v FROM (SELECT DISTINCT ix AS i FROM g), e UNION ALL "
+    "SELECT 'lat', i, round(37.0::DOUBLE - (i - y0) * (3.0::DOUBLE / (y1 - y0)), 6) FROM (SELECT DISTINCT iy AS i FROM g), e",
+)
 def axis_generate(spark, sf):
-    i = F.col("id")
-    return spark.range(1200).select(i.cast("int").alias("i"), r(L.axis(i, 1200, -95.0, -91.0)).alias("lon"), r(L.axis(i, 1200, 34.0, 37.0, descending=True)).alias("lat"))
+    """Both axes of the lattice in degrees, the second from high to low."""
+    g = cut(lattice(spark, sf))
 
+    def one(name, c, low, high, descending):
+        ends = g.agg(F.min(c).alias("first"), F.max(c).alias("last"))  # a row
+        at = g.select(F.col(c).alias("i")).distinct().join(F.broadcast(ends))
+        return at.select(F.lit(name).alias("axis"), "i", r(L.axis(F.col("i") - F.col("first"), F.col("last") - F.col("first") + 1, low, high, descending)).alias("v"))
 
-@query("grid_cross", "SELECT y * 90 + x AS cell_id, x::INT AS ix, y::INT AS iy FROM range(90) a(x), range(50) b(y)")
+    return one("lon", "ix", -95.0, -91.0, False).unionByName(one("lat", "iy", 34.0, 37.0, True))
+
+
+@query("grid_cross", f"WITH {G} SELECT (y - {Y0}) * {NX} + x AS cell_id, x AS ix, y AS iy FROM (SELECT DISTINCT ix AS x FROM g), (SELECT DISTINCT iy AS y FROM g)")
 def grid_cross(spark, sf):
-    return L.grid(spark, NX, NY)
+    return L.cross_axes(lattice(spark, sf)).select(((F.col("iy") - Y0) * NX + F.col("ix")).alias("cell_id"), "ix", "iy")
 
 
 @query("window_subset", f"WITH {G} SELECT ix - 10 AS ix, iy - 5 AS iy, truth FROM g WHERE ix BETWEEN 10 AND 39 AND iy BETWEEN 5 AND 24")
@@ -222,10 +235,16 @@ def first_passing(spark, sf):
     return t.where("2 * total >= whole").groupBy("ix").agg(F.min("iy").alias("first_iy"))
 
 
-@query("param_grid", "SELECT round(0.1::DOUBLE * a, 6) AS omega, round(0.5::DOUBLE * b, 6) AS alpha FROM range(0, 20) x(a), range(1, 11) y(b)")
+@query(
+    "param_grid",
+    f"WITH {G}, e AS (SELECT greatest(max(ix) - min(ix), max(iy) - min(iy)) AS side FROM g) "
+    "SELECT round(side * (0.025::DOUBLE * a), 6) AS range, round(0.05::DOUBLE * b, 6) AS share FROM e, range(1, 21) x(a), range(0, 10) y(b)",
+)
 def param_grid(spark, sf):
-    one = spark.range(1).select(F.explode(F.sequence(F.lit(0), F.lit(19))).alias("a")).select("a", F.explode(F.sequence(F.lit(1), F.lit(10))).alias("b"))
-    return one.select(r(F.col("a") * 0.1).alias("omega"), r(F.col("b") * 0.5).alias("alpha"))
+    """Ranges up to half the longer side of the lattice, and shares of noise."""
+    one = lattice(spark, sf).agg(F.greatest(F.max("ix") - F.min("ix"), F.max("iy") - F.min("iy")).alias("side"))
+    grid = one.withColumn("a", F.explode(F.sequence(F.lit(1), F.lit(20)))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    return grid.select(r(F.col("side") * (F.lit(0.025) * F.col("a"))).alias("range"), r(F.lit(0.05) * F.col("b")).alias("share"))
 
 
 @query("sort_ranks", f"WITH {G} SELECT cell_id, row_number() OVER (PARTITION BY ix ORDER BY val ASC NULLS LAST, cell_id)::INT AS place FROM g")

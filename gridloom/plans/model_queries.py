@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.models import basis, clusters, fields, forest, multires, neighbours, taper
+from gridloom.models import basis, clusters, fields, forest, multires, neighbours, taper, torus
 from gridloom.session import cut
 
 from .base import NX, NY, signal
@@ -28,6 +28,6 @@ QUERIES["grid_mle"] = (_model(fields.grid_likelihood), None)
 QUERIES["nngp_cv"] = (_model(neighbours.cv_table), None)
 QUERIES["lattice_krig_cv"] = (_model(basis.lattice_krig_cv), None)
 QUERIES["lattice_cov"] = (_model(lambda df, nx, ny: basis.lattice_covariance(df, nx, ny, [(45.0, 25.0), (0.0, 1.0)])), None)
-QUERIES["circulant_sim"] = (lambda spark, sf: fields.simulate(spark, 60, 40, 4, **FIELD), None)
+QUERIES["circulant_sim"] = (lambda spark, sf: torus.simulate(signal(spark, sf), 4, **FIELD), None)
 QUERIES["divisive_clusters"] = (lambda spark, sf: forest.divisive(signal(spark, sf), 8), None)
 QUERIES["gradient_clusters"] = (lambda spark, sf: clusters.agglomerate(signal(spark, sf), 8), None)

@@ -11,8 +11,9 @@ from gridloom.functions import scores as S_
 from gridloom.operators import aggregates as A
 from gridloom.operators import joins
 from gridloom.session import cut
+from gridloom.sources.tables import read_table
 
-from .base import DIAMETER, METHODS, QUANTILE, RUN, SCORE_COLUMNS, P, baselines, means, points, predictions, signal, stacked
+from .base import DIAMETER, G, METHODS, NX, QUANTILE, RUN, SCORE_COLUMNS, Y0, P, baselines, means, points, predictions, signal, stacked
 
 QUERIES: dict = {}
 _Z = "((truth - mean) / nullif(sd, 0))"
@@ -190,39 +191,53 @@ def scores_by_bin(spark, sf):
     return t.select("bin", "method", r("rmse").alias("rmse"), r("crps").alias("crps"))
 
 
-# Posterior draws are arithmetic of their ids: 3 subsets of 40 draws for the 900 cells of the first 18 columns and 50 rows.
-_DRAWS = "d AS (SELECT c AS cell, k AS subset, i AS draw, ((c * 7919 + k * 104729 + i * 1299709) % 10007)::DOUBLE / 100 AS value FROM range(900) x(c), range(3) y(k), range(40) z(i))"
+# The values that a cell's mean is made of serve as its draws: a draw for each line item, in order of its keys, in three subsets.
+_DRAWS = f"""{G}, d AS (SELECT (iy - {Y0}) * {NX} + ix AS cell, subset, value, id, row_number() OVER (PARTITION BY ix, iy, subset ORDER BY id, value) - 1 AS draw
+  FROM (SELECT CAST(FLOOR(datediff('day', DATE '1995-01-01', l_shipdate::DATE) / 28) AS INT) AS ix, CAST(l_quantity AS INT) AS iy, l_linenumber % 3 AS subset,
+        l_extendedprice / 700 AS value, l_orderkey * 8 + l_linenumber AS id FROM lineitem))"""
 
 
-def _draws(spark):
-    d = spark.range(900 * 3 * 40).select(F.expr("id div 120").alias("cell"), F.expr("id div 40 % 3").alias("subset"), (F.col("id") % 40).alias("draw"))
-    return d.withColumn("value", ((F.col("cell") * 7919 + F.col("subset") * 104729 + F.col("draw") * 1299709) % 10007).cast("double") / 100)
+def _draws(spark, sf):
+    li = read_table(spark, sf, "lineitem")
+    ix = F.floor(F.datediff(F.col("l_shipdate").cast("date"), F.lit("1995-01-01").cast("date")) / 28).cast("int")
+    cell = (F.col("l_quantity").cast("int") - Y0) * NX + ix
+    d = li.select(cell.alias("cell"), (F.col("l_linenumber") % 3).alias("subset"), (F.col("l_extendedprice") / 700).alias("value"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"))
+    return d.withColumn("draw", F.row_number().over(Window.partitionBy("cell", "subset").orderBy("id", "value")) - 1)
 
 
 _QS = ", ".join(f"min(CASE WHEN cum >= {p!r}::DOUBLE - 1e-9 THEN value END) AS q{round(p * 1000)}" for p in (0.025, 0.5, 0.975))
 
 
-@query("weighted_quantile", f"WITH {_DRAWS}, w AS (SELECT cell, value, sum([0.5, 0.3, 0.2][subset + 1]::DOUBLE / 40) OVER (PARTITION BY cell ORDER BY value, subset * 40 + draw ROWS UNBOUNDED PRECEDING) AS cum FROM d) SELECT cell, {_QS} FROM w GROUP BY cell")
+@query(
+    "weighted_quantile",
+    f"""WITH {_DRAWS}, n AS (SELECT cell, subset, [0.5, 0.3, 0.2][subset + 1]::DOUBLE AS w, count(*) AS n FROM d GROUP BY ALL), t AS (SELECT cell, sum(w) AS total FROM n GROUP BY cell),
+    w AS (SELECT cell, value, sum(w / total / n) OVER (PARTITION BY cell ORDER BY value, id ROWS UNBOUNDED PRECEDING) AS cum FROM d JOIN n USING (cell, subset) JOIN t USING (cell)) SELECT cell, {_QS} FROM w GROUP BY cell""",
+)
 def weighted_quantile(spark, sf):
-    weight = F.element_at(F.array(F.lit(0.5), F.lit(0.3), F.lit(0.2)), (F.col("subset") + 1).cast("int")) / 40
-    pooled = _draws(spark).select("cell", "value", weight.alias("weight"), (F.col("subset") * 40 + F.col("draw")).alias("draw"))
+    """A subset's weight is shared by its draws; the weights of the subsets that a cell has sum to one."""
+    d = _draws(spark, sf).withColumn("w", F.element_at(F.array(F.lit(0.5), F.lit(0.3), F.lit(0.2)), (F.col("subset") + 1).cast("int")))
+    each = d.withColumn("n", F.count("*").over(Window.partitionBy("cell", "subset")))
+    total = F.sum(F.col("w") / F.col("n")).over(Window.partitionBy("cell"))
+    pooled = each.select("cell", "value", (F.col("w") / total / F.col("n")).alias("weight"), F.col("id").alias("draw"))
     return A.weighted_quantiles(pooled, "cell", [0.025, 0.5, 0.975])
 
 
 @query("row_quantiles", f"WITH {_DRAWS} SELECT cell, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high FROM d GROUP BY cell")
 def row_quantiles(spark, sf):
-    both = _draws(spark).groupBy("cell").agg(F.percentile("value", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    both = _draws(spark, sf).groupBy("cell").agg(F.percentile("value", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     return both.select("cell", r(F.col("q")[0]).alias("low"), r(F.col("q")[1]).alias("high"))
 
 
 @query("row_sd", f"WITH {_DRAWS} SELECT cell, round(stddev_samp(value), 6) AS sd, round(var_samp(value), 6) AS var FROM d GROUP BY cell")
 def row_sd(spark, sf):
-    return _draws(spark).groupBy("cell").agg(r(F.stddev_samp("value")).alias("sd"), r(F.var_samp("value")).alias("var"))
+    return _draws(spark, sf).groupBy("cell").agg(r(F.stddev_samp("value")).alias("sd"), r(F.var_samp("value")).alias("var"))
 
 
-@query("thin_draws", f"WITH {_DRAWS} SELECT subset, draw, count(*) AS cells FROM d WHERE draw > 9 AND (draw - 10) % 10 = 0 GROUP BY ALL")
+@query("thin_draws", f"WITH {_DRAWS} SELECT subset, draw, count(*) AS cells, round(avg(value), 6) AS mean FROM d WHERE draw > 0 AND (draw - 1) % 2 = 0 GROUP BY subset, draw")
 def thin_draws(spark, sf):
-    return _draws(spark).where("draw > 9 and (draw - 10) % 10 = 0").groupBy("subset", "draw").agg(F.count("*").alias("cells"))
+    """The first draw of each cell is dropped, then every second one stays."""
+    kept = _draws(spark, sf).where("draw > 0 and (draw - 1) % 2 = 0")
+    return kept.groupBy("subset", "draw").agg(F.count("*").alias("cells"), r(F.avg("value")).alias("mean"))
 
 
 @query("logit_transform", f"WITH {P} SELECT method, cell_id, round(ln((mean - 0) / (100 - mean)), 6) AS x, round(100.0::DOUBLE - 100.0::DOUBLE / (exp(ln(mean / (100 - mean))) + 1), 6) AS back FROM p")

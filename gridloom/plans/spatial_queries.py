@@ -240,22 +240,36 @@ def _tile_rows() -> str:
     return "tl AS (SELECT * FROM (VALUES " + ", ".join(rows) + ") t(id, level, tile, parent, xmin, xmax, ymin, ymax))"
 
 
-@query("tile_tree", f"WITH {_tile_rows()} SELECT id, level, tile, parent, xmin, xmax, ymin, ymax FROM tl")
+def _occupied(spark, sf):
+    """id, level, n, known: the tiles of all levels that hold a cell of the lattice, how many, and how many are observed."""
+    leaf = signal(spark, sf).groupBy(J.tile_of(NX, NY, LEVELS, 0, Y0).alias("leaf")).agg(F.count("*").alias("n"), F.count("val").alias("known"))
+    up = F.concat(J.ancestors(F.col("leaf"), F.lit(LEVELS)), F.array("leaf"))
+    return leaf.select("n", "known", F.posexplode(up).alias("level", "id")).groupBy("id", "level").agg(F.sum("n").alias("n"), F.sum("known").alias("known"))
+
+
+_OCCUPIED = f"{S}, {_tile_rows()}, oc AS (SELECT id, level, tile, parent, xmin, xmax, ymin, ymax, count(*) AS n, count(val) AS known FROM s JOIN tl ON ix >= xmin AND ix < xmax AND iy >= ymin AND iy < ymax GROUP BY ALL)"
+
+
+@query("tile_tree", f"WITH {_OCCUPIED} SELECT id, level, tile, parent, xmin, xmax, ymin, ymax, n, known FROM oc")
 def tile_tree(spark, sf):
-    """Each level from the one before, by halving the longer side."""
-    level = spark.createDataFrame([(1, 0, 0, None, 0.0, float(NX), float(Y0), float(Y0 + NY))], "id int, level int, tile int, parent int, xmin double, xmax double, ymin double, ymax double")
-    out = level
-    for _ in range(LEVELS):
-        wide = F.col("xmax") - F.col("xmin") >= F.col("ymax") - F.col("ymin")
-        mx, my = (F.col("xmin") + F.col("xmax")) / 2, (F.col("ymin") + F.col("ymax")) / 2
-        half = lambda k: F.struct(
-            (F.col("id") * 2 + k).alias("id"), (F.col("level") + 1).alias("level"), (F.col("tile") * 2 + k).alias("tile"), F.col("id").alias("parent"),
-            (F.when(wide, mx).otherwise(F.col("xmin")) if k else F.col("xmin")).alias("xmin"), (F.col("xmax") if k else F.when(wide, mx).otherwise(F.col("xmax"))).alias("xmax"),
-            (F.when(wide, F.col("ymin")).otherwise(my) if k else F.col("ymin")).alias("ymin"), (F.col("ymax") if k else F.when(wide, F.col("ymax")).otherwise(my)).alias("ymax"),
-        )
-        level = level.select(F.explode(F.array(half(0), half(1))).alias("t")).select("t.*")
-        out = out.unionByName(level)
-    return out
+    """The tiles that hold cells of the lattice; a tile's box follows from its id, by halving the longer side on the way down."""
+    xmin, xmax, ymin, ymax = F.lit(0.0), F.lit(float(NX)), F.lit(float(Y0)), F.lit(float(Y0 + NY))
+    w, h = float(NX), float(NY)
+    rows = _occupied(spark, sf)
+    for k in range(LEVELS):
+        turn = F.when(F.col("level") > k, F.call_function("shiftright", "id", F.col("level") - (k + 1)).bitwiseAND(1))  # null: this level is not reached
+        low, high = (xmin, xmax) if w >= h else (ymin, ymax)
+        mid = (low + high) / 2
+        low, high = F.when(turn == 1, mid).otherwise(low), F.when(turn == 0, mid).otherwise(high)
+        rows = rows.withColumns({f"a{k}": low, f"b{k}": high})
+        low, high = F.col(f"a{k}"), F.col(f"b{k}")
+        if w >= h:
+            xmin, xmax, w = low, high, w / 2
+        else:
+            ymin, ymax, h = low, high, h / 2
+    tile = (F.col("id") - F.call_function("shiftleft", F.lit(1), F.col("level"))).alias("tile")
+    parent = F.when(F.col("level") > 0, F.shiftright("id", 1)).alias("parent")
+    return rows.select("id", "level", tile, parent, xmin.alias("xmin"), xmax.alias("xmax"), ymin.alias("ymin"), ymax.alias("ymax"), "n", "known")
 
 
 @query("tile_containment", f"WITH {S}, {_tile_rows()} SELECT cell_id, id AS tile FROM s JOIN tl ON level = {LEVELS} AND ix >= xmin AND ix < xmax AND iy >= ymin AND iy < ymax")
@@ -263,17 +277,18 @@ def tile_containment(spark, sf):
     return signal(spark, sf).select("cell_id", J.tile_of(NX, NY, LEVELS, 0, Y0).alias("tile"))
 
 
-@query("ancestry", f"WITH {_tile_rows()} SELECT id, level, floor(id / pow(2, level - k))::INT AS ancestor, k::INT AS at FROM tl, range({LEVELS}) r(k) WHERE k < level")
+@query("ancestry", f"WITH {_OCCUPIED} SELECT id, level, floor(id / pow(2, level - k))::INT AS ancestor, k::INT AS at, n FROM oc, range({LEVELS}) r(k) WHERE k < level")
 def ancestry(spark, sf):
-    ids = spark.range(1, 2 ** (LEVELS + 1)).select(F.col("id").cast("int").alias("id"), F.floor(F.log2(F.col("id") + 0.5)).cast("int").alias("level"))
-    rows = ids.where("level > 0").select("id", "level", F.posexplode(J.ancestors(F.col("id"), F.col("level"))).alias("at", "ancestor"))
-    return rows.select("id", "level", "ancestor", "at")
+    rows = _occupied(spark, sf).where("level > 0").select("id", "level", "n", F.posexplode(J.ancestors(F.col("id"), F.col("level"))).alias("at", "ancestor"))
+    return rows.select("id", "level", "ancestor", "at", "n")
 
 
-@query("tile_children", f"WITH {_tile_rows()} SELECT id, level, unnest([2 * id, 2 * id + 1])::INT AS child FROM tl WHERE level < {LEVELS}")
+@query("tile_children", f"WITH {_OCCUPIED}, ch AS (SELECT id, level, unnest([2 * id, 2 * id + 1])::INT AS child FROM oc WHERE level < {LEVELS}) SELECT ch.id, ch.level, child, coalesce(oc.n, 0) AS n FROM ch LEFT JOIN oc ON oc.id = child")
 def tile_children(spark, sf):
-    ids = spark.range(1, 2**LEVELS).select(F.col("id").cast("int").alias("id"), F.floor(F.log2(F.col("id") + 0.5)).cast("int").alias("level"))
-    return ids.select("id", "level", F.explode(J.children(F.col("id"))).alias("child"))
+    """Both halves of each tile and the cells that they hold."""
+    held = cut(_occupied(spark, sf))
+    halves = held.where(F.col("level") < LEVELS).select("id", "level", F.explode(J.children(F.col("id"))).alias("child"))
+    return halves.join(held.select(F.col("id").alias("child"), "n"), "child", "left").select("id", "level", "child", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("tile_containment_closed", f"WITH {S}, {_tile_rows()} SELECT cell_id, id AS tile FROM s JOIN tl ON level = {LEVELS} AND ix >= xmin AND ix <= xmax AND iy >= ymin AND iy <= ymax")
@@ -290,14 +305,17 @@ def tile_sums(spark, sf):
     return leaf.groupBy(F.floor(F.col("id") / 2).cast("int").alias("parent")).agg(F.sum("n").alias("n"), F.round(F.sum("total"), 4).alias("total"))
 
 
-_K = J.knots(14, 0.0, 89.0, 0.01)
-_KY = J.knots(14, 1.0, 50.0, 0.01)
-
-
-@query("knots", "SELECT i * 14 + j AS id, round(0.89::DOUBLE + i * ((88.11::DOUBLE - 0.89::DOUBLE) / 13), 6) AS x, round(1.49::DOUBLE + j * ((49.51::DOUBLE - 1.49::DOUBLE) / 13), 6) AS y FROM range(14) a(i), range(14) b(j)")
+@query(
+    "knots",
+    f"""WITH {S}, e AS (SELECT min(ix)::DOUBLE AS x0, max(ix)::DOUBLE AS x1, min(iy)::DOUBLE AS y0, max(iy)::DOUBLE AS y1 FROM s WHERE val IS NOT NULL)
+    SELECT i * 14 + j AS id, round(x0 + (x1 - x0) * 0.01::DOUBLE + i * ((x1 - x0) * 0.98::DOUBLE / 13), 6) AS x, round(y0 + (y1 - y0) * 0.01::DOUBLE + j * ((y1 - y0) * 0.98::DOUBLE / 13), 6) AS y FROM e, range(14) a(i), range(14) b(j)""",
+)
 def knots(spark, sf):
-    rows = spark.range(196).select("id", F.element_at(F.array(*[F.lit(v) for v in _K]), F.expr("cast(id div 14 as int) + 1")).alias("x"), F.element_at(F.array(*[F.lit(v) for v in _KY]), F.expr("cast(id % 14 as int) + 1")).alias("y"))
-    return rows.select("id", r("x").alias("x"), r("y").alias("y"))
+    """14 by 14 places inside the observed cells' extent."""
+    ends = signal(spark, sf).where("val is not null").agg(*[f(c).cast("double").alias(f"{c}{k}") for c in ("ix", "iy") for k, f in enumerate((F.min, F.max))])
+    rows = ends.withColumn("id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(195).cast("long"))))
+    at = lambda c, k: F.element_at(F.array(*J.knots(14, F.col(f"{c}0"), F.col(f"{c}1"), 0.01)), (k + 1).cast("int"))
+    return rows.select("id", r(at("ix", F.expr("id div 14"))).alias("x"), r(at("iy", F.col("id") % 14)).alias("y"))
 
 
 VARIANCE, DECAY, NUGGET = 40.0, 0.1, 0.5
@@ -328,8 +346,15 @@ def logdet_m1(spark, sf):
     return _factors(spark, sf).agg(r(F.sum(F.log("f"))).alias("logdet"))
 
 
-@query("argmax_grid", "SELECT arg_max(a, -(a - 7) * (a - 7) - (b - 3) * (b - 3)) AS a, arg_max(b, -(a - 7) * (a - 7) - (b - 3) * (b - 3)) AS b, max(-(a - 7) * (a - 7) - (b - 3) * (b - 3)) AS ll FROM range(20) x(a), range(10) y(b)")
+@query(
+    "argmax_grid",
+    f"""WITH {S}, {_VARIO}, fit AS (SELECT a, b, -sum(pow(gamma - ((1 - exp(sqrt(lx * lx + ly * ly) * (-1 / (2.0::DOUBLE * (a + 1))))) * (20.0::DOUBLE + 5 * b) + 0.5::DOUBLE), 2)) AS ll
+      FROM vg, range(20) x(a), range(10) y(b) WHERE {_DIRECTION} IS NOT NULL GROUP BY a, b)
+    SELECT arg_max(a, ll) AS a, arg_max(b, ll) AS b, round(max(ll), 4) AS ll FROM fit""",
+)
 def argmax_grid(spark, sf):
-    g = spark.range(200).select((F.col("id") % 20).alias("a"), F.expr("id div 20").alias("b"))
-    ll = -(F.col("a") - 7) * (F.col("a") - 7) - (F.col("b") - 3) * (F.col("b") - 3)
-    return g.withColumn("ll", ll).agg(F.max_by(F.struct("a", "b"), "ll").alias("p"), F.max("ll").alias("ll")).select("p.a", "p.b", "ll")
+    """The range 2 (a + 1) and the sill 20 + 5 b whose exponential variogram is nearest to the lattice's, of a grid of 200."""
+    grid = _directions(spark, sf).withColumn("a", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long")))).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))))
+    miss = F.col("gamma") - ((1 - F.exp(F.col("h") * (-1 / (F.lit(2.0) * (F.col("a") + 1))))) * (F.lit(20.0) + 5 * F.col("b")) + 0.5)
+    ll = grid.groupBy("a", "b").agg((-F.sum(miss * miss)).alias("ll"))
+    return ll.agg(F.max_by(F.struct("a", "b"), "ll").alias("p"), F.max("ll").alias("ll")).select("p.a", "p.b", F.round("ll", 4).alias("ll"))
