@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gridloom.models import kernels as K
 from gridloom.models.fields import GRID, OUT, Fit, Grid, _xy, summed
+from gridloom.models.median import geometric_median
 from gridloom.operators import joins as J
 from gridloom.operators.lattice import random_places
 from gridloom.session import cut
@@ -238,7 +239,8 @@ def meta_kriging(df: DataFrame, nx: int, ny: int, per_subset: int = 600, draws:
     """Posteriors of random subsets combined by their geometric median; quantiles of the pooled, weighted draws give mean and sd.
 
     The number of subsets grows with the observed cells, and every cell is in one. A subset's posterior is a grid over range
-    and share, with beta and variance drawn from their conjugate forms; its draws (a few numbers each) reach the driver.
+    and share, with beta and variance drawn from their conjugate forms. Draws, embeddings and weights stay in Spark; what
+    reaches the driver is a row for each point of the grid.
     """
     df = cut(df.select("cell_id", "ix", "iy", "val"))
     seen = df.where("val is not null")
@@ -260,18 +262,12 @@ def meta_kriging(df: DataFrame, nx: int, ny: int, per_subset: int = 600, draws:
         return pd.DataFrame(rows, columns=["part", "theta"])
 
     part = F.pmod(F.xxhash64(F.lit(seed), "cell_id"), F.lit(subsets)).cast("int")
-    found = seen.withColumn("part", part).select("part", "ix", "iy", "val").groupBy("part").applyInPandas(own, "part int, theta array<double>").collect()
-    by = {k: np.array([r["theta"] for r in found if r["part"] == k]) for k in sorted({r["part"] for r in found})}
-    logged = [np.column_stack([d[:, :3], np.log(d[:, 3:])]) for d in by.values()]
-    weights = K.median_of_posteriors(logged)
-    # Draws of range and share lie on the grid: those of a subset that agree share one kriging, their variances are averaged.
-    tally: dict[tuple[float, float], list] = {}
-    for d, w in zip(by.values(), weights):
-        for row in d:
-            tally.setdefault((row[4], row[5]), []).append((w / len(d), row[:3], row[3]))
-    parts = []
-    for (range_, share), rows in tally.items():
-        mass = np.array([r[0] for r in rows])
-        beta = (mass[:, None] * np.array([r[1] for r in rows])).sum(axis=0) / mass.sum()
-        parts.append((Fit(beta, float((mass * np.array([r[2] for r in rows])).sum() / mass.sum()), range_, share), float(mass.sum())))
+    drawn = cut(seen.withColumn("part", part).select("part", "ix", "iy", "val").groupBy("part").applyInPandas(own, "part int, theta array<double>"))
+    logged = drawn.select("part", F.transform("theta", lambda x, i: F.when(i < 3, x).otherwise(F.log(x))).alias("theta"))
+    weighed = drawn.join(geometric_median(logged, 6), "part")
+    # Draws of range and share lie on the grid: those that agree share one kriging, their coefficients and variances are averaged.
+    mean = lambda i: (F.sum(F.col("w") * F.col("theta")[i]) / F.sum("w")).alias(f"t{i}")
+    rows = weighed.groupBy(F.col("theta")[4].alias("range"), F.col("theta")[5].alias("share")).agg(F.sum("w").alias("w"), *[mean(i) for i in range(4)]).collect()  # at most as many as the grid has
+    total = sum(r["w"] for r in rows)
+    parts = [(Fit(np.array([r["t0"], r["t1"], r["t2"]]), r["t3"], r["range"], r["share"]), r["w"] / total) for r in rows]
     return _local(with_neighbours(df, 15, float(nx + ny)), _mixture(parts))
