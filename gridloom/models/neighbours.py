@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.models import kernels as K
+from gridloom.models.designs import d_optimal, local_design
 from gridloom.models.fields import GRID, OUT, Fit, Grid, _xy, summed
 from gridloom.models.median import geometric_median
 from gridloom.operators import joins as J
@@ -198,11 +199,12 @@ def nearest_neighbour_response(df: DataFrame, nx: int, ny: int, m: int = 15, gri
     return _local(with_neighbours(df, m, float(nx + ny)), _mixture([(f, w / total) for f, w in kept]))
 
 
-def local_gp(df: DataFrame, nx: int, ny: int, m: int = 30, few: int = 100) -> DataFrame:
-    """A global process from `few` cells, then for each cell a process on the residuals of its neighbours, its range chosen
-    there. The global stage's variance enters without its nugget, the local one's whole."""
+def local_gp(df: DataFrame, nx: int, ny: int, m: int = 30, few: int = 100, around: int = 60) -> DataFrame:
+    """A global process from `few` cells of a D-optimal design, then for each cell a process on the residuals of m of its `around`
+    nearest: the eight nearest, and those that lower the variance there most. Its range is chosen there. The
+    global stage's variance enters without its nugget, the local one's whole."""
     df = cut(df.select("cell_id", "ix", "iy", "val"))
-    chosen = random_places(df.where("val is not null"), 5).where(F.col("place") < few).select("ix", "iy", "val").toPandas()  # `few` rows
+    chosen = d_optimal(df.where("val is not null"), few, (nx + ny) / 8).select("ix", "iy", "val").toPandas()  # `few` rows
     xy, y = _xy(chosen), chosen["val"].to_numpy(float)
     wide = [(r, s) for r in (8.0, 16.0, 32.0, 64.0) for s in (0.01, 0.05, 0.2)]
     best = max((Fit(*K.profile(s, 3)[:2], r, sh, K.profile(s, 3)[2]) for (r, sh), s in zip(wide, K.gls_grid(xy, K.design(xy), y, wide))), key=lambda f: f.loglik)
@@ -212,7 +214,15 @@ def local_gp(df: DataFrame, nx: int, ny: int, m: int = 30, few: int = 100) -> Da
         mean, var = K.krige(xy, rest, at, best.variance, best.range, best.share)
         return K.design(at) @ best.beta + mean, np.maximum(0.0, var - best.variance * best.share)
 
+    reach = min(best.range, 16.0)
+
     def kernel(near, at):
+        parts = [designed(near[i : i + 500], at[i : i + 500]) for i in range(0, len(at), 500)]
+        return np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
+
+    def designed(near, at):
+        if near.shape[1] > m:
+            near = np.take_along_axis(near, local_design(near, at, m, 8, reach, 0.05)[:, :, None], axis=1)
         p = near[:, :, :2]
         d, to = _pair_distances(near, at)
         left = near[:, :, 2] - overall(p.reshape(-1, 2))[0].reshape(near.shape[:2])
@@ -232,7 +242,7 @@ def local_gp(df: DataFrame, nx: int, ny: int, m: int = 30, few: int = 100) -> Da
         whole = overall(at)[0]
         return whole + mean, np.sqrt(var)
 
-    return _local(with_neighbours(df, m, float(nx + ny)), kernel)
+    return _local(with_neighbours(df, around, float(nx + ny)), kernel)
 
 
 def meta_kriging(df: DataFrame, nx: int, ny: int, per_subset: int = 600, draws: int = 60, seed: int = 5) -> DataFrame:
