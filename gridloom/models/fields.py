@@ -34,6 +34,7 @@ class Fit:
     range: float
     share: float
     loglik: float = 0.0
+    family: K.Family | None = None  # None: exponential
 
 
 def splits(nx: int, ny: int, per_tile: int) -> tuple[int, int]:
@@ -84,20 +85,20 @@ def summed(stats: DataFrame, fan_in: int = 64) -> dict[int, np.ndarray]:
     return {r["g"]: np.array(r["v"]) for r in rows}
 
 
-def fits(df: DataFrame, nx: int, ny: int, grid: Grid = GRID, trend: str = "linear", taper: float | None = None, per_tile: int = 400) -> list[Fit]:
+def fits(df: DataFrame, nx: int, ny: int, grid: Grid = GRID, trend: str = "linear", taper: float | None = None, per_tile: int = 400, family: K.Family | None = None) -> list[Fit]:
     """The profile likelihood at each point of a grid, tiles taken as independent."""
     p = K.design(np.zeros((1, 2)), trend, nx, ny).shape[1]
 
     def stats(f: pd.DataFrame) -> pd.DataFrame:
         xy = _xy(f)
-        found = K.gls_grid(xy, K.design(xy, trend, nx, ny), f["val"].to_numpy(float), grid, taper)
+        found = K.gls_grid(xy, K.design(xy, trend, nx, ny), f["val"].to_numpy(float), grid, taper, family)
         return pd.DataFrame({"g": np.arange(len(grid)), "v": list(found)})
 
     each = tiled(df.where("val is not null"), nx, ny, per_tile).groupBy("block").applyInPandas(stats, "g int, v array<double>")
     out = []
     for g, v in summed(each).items():
         beta, variance, ll = K.profile(v, p)
-        out.append(Fit(beta, variance, *grid[g], ll))
+        out.append(Fit(beta, variance, *grid[g], ll, family))
     return out
 
 
@@ -118,9 +119,9 @@ def maximise(objective: Callable[[Grid], list[Fit]], grid: Grid, zooms: int = 1)
     return best
 
 
-def best_fit(df: DataFrame, nx: int, ny: int, grid: Grid = GRID, trend: str = "linear", taper: float | None = None, per_tile: int = 400, zooms: int = 1) -> Fit:
+def best_fit(df: DataFrame, nx: int, ny: int, grid: Grid = GRID, trend: str = "linear", taper: float | None = None, per_tile: int = 400, zooms: int = 1, family: K.Family | None = None) -> Fit:
     """The parameters of greatest likelihood of tiles taken as independent."""
-    return maximise(lambda g: fits(df, nx, ny, g, trend, taper, per_tile), grid, zooms)
+    return maximise(lambda g: fits(df, nx, ny, g, trend, taper, per_tile, family), grid, zooms)
 
 
 def predict_tiles(df: DataFrame, nx: int, ny: int, per_tile: int, halo: float, kernel: Callable[[np.ndarray, np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
@@ -138,16 +139,16 @@ def predict_tiles(df: DataFrame, nx: int, ny: int, per_tile: int, halo: float, k
 
 def _kriging(fit: Fit, nx: int, ny: int, trend: str, taper: float | None = None):
     def kernel(xy, y, to, block):
-        mean, var = K.krige(xy, y - K.design(xy, trend, nx, ny) @ fit.beta, to, fit.variance, fit.range, fit.share, taper)
+        mean, var = K.krige(xy, y - K.design(xy, trend, nx, ny) @ fit.beta, to, fit.variance, fit.range, fit.share, taper, fit.family)
         return K.design(to, trend, nx, ny) @ fit.beta + mean, np.sqrt(var)
 
     return kernel
 
 
-def partition_gp(df: DataFrame, nx: int, ny: int, per_tile: int = 400, trend: str = "bisquare") -> DataFrame:
+def partition_gp(df: DataFrame, nx: int, ny: int, per_tile: int = 400, trend: str = "bisquare", family: K.Family | None = None) -> DataFrame:
     """Independent tiles with shared parameters and a trend with 16 bisquare functions, parameters from a 10 by 20 grid."""
     grid = [(float(r), share) for r in np.geomspace(1.0, 40.0, 10) for share in np.geomspace(0.005, 0.8, 20).tolist()]
-    fit = best_fit(df, nx, ny, grid, trend, None, per_tile, zooms=0)
+    fit = best_fit(df, nx, ny, grid, trend, None, per_tile, zooms=0, family=family)
     return predict_tiles(df, nx, ny, per_tile, 0.0, _kriging(fit, nx, ny, trend))
 
 
@@ -157,23 +158,23 @@ def grid_likelihood(df: DataFrame, nx: int, ny: int, grid: Grid = GRID) -> DataF
     return df.sparkSession.createDataFrame(rows, "range double, share double, variance double, loglik double")
 
 
-def conditional_simulation(df: DataFrame, nx: int, ny: int, draws: int = 60, per_tile: int = 400, halo: float = 10.0, trend: str = "linear", seed: int = 1) -> DataFrame:
+def conditional_simulation(df: DataFrame, nx: int, ny: int, draws: int = 60, per_tile: int = 400, halo: float = 10.0, trend: str = "linear", seed: int = 1, family: K.Family | None = None) -> DataFrame:
     """Kriged mean; sd from conditional draws: prediction + (free draw - its own prediction).
 
     Free draws are made by circulant embedding on the rectangle of a tile and its halo, seeded by the tile's number.
     """
-    fit = best_fit(df, nx, ny, GRID, trend, None, per_tile)
+    fit = best_fit(df, nx, ny, GRID, trend, None, per_tile, family=family)
 
     def kernel(xy, y, to, block):
         every = np.vstack([xy, to]).astype(int)
         low = every.min(axis=0)
         side = every.max(axis=0) - low + 1
-        free = K.embed(int(side[0]), int(side[1]), fit.variance * (1 - fit.share), fit.range, [seed, block], draws)[:, every[:, 0] - low[0], every[:, 1] - low[1]].T
+        free = K.embed(int(side[0]), int(side[1]), fit.variance * (1 - fit.share), fit.range, [seed, block], draws, family)[:, every[:, 0] - low[0], every[:, 1] - low[1]].T
         noise = np.random.Generator(np.random.PCG64([seed, block, 1])).standard_normal((len(every), draws)) * math.sqrt(fit.variance * fit.share)
-        c = fit.variance * (1 - fit.share) * K.correlation(K.distances(xy, xy), fit.range) + fit.variance * (fit.share + 1e-9) * np.eye(len(xy))
+        c = fit.variance * (1 - fit.share) * K.correlation(K.distances(xy, xy), fit.range, None, family) + fit.variance * (fit.share + 1e-9) * np.eye(len(xy))
         rest = y - K.design(xy, trend, nx, ny) @ fit.beta
         solved = np.linalg.solve(c, np.column_stack([rest, free[: len(xy)] + noise[: len(xy)]]))
-        moved = fit.variance * (1 - fit.share) * K.correlation(K.distances(to, xy), fit.range) @ solved
+        moved = fit.variance * (1 - fit.share) * K.correlation(K.distances(to, xy), fit.range, None, family) @ solved
         errors = free[len(xy) :] + noise[len(xy) :] - moved[:, 1:]
         return K.design(to, trend, nx, ny) @ fit.beta + moved[:, 0], errors.std(axis=1, ddof=1)
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 
-from gridloom.functions.covariance import bisquare_np, wendland_np
+from gridloom.functions.covariance import Matern, bisquare_np, wendland_np
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -30,20 +31,29 @@ def design(xy: np.ndarray, trend: str = "linear", nx: float = 1.0, ny: float = 1
     return np.column_stack(columns)
 
 
-def correlation(d: np.ndarray, range_: float, taper: float | None = None) -> np.ndarray:
-    """Exponential correlation, tapered by a Wendland function of that reach."""
-    r = np.exp(-d / range_)
+#: A correlation by distance and range.
+Family = Callable[[np.ndarray, float], np.ndarray]
+
+
+def matern(smoothness: float) -> Family:
+    """The Matern family of smoothness 1/2, 3/2 or 5/2."""
+    return lambda d, range_: Matern(1.0, range_, smoothness).np(d)
+
+
+def correlation(d: np.ndarray, range_: float, taper: float | None = None, family: Family | None = None) -> np.ndarray:
+    """The family's correlation (by default exponential), tapered by a Wendland function of that reach."""
+    r = np.exp(-d / range_) if family is None else family(d, range_)
     return r if taper is None else r * wendland_np(d, taper)
 
 
-def gls_grid(xy: np.ndarray, x: np.ndarray, y: np.ndarray, grid: list[tuple[float, float]], taper: float | None = None) -> np.ndarray:
+def gls_grid(xy: np.ndarray, x: np.ndarray, y: np.ndarray, grid: list[tuple[float, float]], taper: float | None = None, family: Family | None = None) -> np.ndarray:
     """For each (range, share) the sufficient statistics of y = X b + e, e with correlation (1 - share) r(d) + share I.
 
     A row of xx (p * p), xy (p), yy, logdet, n. One eigendecomposition of r serves all shares of a range.
     """
     d, out = distances(xy, xy), {}
     for range_ in sorted({g[0] for g in grid}):
-        values, vectors = np.linalg.eigh(correlation(d, range_, taper))
+        values, vectors = np.linalg.eigh(correlation(d, range_, taper, family))
         u, v = vectors.T @ x, vectors.T @ y
         for share in (s for r, s in grid if r == range_):
             s = np.maximum(1e-10, (1 - share) * values + share)
@@ -61,13 +71,13 @@ def profile(stats: np.ndarray, p: int) -> tuple[np.ndarray, float, float]:
     return beta, float(variance), float(-0.5 * (n * np.log(variance) + logdet + n))
 
 
-def krige(xy: np.ndarray, rest: np.ndarray, to: np.ndarray, variance: float, range_: float, share: float, taper: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+def krige(xy: np.ndarray, rest: np.ndarray, to: np.ndarray, variance: float, range_: float, share: float, taper: float | None = None, family: Family | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Mean of the residual and variance of an observation at new places, from residuals at known ones."""
     if not len(xy):
         return np.zeros(len(to)), np.full(len(to), variance)
-    r = (1 - share) * correlation(distances(xy, xy), range_, taper)
+    r = (1 - share) * correlation(distances(xy, xy), range_, taper, family)
     r[np.diag_indices(len(xy))] = 1.0 + 1e-10
-    w = np.linalg.solve(np.linalg.cholesky(r), np.column_stack([(1 - share) * correlation(distances(xy, to), range_, taper), rest]))
+    w = np.linalg.solve(np.linalg.cholesky(r), np.column_stack([(1 - share) * correlation(distances(xy, to), range_, taper, family), rest]))
     return w[:, :-1].T @ w[:, -1], np.maximum(1e-12, variance * (1 - (w[:, :-1] ** 2).sum(axis=0)))
 
 
@@ -114,15 +124,15 @@ def median_of_posteriors(draws: list[np.ndarray], steps: int = 100, tolerance: f
     return weights
 
 
-def embed(nx: int, ny: int, variance: float, range_: float, seed: list[int], draws: int) -> np.ndarray:
-    """Draws of a stationary exponential field on a lattice by circulant embedding.
+def embed(nx: int, ny: int, variance: float, range_: float, seed: list[int], draws: int, family: Family | None = None) -> np.ndarray:
+    """Draws of a stationary field on a lattice by circulant embedding.
 
     The torus is doubled until less than 1e-3 of its spectrum's mass is negative; that part is then cut.
     """
     for grow in (2, 4, 8):
         mx, my = grow * nx, grow * ny
         dx, dy = np.minimum(np.arange(mx), mx - np.arange(mx)), np.minimum(np.arange(my), my - np.arange(my))
-        spectrum = np.fft.fft2(variance * np.exp(-np.sqrt(dx[:, None] ** 2.0 + dy[None, :] ** 2.0) / range_)).real
+        spectrum = np.fft.fft2(variance * correlation(np.sqrt(dx[:, None] ** 2.0 + dy[None, :] ** 2.0), range_, None, family)).real
         if -spectrum[spectrum < 0].sum() < 1e-3 * spectrum.sum():
             break
     else:

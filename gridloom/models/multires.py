@@ -21,6 +21,8 @@ from gridloom.models.fields import OUT, Fit, _xy, best_fit
 from gridloom.operators.joins import tile_of
 from gridloom.session import cut
 
+#: Levels below the root whose rows, fewer than 2**TOP, are broadcast.
+TOP = 8
 STATE = "tile int, a array<double>, w array<double>"
 
 
@@ -32,7 +34,7 @@ def _knots(box: tuple[float, float, float, float], side: int) -> np.ndarray:
 def prior(places: np.ndarray, path: list[np.ndarray], fit: Fit) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """The basis of each ancestor at the places, and the inverse of each one's prior precision (its coefficients' covariance
     is the inverse of what its basis has at its own knots). path: the ancestors' knots from the root."""
-    cov = lambda p, q: fit.variance * (1 - fit.share) * K.correlation(K.distances(p, q), fit.range)
+    cov = lambda p, q: fit.variance * (1 - fit.share) * K.correlation(K.distances(p, q), fit.range, None, fit.family)
     own: list[list[np.ndarray]] = []
     inverse: list[np.ndarray] = []
 
@@ -54,9 +56,9 @@ def prior(places: np.ndarray, path: list[np.ndarray], fit: Fit) -> tuple[list[np
     return basis(places, len(path)), inverse
 
 
-def multiresolution(df: DataFrame, nx: int, ny: int, per_tile: int = 300, side: int = 4, fit: Fit | None = None, levels: int | None = None) -> DataFrame:
+def multiresolution(df: DataFrame, nx: int, ny: int, per_tile: int = 300, side: int = 4, fit: Fit | None = None, levels: int | None = None, family: K.Family | None = None) -> DataFrame:
     """Kriging under the approximation; tiles halve until a leaf has about per_tile cells, each tile above has side^2 knots."""
-    fit = fit or best_fit(df, nx, ny)
+    fit = fit or best_fit(df, nx, ny, family=family)
     levels = levels if levels is not None else max(0, math.ceil(math.log2(max(1.0, nx * ny / per_tile))))
     size = side * side
     # A tile's box follows from its number, so tasks work out the path of their tile for themselves.
@@ -80,7 +82,7 @@ def multiresolution(df: DataFrame, nx: int, ny: int, per_tile: int = 300, side:
         seen = f[f["val"].notna()]
         xy = _xy(seen)
         b, inverse = prior(xy, path(int(f["tile"].iloc[0]), levels), fit)
-        v = fit.variance * (1 - fit.share) * K.correlation(K.distances(xy, xy), fit.range)
+        v = fit.variance * (1 - fit.share) * K.correlation(K.distances(xy, xy), fit.range, None, fit.family)
         for k in range(levels):
             v = v - b[k] @ inverse[k] @ b[k].T
         v = v + fit.variance * (fit.share + 1e-9) * np.eye(len(xy))
@@ -122,7 +124,7 @@ def multiresolution(df: DataFrame, nx: int, ny: int, per_tile: int = 300, side:
         xy, rest, b, v, inverse = leaf(f)
         to = _xy(gone)
         bt, _ = prior(to, path(int(f["tile"].iloc[0]), levels), fit)
-        cov = fit.variance * (1 - fit.share) * K.correlation(K.distances(to, xy), fit.range)
+        cov = fit.variance * (1 - fit.share) * K.correlation(K.distances(to, xy), fit.range, None, fit.family)
         var = np.full(len(to), fit.variance)
         for k in range(levels):
             own = bt[k] @ inverse[k]
@@ -144,5 +146,7 @@ def multiresolution(df: DataFrame, nx: int, ny: int, per_tile: int = 300, side:
     for p in posteriors[1:]:
         every = every.unionByName(p)
     up_path = F.transform(F.sequence(F.lit(1), F.lit(levels)), lambda k: F.floor(F.col("tile") / F.pow(F.lit(2.0), k)).cast("int"))
-    wanted = cells.select("tile").distinct().select(F.col("tile").alias("leaf"), F.explode(up_path).alias("ancestor")).join(every, "ancestor")
+    leaves = cells.select("tile").distinct().select(F.col("tile").alias("leaf"), F.explode(up_path).alias("ancestor"))
+    top = F.col("level") < TOP  # every leaf asks for these few rows, so they go to the leaves
+    wanted = leaves.join(F.broadcast(every.where(top)), "ancestor").unionByName(leaves.join(every.where(~top), "ancestor"))
     return cells.groupBy("tile").cogroup(wanted.groupBy("leaf")).applyInPandas(down, OUT)

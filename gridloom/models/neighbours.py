@@ -60,19 +60,19 @@ def _pair_distances(near: np.ndarray, xy: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.sqrt(((p[:, :, None] - p[:, None]) ** 2).sum(axis=3)), np.sqrt(((p - xy[:, None]) ** 2).sum(axis=2))
 
 
-def _weights(d: np.ndarray, to: np.ndarray, range_: float, share: float) -> tuple[np.ndarray, np.ndarray]:
+def _weights(d: np.ndarray, to: np.ndarray, range_: float, share: float, family: K.Family | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Kriging weights of each row's neighbours and the conditional variance as a share of the whole."""
     if not d.shape[1]:
         return np.zeros((len(d), 0)), np.ones(len(d))
-    r = (1 - share) * K.correlation(d, range_)
+    r = (1 - share) * K.correlation(d, range_, None, family)
     at = np.arange(d.shape[1])
     r[:, at, at] = 1.0 + 1e-10
-    c = (1 - share) * K.correlation(to, range_)
+    c = (1 - share) * K.correlation(to, range_, None, family)
     w = np.linalg.solve(r, c[:, :, None])[:, :, 0]
     return w, np.maximum(1e-12, 1 - (w * c).sum(axis=1))
 
 
-def factor_sums(lists: DataFrame, grid: Grid, m: int) -> list[np.ndarray]:
+def factor_sums(lists: DataFrame, grid: Grid, m: int, family: K.Family | None = None) -> list[np.ndarray]:
     """For each (range, share) the rows of kernels.gls_grid under the nearest-neighbour factors B and F of all cells."""
 
     def part(frames):
@@ -83,7 +83,7 @@ def factor_sums(lists: DataFrame, grid: Grid, m: int) -> list[np.ndarray]:
                 d, to = _pair_distances(near, xy[rows])
                 x, own = K.design(xy[rows]), K.design(near[:, :, :2].reshape(-1, 2)).reshape(len(rows), -1, 3)
                 for g, (range_, share) in enumerate(grid):
-                    w, var = _weights(d, to, range_, share)
+                    w, var = _weights(d, to, range_, share, family)
                     ux, uy = x - (w[:, :, None] * own).sum(axis=1), y[rows] - (w * near[:, :, 2]).sum(axis=1)
                     xx, v = ux / var[:, None], uy / var
                     total[g] += np.concatenate([(ux.T @ xx).ravel(), ux.T @ v, [float(uy @ v), float(np.log(var).sum()), float(len(rows))]])
@@ -108,7 +108,7 @@ def _local(lists: DataFrame, kernel) -> DataFrame:
 
 def _predicted(near: np.ndarray, xy: np.ndarray, fit: Fit) -> tuple[np.ndarray, np.ndarray]:
     """Kriged mean and variance from each row's neighbours."""
-    w, var = _weights(*_pair_distances(near, xy), fit.range, fit.share)
+    w, var = _weights(*_pair_distances(near, xy), fit.range, fit.share, fit.family)
     rest = near[:, :, 2] - (K.design(near[:, :, :2].reshape(-1, 2)) @ fit.beta).reshape(near.shape[:2])
     return K.design(xy) @ fit.beta + (w * rest).sum(axis=1), fit.variance * var
 
@@ -116,17 +116,17 @@ def _predicted(near: np.ndarray, xy: np.ndarray, fit: Fit) -> tuple[np.ndarray,
 PRIOR = (2.0, 1.0)
 
 
-def conjugate_fits(df: DataFrame, nx: int, ny: int, grid: Grid, m: int, prior: tuple[float, float] = PRIOR) -> list[tuple[Fit, float]]:
+def conjugate_fits(df: DataFrame, nx: int, ny: int, grid: Grid, m: int, prior: tuple[float, float] = PRIOR, family: K.Family | None = None) -> list[tuple[Fit, float]]:
     """For every grid point the posterior mean of beta (flat prior) and variance (inverse gamma prior), its log marginal
     likelihood, and the degrees of freedom; one pass over the ordered neighbour lists."""
     lists = with_ordered_neighbours(df, m, float(nx + ny))
     out = []
-    for (range_, share), s in zip(grid, factor_sums(lists, grid, m)):
+    for (range_, share), s in zip(grid, factor_sums(lists, grid, m, family)):
         xx, xy, (yy, logdet, n) = s[:9].reshape(3, 3), s[9:12], s[12:]
         beta = np.linalg.solve(xx + 1e-9 * np.eye(3), xy)
         a, b = prior[0] + n / 2, prior[1] + 0.5 * max(0.0, yy - beta @ xy)
         ll = -0.5 * logdet - a * math.log(b) - 0.5 * np.linalg.slogdet(xx + 1e-9 * np.eye(3))[1]
-        out.append((Fit(beta, float(b / max(1.0, a - 1)), range_, share, float(ll)), 2 * a))
+        out.append((Fit(beta, float(b / max(1.0, a - 1)), range_, share, float(ll), family), 2 * a))
     return out
 
 
@@ -155,11 +155,11 @@ def cross_validated(df: DataFrame, nx: int, ny: int, fits: list[Fit], m: int, fo
     return [(sums[g][0] / sums[g][2], sums[g][1] / sums[g][2]) for g in range(len(fits))]
 
 
-def nearest_neighbour_gp(df: DataFrame, nx: int, ny: int, m: int = 15, grid: Grid = GRID) -> DataFrame:
+def nearest_neighbour_gp(df: DataFrame, nx: int, ny: int, m: int = 15, grid: Grid = GRID, family: K.Family | None = None) -> DataFrame:
     """Conjugate nearest-neighbour process: range and nugget share by 5-fold cross-validated CRPS, variance under an inverse
     gamma prior, kriging from m neighbours; low and high are the 95 % interval of Student's t."""
     df = cut(df.select("cell_id", "ix", "iy", "val"))
-    found = conjugate_fits(df, nx, ny, grid, m)
+    found = conjugate_fits(df, nx, ny, grid, m, family=family)
     scores = cross_validated(df, nx, ny, [f for f, _ in found], m)
     fit, freedom = found[min(range(len(grid)), key=lambda g: scores[g][0])]
     half = K.t_quantile(0.975, freedom) * math.sqrt((freedom - 2) / freedom)
@@ -188,11 +188,11 @@ def _mixture(parts: list[tuple[Fit, float]]):
     return kernel
 
 
-def nearest_neighbour_response(df: DataFrame, nx: int, ny: int, m: int = 15, grid: Grid = GRID) -> DataFrame:
+def nearest_neighbour_response(df: DataFrame, nx: int, ny: int, m: int = 15, grid: Grid = GRID, family: K.Family | None = None) -> DataFrame:
     """Nearest-neighbour response process: the posterior of range and nugget share over a grid, from the factors of all cells
     in one pass, weighs the predictions. It takes the place of a chain, whose steps would be a job each."""
     df = cut(df.select("cell_id", "ix", "iy", "val"))
-    found = [f for f, _ in conjugate_fits(df, nx, ny, grid, m)]
+    found = [f for f, _ in conjugate_fits(df, nx, ny, grid, m, family=family)]
     top = max(f.loglik for f in found)
     kept = [(f, math.exp(f.loglik - top)) for f in found if f.loglik > top - 7]
     total = sum(w for _, w in kept)

@@ -24,7 +24,7 @@ def tapered_kriging(df: DataFrame, nx: int, ny: int, fit: Fit, delta: float, tre
     """
     spark = df.sparkSession
     signal = fit.variance * (1 - fit.share)
-    covariance = lambda d: signal * K.correlation(d, fit.range, delta)
+    covariance = lambda d: signal * K.correlation(d, fit.range, delta, fit.family)
     noise = fit.variance * max(fit.share, 1e-8)
 
     by_step = covariance(np.sqrt(np.arange(math.ceil(delta) + 1)[:, None] ** 2.0 + np.arange(math.ceil(delta) + 1)[None, :] ** 2.0))
@@ -62,7 +62,38 @@ def tapered_kriging(df: DataFrame, nx: int, ny: int, fit: Fit, delta: float, tre
     return gone.join(moved.select("id", "v"), "id").select("id", "mu", "free", "v").mapInPandas(finish, OUT)
 
 
-def tapered(df: DataFrame, nx: int, ny: int, delta: float = 10.0, trend: str = "bisquare", draws: int = 48) -> DataFrame:
+def tapered(df: DataFrame, nx: int, ny: int, delta: float = 10.0, trend: str = "bisquare", draws: int = 48, family: K.Family | None = None) -> DataFrame:
     """The tapered model with parameters fitted under the taper by the likelihood of tiles."""
-    fit = fields.best_fit(df, nx, ny, fields.GRID, trend, delta, per_tile=100)
+    fit = fields.best_fit(df, nx, ny, fields.GRID, trend, delta, per_tile=100, family=family)
     return tapered_kriging(df, nx, ny, fit, delta, trend, draws)
+
+
+def circulant_kriging(df: DataFrame, nx: int, ny: int, draws: int = 48, side: int = 20, halo: int = 10, trend: str = "linear", seed: int = 1, x0: int = 0, y0: int = 1, fit: Fit | None = None, family: K.Family | None = None) -> DataFrame:
+    """mean and sd of the missing cells from fields that circulant embedding draws on the whole lattice.
+
+    A tile kriges the residuals, and each drawn field as if only the observed cells of it were known; sd is that of the draws
+    less their predictions. Draws go on across tiles, as the lattice is embedded once.
+    """
+    fit = fit or fields.best_fit(df, nx, ny, fields.GRID, trend, None, per_tile=200, family=family)
+    signal, noise = fit.variance * (1 - fit.share), fit.variance * max(fit.share, 1e-8)
+    covariance = lambda d: signal * K.correlation(d, fit.range, None, fit.family)
+    free = torus.draw_fields(df.sparkSession, nx, ny, draws, covariance, seed, None, noise)
+    free = free.select((F.col("ix") + x0).alias("ix"), (F.col("iy") + y0).alias("iy"), F.col("v").alias("free"))
+    cells = df.select(F.col("cell_id").alias("id"), F.col("ix").cast("int").alias("ix"), F.col("iy").cast("int").alias("iy"), F.col("val").cast("double").alias("val"))
+    rows = solver.Tiles(side, halo, halo).with_halos(cells.join(free, ["ix", "iy"])).where("own or val is not null")
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("id")
+        seen, gone = f[f["val"].notna()], f[f["val"].isna()]
+        if not len(gone):
+            return pd.DataFrame({"cell_id": [], "mean": [], "sd": []})
+        at, to = seen[["ix", "iy"]].to_numpy(float), gone[["ix", "iy"]].to_numpy(float)
+        rest = seen["val"].to_numpy(float) - K.design(at, trend, nx, ny) @ fit.beta
+        known, wanted = (np.array(g["free"].tolist(), float).reshape(len(g), draws) for g in (seen, gone))
+        moved = np.zeros((len(gone), draws + 1))
+        if len(seen):
+            c = covariance(K.distances(at, at)) + noise * np.eye(len(at))
+            moved = covariance(K.distances(to, at)) @ np.linalg.solve(c, np.column_stack([rest, known]))
+        return pd.DataFrame({"cell_id": gone["id"], "mean": K.design(to, trend, nx, ny) @ fit.beta + moved[:, 0], "sd": np.sqrt(((wanted - moved[:, 1:]) ** 2).mean(axis=1))})
+
+    return rows.groupBy("tx", "ty").applyInPandas(run, OUT)
