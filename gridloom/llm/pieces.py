@@ -30,6 +30,7 @@ from .arrow import map_texts
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 _NONE = np.int64(2**62)
+_ID_BITS = 20
 
 
 @dataclass
@@ -87,23 +88,37 @@ def load(path: str = MODEL, kind: str = "bpe") -> Vocabulary:
 
 
 def suffix_array(codes: np.ndarray, width: int) -> np.ndarray:
-    """Places in order of the `width` codes that follow them, by doubling."""
+    """Places in order of the `width` codes that follow them: as many as go into 63 bits at once, then by doubling."""
     ahead = lambda x, k: np.concatenate((x[k:], np.zeros(min(k, len(x)), np.int64)))
-    _, rank = np.unique((codes << 42) | (ahead(codes, 1) << 21) | ahead(codes, 2), return_inverse=True)
-    k = 3
+    held = np.zeros(int(codes.max(initial=0)) + 1, bool)
+    held[codes] = True
+    dense = np.cumsum(held)[codes]  # the codes numbered in order, from 1
+    bits = int(dense.max(initial=1)).bit_length()
+    k = 63 // bits
+    key = np.zeros(len(codes), np.int64)
+    for i in range(k):
+        key = key << bits | ahead(dense, i)
     while k < width:
-        _, rank = np.unique((rank + 1) * (len(rank) + 2) + ahead(rank + 1, k), return_inverse=True)
+        _, rank = np.unique(key, return_inverse=True)
+        key = (rank + 1) * (len(rank) + 2) + ahead(rank + 1, k)
         k *= 2
-    return np.argsort(rank, kind="stable")
+    return np.argsort(key, kind="stable")
 
 
 def occurrences(codes: np.ndarray, order: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Of each piece the range of its occurrences in the suffix array, by binary search of all pieces at once."""
+    """Of each piece the range of its occurrences in the suffix array, by binary search of all pieces at once.
+
+    A first search is by the first two characters alone; only inside the ranges that it gives, whole pieces are compared."""
     padded = np.concatenate((codes, np.zeros(v.width, np.int64)))
     inside = np.arange(v.width) < v.lengths[:, None]
+    pairs = ((padded[:-1] << 21) | padded[1:])[order]
+    head, two = v.codes[:, 0] << 21, v.lengths > 1
+    second = v.codes[:, 1] if v.width > 1 else np.zeros(len(v.codes), np.int64)
+    first_low = np.searchsorted(pairs, np.where(two, head | second, head))
+    first_high = np.searchsorted(pairs, np.where(two, (head | second) + 1, head + (1 << 21)))
 
     def bound(after: bool) -> np.ndarray:
-        low, high = np.zeros(len(v.codes), np.int64), np.full(len(v.codes), len(order), np.int64)
+        low, high = first_low.copy(), first_high.copy()
         while (open_ := low < high).any():
             rows = np.flatnonzero(open_)
             mid = (low[rows] + high[rows]) >> 1
@@ -125,8 +140,8 @@ def edges(codes: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     start = np.repeat(low - np.concatenate(([0], np.cumsum(times)[:-1])), times)
     place = order[start + np.arange(times.sum())]
     key = place * 64 + np.repeat(v.lengths, times)
-    by_place = np.argsort(key, kind="stable")
-    return key[by_place], np.repeat(v.piece_ids, times)[by_place]
+    both = np.sort(key << _ID_BITS | np.repeat(v.piece_ids, times))
+    return both >> _ID_BITS, both & ((1 << _ID_BITS) - 1)
 
 
 class Lattice:
@@ -263,10 +278,10 @@ def relax_scores(lattice: Lattice) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Encoder:
-    """Encodes texts batch by batch. What a short stretch becomes is kept for later batches, up to about `keep_bytes` of memory;
-    longer stretches hardly come again and are encoded each time."""
+    """Encodes texts batch by batch. What a short stretch becomes is kept for later batches, in `keep_bytes` of memory and what one batch
+    adds; longer stretches hardly come again and are encoded each time."""
 
-    def __init__(self, v: Vocabulary, keep_bytes: int = 128 << 20, most_kept_chars: int = 64, most_chars: int = 1 << 20):
+    def __init__(self, v: Vocabulary, keep_bytes: int = 224 << 20, most_kept_chars: int = 64, most_chars: int = 1 << 20):
         self.v, self.keep_bytes, self.most_kept_chars, self.most_chars = v, keep_bytes, most_kept_chars, most_chars
         self.known: dict[str, bytes] = {}
         self.held_bytes = 0
@@ -292,20 +307,19 @@ class Encoder:
             before = to
         return out
 
-    def keep(self, made: dict[str, bytes]) -> None:
-        """Remember the short ones of `made`; a full memory is emptied first."""
+    def forget(self, made: dict[str, bytes]) -> None:
+        """Drop the long ones of what was just learned, and everything once the short ones have taken keep_bytes."""
         for s, ids in made.items():
-            if len(s) <= self.most_kept_chars:
-                size = sys.getsizeof(s) + sys.getsizeof(ids) + 100  # of the two objects and a place in the table
-                if self.held_bytes + size > self.keep_bytes:
-                    self.known, self.held_bytes = {}, 0
-                self.known[s] = ids
-                self.held_bytes += size
+            if len(s) > self.most_kept_chars:
+                del self.known[s]
+            else:
+                self.held_bytes += sys.getsizeof(s) + sys.getsizeof(ids) + 100  # the two objects and a place in the table
+        if self.held_bytes > self.keep_bytes:
+            self.known, self.held_bytes = {}, 0
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
         cut = [None if t is None else self.v.split(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        known = self.known  # `keep` may put a new one in its place
-        new = list({s for c in cut if c for s in c if s not in known})
+        new = list({s for c in cut if c for s in c if s not in self.known})
         fresh: dict[str, bytes] = {}
         at = 0
         while at < len(new):
@@ -315,9 +329,10 @@ class Encoder:
                 run.append(new[at])
                 at += 1
             fresh |= self.learn(run)
-        get = lambda s: known.get(s) or fresh[s]  # noqa: E731  a stretch has an id at least
+        self.known.update(fresh)
+        get = self.known.__getitem__
         out = [None if c is None else np.frombuffer(b"".join(map(get, c)), np.int32) for c in cut]
-        self.keep(fresh)
+        self.forget(fresh)
         return out
 
 
