@@ -384,14 +384,16 @@ def test_pieces_memory_is_bounded_by_bytes():
     """Texts without spaces, like minified or Chinese ones, leave nothing behind; short stretches leave at most the bound."""
     rng = np.random.default_rng(8)
     v = pieces.load()
-    e = pieces.Encoder(v, keep_bytes=200_000)
+    e = pieces.Encoder(v, keep_bytes=800_000)
     texts = ["".join(map(chr, rng.integers(0x4E00, 0x4E00 + 3000, 2000))) for _ in range(20)]
     assert [pieces.decode(ids, v) for ids in e.encode(texts)] == texts
     assert not e.known
+    held = []
     for _ in range(8):
         texts = [" ".join(map(str, rng.integers(0, 10**9, 500))) for _ in range(4)]
         assert [pieces.decode(ids, v) for ids in e.encode(texts)] == texts
-        assert e.known and sum(map(sys.getsizeof, [*e.known, *e.known.values()])) < e.keep_bytes
+        held.append(sum(map(sys.getsizeof, [*e.known, *e.known.values()])))
+    assert max(held) <= e.keep_bytes and len(set(held)) > 2  # filled and emptied
 
 
 def test_archives_on_object_stores(monkeypatch):
