@@ -143,9 +143,9 @@ def nugget_sd(s: Column, nugget_variance: float) -> Column:
     return F.sqrt(s * s + nugget_variance)
 
 
-def combine_stages(mean1: Column, var1: Column, mean2: Column, var2: Column) -> tuple[Column, Column]:
-    """Means and variances of two independent stages add."""
-    return mean1 + mean2, var1 + var2
+def combine_stages(mean1: Column, var1: Column, mean2: Column, var2: Column, nugget1: Column | float = 0.0) -> tuple[Column, Column]:
+    """Means and variances of two independent stages add; the first one's nugget, which the second has too, is taken off."""
+    return mean1 + mean2, F.greatest(var1 - nugget1, F.lit(0.0)) + var2
 
 
 def t_interval(m: Column, variance: Column, shape: float, t_quantile: float) -> tuple[Column, Column]:

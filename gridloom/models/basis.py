@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.covariance import bisquare_np, wendland_np
 from gridloom.models import kernels as K
 from gridloom.models.fields import OUT, _xy, summed
+from gridloom.operators.aggregates import variogram
 from gridloom.operators.joins import knots
 
 
@@ -52,35 +54,96 @@ def predict_basis(df: DataFrame, basis: Callable[[np.ndarray], np.ndarray], coef
     return df.where("val is null").select("cell_id", "ix", "iy").mapInPandas(run, OUT)
 
 
-def bisquares(nx: int, ny: int, resolutions: tuple[int, ...]) -> Callable[[np.ndarray], np.ndarray]:
-    """A linear trend and, for each resolution k, k * k bisquare functions."""
-    grids = [(np.array([((i + 0.5) * nx / k, 1 + (j + 0.5) * ny / k) for j in range(k) for i in range(k)]), 2.0 * max(nx, ny) / k) for k in resolutions]
-    return lambda xy: np.hstack([K.design(xy, "linear", nx, ny)] + [bisquare_np(K.distances(xy, at), reach) for at, reach in grids])
+Boxes = list[tuple[float, float, float, float]]  # centre, width and height
+
+
+def quadtree(df: DataFrame, nx: int, ny: int, depth: int = 5, coarsest: int = 1, least: int = 3, split: int = 24, y0: int = 1) -> list[Boxes]:
+    """By resolution the boxes of a tree over the observed cells: a box that holds more than `split` of them is cut in four, and
+    boxes with fewer than `least` are left out. Counts of the finest boxes come from one aggregation, 4**depth rows at most."""
+    side = 2**depth
+    part = lambda c, low, n: F.least(F.lit(side - 1), F.floor((F.col(c) - low) * F.lit(side / n))).cast("int")
+    counts = np.zeros((side, side), np.int64)
+    for r in df.where("val is not null").groupBy(part("ix", 0, nx).alias("i"), part("iy", y0, ny).alias("j")).agg(F.count("*").alias("n")).collect():
+        counts[r["i"], r["j"]] = r["n"]
+    out: list[Boxes] = []
+    open_ = {(i, j) for i in range(2**coarsest) for j in range(2**coarsest)}
+    for level in range(coarsest, depth + 1):
+        k = 2**level
+        held = counts.reshape(k, side // k, k, side // k).sum(axis=(1, 3))
+        kept = sorted(x for x in open_ if held[x] >= least)
+        if not kept:
+            break
+        out.append([((i + 0.5) * nx / k, y0 + (j + 0.5) * ny / k, nx / k, ny / k) for i, j in kept])
+        open_ = {(2 * i + a, 2 * j + b) for i, j in kept if held[i, j] > split for a in (0, 1) for b in (0, 1)}
+    return out
 
 
-def fixed_rank(df: DataFrame, nx: int, ny: int, resolutions: tuple[int, ...] = (3, 6, 10), rounds: int = 200, tolerance: float = 0.02) -> DataFrame:
-    """Fixed-rank kriging: random effects with a variance for each resolution, and a noise, by expectation maximisation.
+def bisquares(nx: int, ny: int, resolutions: list[Boxes], reach: float = 1.5) -> Callable[[np.ndarray], np.ndarray]:
+    """A linear trend and, for each box, a bisquare function about its centre that ends `reach` sides away."""
+    grids = [(np.array([b[:2] for b in boxes]), reach * max(boxes[0][2:])) for boxes in resolutions]
+    return lambda xy: np.hstack([K.design(xy, "linear", nx, ny)] + [bisquare_np(K.distances(xy, at), r) for at, r in grids])
 
-    All rounds work on the Gram sums, so the data are read once.
-    """
-    basis = bisquares(nx, ny, resolutions)
-    group = np.repeat(np.arange(len(resolutions) + 1), [3, *[k * k for k in resolutions]])
-    gram, right, yy, n = _parts(gram_sums(df, basis, len(group))[0])
-    noise, prior = max(1e-9, yy / max(n, 1) / 10), np.full(len(resolutions) + 1, yy / max(n, 1))
-    prior[0] = np.inf  # fixed effects
-    last = -np.inf
+
+@dataclass
+class RankFit:
+    """A fixed-rank model: coefficients, their spread, a variance for each resolution, and what is left as the sum of a fine-scale
+    variance of the process and the measurement's; the log likelihood of every round."""
+
+    mean: np.ndarray
+    spread: np.ndarray
+    prior: np.ndarray
+    left: float
+    fine: float
+    loglik: list[float]
+
+
+def expectation_maximisation(sums: np.ndarray, group: np.ndarray, measured: float, rounds: int = 200, tolerance: float = 0.02) -> RankFit:
+    """Maximum likelihood from the Gram sums alone. group: each column's resolution, 0 for fixed effects. measured: the variance
+    of the measurement; with one value a cell the rounds give its sum with the fine-scale variance, which is the rest."""
+    gram, right, yy, n = _parts(sums)
+    left, prior = max(1e-9, yy / max(n, 1) / 10), np.full(group.max(initial=0) + 1, max(1e-9, yy / max(n, 1)))
+    prior[0] = 1e5 * prior[0]  # fixed effects: hardly any prior
+    history: list[float] = []
+    random = group > 0
     for _ in range(rounds):
-        spread = np.linalg.inv(gram / noise + np.diag(np.where(group == 0, 1e-9, 1 / np.maximum(1e-12, prior[group]))))
-        mean = spread @ right / noise
+        precision = np.diag(1 / prior[group])
+        a = gram / left + precision
+        spread = np.linalg.inv(a)
+        mean = spread @ right / left
+        history.append(float(-0.5 * (n * math.log(2 * math.pi * left) + np.linalg.slogdet(a)[1] + np.log(prior[group]).sum() + (yy - right @ mean) / left)))
+        if len(history) > 1 and history[-1] - history[-2] < tolerance:
+            break
         second = spread + np.outer(mean, mean)
-        noise = max(1e-9, (yy - 2 * mean @ right + float((gram * second).sum())) / max(n, 1))
+        left = max(1e-9, (yy - 2 * mean @ right + float((gram * second).sum())) / max(n, 1))
         for k in range(1, len(prior)):
-            prior[k] = np.diag(second)[group == k].mean()
-        level = -n * math.log(noise) - np.log(prior[1:]) @ np.bincount(group)[1:]
-        if abs(level - last) < tolerance:
-            break
-        last = level
-    return predict_basis(df, basis, mean, spread, noise)
+            prior[k] = max(1e-12, np.diag(second)[random & (group == k)].mean())
+    return RankFit(mean, spread, prior, left, max(0.0, left - measured), history)
+
+
+def measurement_variance(df: DataFrame) -> float:
+    """The variogram's value at no distance, on the line through its first two steps; 0 without pairs."""
+    rows = {(r["lx"], r["ly"]): (r["gamma"] / 2, r["pairs"]) for r in variogram(df, [(1, 0), (0, 1), (2, 0), (0, 2)], "val").collect()}
+    at = [[rows[k] for k in ((d, 0), (0, d)) if k in rows] for d in (1, 2)]
+    if not all(at):
+        return 0.0
+    one, two = (sum(g * n for g, n in x) / sum(n for _, n in x) for x in at)
+    return max(0.0, 2 * one - two)
+
+
+def fixed_rank(df: DataFrame, nx: int, ny: int, depth: int = 4) -> DataFrame:
+    """Fixed-rank kriging on a basis that follows the data: random effects with a variance for each resolution, a fine-scale
+    variance and the measurement's, by expectation maximisation.
+
+    Boxes of a quadtree of the observations carry the functions, none lies where nothing was observed. All rounds work on the
+    Gram sums, so the data are read three times in all. sd is that of an observation, process_sd that of the process.
+    """
+    resolutions = quadtree(df, nx, ny, depth)
+    basis = bisquares(nx, ny, resolutions)
+    group = np.repeat(np.arange(len(resolutions) + 1), [3, *map(len, resolutions)])
+    measured = measurement_variance(df)
+    fit = expectation_maximisation(gram_sums(df, basis, len(group))[0], group, measured)
+    out = predict_basis(df, basis, fit.mean, fit.spread, fit.left)
+    return out.withColumn("process_sd", F.sqrt(F.greatest(F.col("sd") * F.col("sd") - F.lit(float(fit.left - fit.fine)), F.lit(0.0))))
 
 
 def predictive_process(df: DataFrame, nx: int, ny: int, side: int = 14, ranges: tuple[float, ...] = (6.0, 12.0, 24.0, 48.0), shares: tuple[float, ...] = (0.002, 0.01, 0.05, 0.2)) -> DataFrame:

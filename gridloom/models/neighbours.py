@@ -46,6 +46,12 @@ def with_ordered_neighbours(df: DataFrame, m: int, diameter: float) -> DataFrame
     return _gathered(seen, J.ordered_neighbours(_points(seen), m, 3.0, diameter), seen)
 
 
+def lists_of(edges: DataFrame, points: DataFrame) -> DataFrame:
+    """The neighbour lists of edges (i, rank, j) between points (id, x, y, val)."""
+    at = points.select(F.col("id").alias("cell_id"), F.col("x").alias("ix"), F.col("y").alias("iy"), "val")
+    return _gathered(at, edges, at)
+
+
 def _batches(near: list, m: int):
     """Groups of rows with equally many neighbours: their indices and an array (rows, neighbours, 4)."""
     sizes = np.array([0 if n is None else min(m, len(n)) for n in near])
@@ -93,6 +99,25 @@ def factor_sums(lists: DataFrame, grid: Grid, m: int, family: K.Family | None =
     return [sums[g] for g in range(len(grid))]
 
 
+def factor_table(lists: DataFrame, m: int, variance: float, range_: float, share: float, family: K.Family | None = None) -> DataFrame:
+    """cell_id, b (the weights of up to m neighbours, nearest first), f (the variance that they leave) and u (the value less what
+    they say): the rows of the factors B and F of a nearest-neighbour process, so that u'u / f and the log of f add up to its
+    quadratic form and its log determinant. A cell's small system is solved with others of its size, batch by batch."""
+
+    def run(frames):
+        for f in frames:
+            xy, y = _xy(f), f["val"].to_numpy(float)
+            b, left, u = [None] * len(f), np.zeros(len(f)), np.zeros(len(f))
+            for rows, near in _batches(f["near"].tolist(), m):
+                w, var = _weights(*_pair_distances(near, xy[rows]), range_, share, family)
+                left[rows], u[rows] = variance * var, y[rows] - (w * near[:, :, 2]).sum(axis=1)
+                for i, x in zip(rows, w):
+                    b[i] = x
+            yield pd.DataFrame({"cell_id": f["cell_id"], "b": b, "f": left, "u": u})
+
+    return lists.select("cell_id", "ix", "iy", "val", "near").mapInPandas(run, "cell_id long, b array<double>, f double, u double")
+
+
 def _local(lists: DataFrame, kernel) -> DataFrame:
     """kernel(neighbours (rows, k, 4), places) gives mean and sd, for the missing cells with their neighbours."""
 

@@ -130,3 +130,9 @@ def ward_costs(edges: DataFrame, clusters: DataFrame, value: str) -> DataFrame:
     joined = touching.join(one, "c1").join(two, "c2")
     diff = F.col("m1") - F.col("m2")
     return joined.select("c1", "c2", (F.col("n1") * F.col("n2") / (F.col("n1") + F.col("n2")) * diff * diff).alias("ward"))
+
+
+def sum_blocks(df: DataFrame, by: str, blocks: str) -> DataFrame:
+    """by and the elementwise sum of its arrays, vectors or matrices laid out flat; numbers are summed in Spark by place."""
+    each = df.select(by, F.posexplode(blocks).alias("k", "x")).groupBy(by, "k").agg(F.sum("x").alias("x"))
+    return each.groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "x"))), lambda e: e["x"]).alias(blocks))

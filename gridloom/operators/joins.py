@@ -152,6 +152,21 @@ def tile_of(nx: int, ny: int, levels: int, x0: int = 0, y0: int = 0, x: str = "i
     return tile
 
 
+def tile_of_ways(nx: int, ny: int, levels: int, ways: int, x0: int = 0, y0: int = 0, x: str = "ix", y: str = "iy") -> Column:
+    """The id of the leaf tile that holds a point, where a tile has `ways` parts: 2 halve the longer side; an even number from 4
+    on cuts both sides into ways / 2, numbered with y fastest. The root is 1, the parts of a tile follow each other."""
+    if ways == 2:
+        return tile_of(nx, ny, levels, x0, y0, x, y)
+    if ways < 4 or ways % 2:
+        raise ValueError("ways: 2, or an even number from 4 on")
+    side = ways // 2
+    tile = F.lit(1).cast("long")
+    for k in range(1, levels + 1):
+        at = lambda c, low, n: F.least(F.lit(side**k - 1), F.floor((F.col(c) - low) * F.lit(side**k / n))) % side
+        tile = tile * side * side + at(x, x0, nx) * side + at(y, y0, ny)
+    return tile
+
+
 def ancestors(tile: Column, levels: Column) -> Column:
     """The ids from the root to the parent of a tile that lies `levels` below the root."""
     return F.transform(F.sequence(levels, F.lit(1), F.lit(-1)), lambda k: F.floor(tile / F.pow(F.lit(2.0), k)).cast("int"))

@@ -94,6 +94,16 @@ def t_interval(spark, sf):
     return predictions(spark, sf).select("method", "cell_id", r(low).alias("low"), r(high).alias("high"))
 
 
+@query("combine_stages_nugget", f"WITH {P} SELECT a.cell_id, round(greatest(a.sd * a.sd - a.mean, 0) + b.sd * b.sd, 6) AS var FROM p a JOIN p b USING (cell_id) WHERE a.method = 'colmean' AND b.method = 'idw'")
+def combine_stages_nugget(spark, sf):
+    """With a nugget that differs from cell to cell (here as large as the first mean)."""
+    both = predictions(spark, sf).where("method in ('colmean', 'idw')").groupBy("cell_id").pivot("method", ["colmean", "idw"]).agg(F.first("mean").alias("mean"), F.first("sd").alias("sd"))
+    both = both.where("colmean_mean is not null and idw_mean is not null")
+    square = lambda c: F.col(c) * F.col(c)
+    _, var = S_.combine_stages(F.col("colmean_mean"), square("colmean_sd"), F.col("idw_mean"), square("idw_sd"), F.col("colmean_mean"))
+    return both.select("cell_id", r(var).alias("var"))
+
+
 @query("combine_stages", f"WITH {P} SELECT a.cell_id, round(a.mean + (b.mean - a.mean) * 0.5::DOUBLE, 9) AS mean, round(a.sd * a.sd + b.sd * b.sd, 6) AS var FROM p a JOIN p b USING (cell_id) WHERE a.method = 'trend' AND b.method = 'idw'")
 def combine_stages(spark, sf):
     m, s, y = _parts()

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from gridloom.functions import covariance as C
+from gridloom.models import neighbours
 from gridloom.operators import aggregates as A
 from gridloom.operators import joins as J
 from gridloom.operators.lattice import ordered_places
@@ -305,6 +308,36 @@ def tile_sums(spark, sf):
     return leaf.groupBy(F.floor(F.col("id") / 2).cast("int").alias("parent")).agg(F.sum("n").alias("n"), F.round(F.sum("total"), 4).alias("total"))
 
 
+_BLOCK = ["1", "ix", "iy", "ix * ix", "ix * iy", "iy * iy", "val", "ix * val", "iy * val"]
+
+
+@query(
+    "tile_block_sums",
+    f"WITH {S}, {_tile_rows()}, lf AS (SELECT id, {', '.join(f'sum({e}) AS v{k}' for k, e in enumerate(_BLOCK))} FROM s JOIN tl ON level = {LEVELS} AND ix >= xmin AND ix < xmax AND iy >= ymin AND iy < ymax WHERE val IS NOT NULL GROUP BY id), "
+    f"up AS (SELECT (id // 2)::INT AS parent, {', '.join(f'sum(v{k})::DOUBLE AS v{k}' for k in range(len(_BLOCK)))} FROM lf GROUP BY 1) "
+    + " UNION ALL ".join(f"SELECT parent, {k} AS k, round(v{k}, 3) AS v FROM up" for k in range(len(_BLOCK))),
+)
+def tile_block_sums(spark, sf):
+    """Each tile's normal equations of a plane, as one array, and their sums over a parent's children."""
+    seen = signal(spark, sf).where("val is not null")
+    leaf = seen.groupBy(J.tile_of(NX, NY, LEVELS, 0, Y0).alias("id")).agg(F.array(*[F.sum(F.expr(e).cast("double")) for e in _BLOCK]).alias("block"))
+    up = A.sum_blocks(leaf.select(F.floor(F.col("id") / 2).cast("int").alias("parent"), "block"), "parent", "block")
+    return up.select("parent", F.posexplode("block").alias("k", "v")).select("parent", "k", r("v", 3).alias("v"))
+
+
+@query(
+    "tile_ways",
+    f"WITH {S}, t AS (SELECT val, floor((ix - 0) * 2 / {NX}.0::DOUBLE)::INT AS a, floor((iy - {Y0}) * 2 / {NY}.0::DOUBLE)::INT AS b, floor((ix - 0) * 4 / {NX}.0::DOUBLE)::INT AS c, floor((iy - {Y0}) * 4 / {NY}.0::DOUBLE)::INT AS d FROM s) "
+    "SELECT 4 AS ways, (1 * 4 + a * 2 + b) * 4 + (c % 2) * 2 + d % 2 AS tile, count(*) AS n, count(val) AS known FROM t GROUP BY ALL UNION ALL "
+    f"SELECT 16, 64 + floor(ix * 8 / {NX}.0::DOUBLE)::INT * 8 + floor((iy - {Y0}) * 8 / {NY}.0::DOUBLE)::INT, count(*), count(val) FROM s GROUP BY ALL",
+)
+def tile_ways(spark, sf):
+    """Cells of the tiles of two levels of four parts, and of one level cut in eight both ways."""
+    s = cut(signal(spark, sf))
+    one = lambda ways, levels: s.groupBy(F.lit(ways).alias("ways"), J.tile_of_ways(NX, NY, levels, ways, 0, Y0).alias("tile")).agg(F.count("*").alias("n"), F.count("val").alias("known"))
+    return one(4, 2).unionByName(one(16, 1))
+
+
 @query(
     "knots",
     f"""WITH {S}, e AS (SELECT min(ix)::DOUBLE AS x0, max(ix)::DOUBLE AS x1, min(iy)::DOUBLE AS y0, max(iy)::DOUBLE AS y1 FROM s WHERE val IS NOT NULL)
@@ -346,6 +379,42 @@ def logdet_m1(spark, sf):
     return _factors(spark, sf).agg(r(F.sum(F.log("f"))).alias("logdet"))
 
 
+_T = VARIANCE + NUGGET
+_M2 = f"""e2 AS (SELECT u.id, u.val, v.val AS val1, w.val AS val2, {VARIANCE}::DOUBLE * exp(-{DECAY}::DOUBLE * sqrt(a.d2)) AS k1, {VARIANCE}::DOUBLE * exp(-{DECAY}::DOUBLE * sqrt(b.d2)) AS k2,
+    {VARIANCE}::DOUBLE * exp(-{DECAY}::DOUBLE * sqrt((v.x - w.x) * (v.x - w.x) + (v.y - w.y) * (v.y - w.y))) AS k12
+  FROM o u LEFT JOIN ok a ON a.i = u.id AND a.rank = 1 LEFT JOIN o v ON v.id = a.j LEFT JOIN ok b ON b.i = u.id AND b.rank = 2 LEFT JOIN o w ON w.id = b.j),
+b2 AS (SELECT *, CASE WHEN k2 IS NOT NULL THEN ({_T}::DOUBLE * k1 - k12 * k2) / ({_T * _T}::DOUBLE - k12 * k12) WHEN k1 IS NOT NULL THEN k1 / {_T}::DOUBLE ELSE 0 END AS b1,
+    CASE WHEN k2 IS NOT NULL THEN ({_T}::DOUBLE * k2 - k12 * k1) / ({_T * _T}::DOUBLE - k12 * k12) ELSE 0 END AS bb FROM e2),
+f2 AS (SELECT id, val - b1 * coalesce(val1, 0) - bb * coalesce(val2, 0) AS u, {_T}::DOUBLE - b1 * coalesce(k1, 0) - bb * coalesce(k2, 0) AS f FROM b2)"""
+
+
+def _rows_of_factors(spark, sf, m):
+    at = cut(_ordered(spark, sf))
+    return neighbours.factor_table(neighbours.lists_of(_neighbours(spark, sf, m, at), at), m, _T, 1 / DECAY, NUGGET / _T)
+
+
+@query("nngp_m2_factors", f"WITH {S}, {_ORDERED}, {_M2} SELECT id AS i, round(f, 5) AS f, round(u, 4) AS u FROM f2")
+def nngp_m2_factors(spark, sf):
+    return _rows_of_factors(spark, sf, 2).select(F.col("cell_id").alias("i"), r("f", 5).alias("f"), r("u", 4).alias("u"))
+
+
+@query("nngp_m2_quadform", f"WITH {S}, {_ORDERED}, {_M2} SELECT round(sum(u * u / f), 3) AS q FROM f2")
+def nngp_m2_quadform(spark, sf):
+    return _rows_of_factors(spark, sf, 2).agg(F.round(F.sum(F.col("u") * F.col("u") / F.col("f")), 3).alias("q"))
+
+
+@query("logdet_m2", f"WITH {S}, {_ORDERED}, {_M2} SELECT round(sum(ln(f)), 5) AS logdet FROM f2")
+def logdet_m2(spark, sf):
+    return _rows_of_factors(spark, sf, 2).agg(r(F.sum(F.log("f")), 5).alias("logdet"))
+
+
+@query("nngp_likelihood", None)
+def nngp_likelihood(spark, sf):
+    """Quadratic form, log determinant and log likelihood with 15 neighbours, a row."""
+    q, d, n = F.sum(F.col("u") * F.col("u") / F.col("f")), F.sum(F.log("f")), F.count("*")
+    return _rows_of_factors(spark, sf, 15).agg(q.alias("q"), d.alias("logdet"), (-0.5 * (q + d + n * math.log(2 * math.pi))).alias("loglik"))
+
+
 @query(
     "argmax_grid",
     f"""WITH {S}, {_VARIO}, fit AS (SELECT a, b, -sum(pow(gamma - ((1 - exp(sqrt(lx * lx + ly * ly) * (-1 / (2.0::DOUBLE * (a + 1))))) * (20.0::DOUBLE + 5 * b) + 0.5::DOUBLE), 2)) AS ll
