@@ -224,10 +224,10 @@ def nearest_neighbour_response(df: DataFrame, nx: int, ny: int, m: int = 15, gri
     return _local(with_neighbours(df, m, float(nx + ny)), _mixture([(f, w / total) for f, w in kept]))
 
 
-def local_gp(df: DataFrame, nx: int, ny: int, m: int = 30, few: int = 100, around: int = 60) -> DataFrame:
+def local_gp(df: DataFrame, nx: int, ny: int, m: int = 40, few: int = 100, around: int = 80) -> DataFrame:
     """A global process from `few` cells of a D-optimal design, then for each cell a process on the residuals of m of its `around`
-    nearest: the eight nearest, and those that lower the variance there most. Its range is chosen there. The
-    global stage's variance enters without its nugget, the local one's whole."""
+    nearest: the eight nearest, and those that lower the variance there most. Ranges and shares are weighed there by their likelihood;
+    the local stage carries the whole variance, as it is one of the residuals."""
     df = cut(df.select("cell_id", "ix", "iy", "val"))
     chosen = d_optimal(df.where("val is not null"), few, (nx + ny) / 8).select("ix", "iy", "val").toPandas()  # `few` rows
     xy, y = _xy(chosen), chosen["val"].to_numpy(float)
@@ -251,21 +251,20 @@ def local_gp(df: DataFrame, nx: int, ny: int, m: int = 30, few: int = 100, aroun
         p = near[:, :, :2]
         d, to = _pair_distances(near, at)
         left = near[:, :, 2] - overall(p.reshape(-1, 2))[0].reshape(near.shape[:2])
-        k, ll = near.shape[1], np.full(len(at), -np.inf)
-        mean, var = np.zeros(len(at)), np.ones(len(at))
+        k, found = near.shape[1], []
         for range_ in (2.0, 5.0, 10.0, 20.0):
             for share in (0.02, 0.1, 0.3):
                 r = (1 - share) * K.correlation(d, range_) + (share + 1e-9) * np.eye(k)
                 c = (1 - share) * K.correlation(to, range_)
                 solved = np.linalg.solve(r, np.stack([left, c], axis=2))
-                variance = np.maximum(1e-9, (left * solved[:, :, 0]).mean(axis=1))
-                own = -0.5 * (k * np.log(variance) + np.linalg.slogdet(r)[1])
-                better = own > ll
-                ll = np.where(better, own, ll)
-                mean = np.where(better, (c * solved[:, :, 0]).sum(axis=1), mean)
-                var = np.where(better, variance * np.maximum(1e-9, 1 - (c * solved[:, :, 1]).sum(axis=1)), var)
-        whole = overall(at)[0]
-        return whole + mean, np.sqrt(var)
+                variance = np.maximum(1e-9, (left * solved[:, :, 0]).sum(axis=1) / max(1, k - 2))  # of Student's t
+                mean = (c * solved[:, :, 0]).sum(axis=1)
+                found.append((-0.5 * (k * np.log(variance) + np.linalg.slogdet(r)[1]), mean, variance * np.maximum(1e-9, 1 - (c * solved[:, :, 1]).sum(axis=1))))
+        ll, mean, var = (np.array(x) for x in zip(*found))
+        w = np.exp(ll - ll.max(axis=0))
+        w = w / w.sum(axis=0)
+        first = (w * mean).sum(axis=0)
+        return overall(at)[0] + first, np.sqrt((w * (var + mean * mean)).sum(axis=0) - first * first)
 
     return _local(with_neighbours(df, around, float(nx + ny)), kernel)
 
