@@ -204,14 +204,14 @@ def scores_by_bin(spark, sf):
 # The values that a cell's mean is made of serve as its draws: a draw for each line item, in order of its keys, in three subsets.
 _DRAWS = f"""{G}, d AS (SELECT (iy - {Y0}) * {NX} + ix AS cell, subset, value, id, row_number() OVER (PARTITION BY ix, iy, subset ORDER BY id, value) - 1 AS draw
   FROM (SELECT CAST(FLOOR(datediff('day', DATE '1995-01-01', l_shipdate::DATE) / 28) AS INT) AS ix, CAST(l_quantity AS INT) AS iy, l_linenumber % 3 AS subset,
-        l_extendedprice / 700 AS value, l_orderkey * 8 + l_linenumber AS id FROM lineitem))"""
+        sqrt(l_extendedprice) AS value, l_orderkey * 8 + l_linenumber AS id FROM lineitem))"""
 
 
 def _draws(spark, sf):
     li = read_table(spark, sf, "lineitem")
     ix = F.floor(F.datediff(F.col("l_shipdate").cast("date"), F.lit("1995-01-01").cast("date")) / 28).cast("int")
     cell = (F.col("l_quantity").cast("int") - Y0) * NX + ix
-    d = li.select(cell.alias("cell"), (F.col("l_linenumber") % 3).alias("subset"), (F.col("l_extendedprice") / 700).alias("value"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"))
+    d = li.select(cell.alias("cell"), (F.col("l_linenumber") % 3).alias("subset"), F.sqrt("l_extendedprice").alias("value"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"))
     return d.withColumn("draw", F.row_number().over(Window.partitionBy("cell", "subset").orderBy("id", "value")) - 1)
 
 
