@@ -155,6 +155,16 @@ def _labels(spark, sf):
     return _clusters(spark, sf).select("cell_id", F.col("centre").alias("cluster"), "truth")
 
 
+def _edges_and_labels(spark, sf):
+    """The rook edges of the signal lattice and its cells' clusters, from one written lattice.
+
+    A join on the clusters, or a condition on them, would otherwise be pushed below the sums that make the cells, as clusters
+    follow from ix and iy: all centres would be measured for every line item, not for every cell.
+    """
+    s = cut(_clusters(spark, sf).select("cell_id", "ix", "iy", "truth", "centre"))
+    return J.rook_edges(s, "truth"), s.select("cell_id", F.col("centre").alias("cluster"), "truth")
+
+
 @query("cluster_pair_linkage", f"WITH {S}, {_NEAREST}, {_ROOK}, {_LINK} SELECT c1, c2, round(max(change), 6) AS complete, round(min(change), 6) AS single, round(avg(change), 6) AS average, count(*) AS edges FROM lk GROUP BY c1, c2")
 def cluster_pair_linkage(spark, sf):
     l = A.linkage(J.rook_edges(signal(spark, sf), "truth"), _labels(spark, sf))
@@ -166,7 +176,8 @@ _WARD = "wd AS (SELECT c1, c2, round(a.n * b.n / (a.n + b.n)::DOUBLE * (a.m - b.
 
 @query("ward_step", f"WITH {S}, {_NEAREST}, {_ROOK}, {_LINK}, {_WARD} SELECT c1, c2, ward FROM wd ORDER BY ward, c1, c2 LIMIT 1")
 def ward_step(spark, sf):
-    costs = A.ward_costs(J.rook_edges(signal(spark, sf), "truth"), _labels(spark, sf), "truth").withColumn("ward", r("ward"))
+    edges, labels = _edges_and_labels(spark, sf)
+    costs = A.ward_costs(edges, labels, "truth").withColumn("ward", r("ward"))
     best = costs.agg(F.min(F.struct("ward", "c1", "c2")).alias("b"))
     return best.select("b.c1", "b.c2", "b.ward")
 
