@@ -151,10 +151,6 @@ def edge_gradient(spark, sf):
 _LINK = f"lk AS (SELECT least(a.centre, b.centre) AS c1, greatest(a.centre, b.centre) AS c2, change FROM rk JOIN nc a ON a.cell_id = src JOIN nc b ON b.cell_id = dst WHERE a.centre <> b.centre)"
 
 
-def _labels(spark, sf):
-    return _clusters(spark, sf).select("cell_id", F.col("centre").alias("cluster"), "truth")
-
-
 def _edges_and_labels(spark, sf):
     """The rook edges of the signal lattice and its cells' clusters, from one written lattice.
 
@@ -167,7 +163,7 @@ def _edges_and_labels(spark, sf):
 
 @query("cluster_pair_linkage", f"WITH {S}, {_NEAREST}, {_ROOK}, {_LINK} SELECT c1, c2, round(max(change), 6) AS complete, round(min(change), 6) AS single, round(avg(change), 6) AS average, count(*) AS edges FROM lk GROUP BY c1, c2")
 def cluster_pair_linkage(spark, sf):
-    l = A.linkage(J.rook_edges(signal(spark, sf), "truth"), _labels(spark, sf))
+    l = A.linkage(*_edges_and_labels(spark, sf))
     return l.select("c1", "c2", r("complete").alias("complete"), r("single").alias("single"), r("average").alias("average"), "edges")
 
 

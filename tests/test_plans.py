@@ -7,7 +7,7 @@ from gridloom.plans import registry, spatial_queries
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["ward_step"])
+@pytest.mark.parametrize("name", ["ward_step", "cluster_pair_linkage"])
 def test_centres_are_not_measured_for_line_items(spark, monkeypatch, name):
     written = []
     monkeypatch.setattr(spatial_queries, "cut", lambda df, to=spatial_queries.cut: written.append(df) or to(df))
